@@ -8,8 +8,8 @@ and where the second part is negative, the step goes up its gradient (Kiryo et a
 of words, a document's score is the sum of one number for each word, which a task remembers.
 
 Bounds: `positives` and `unlabelled` documents (the smallest hashes of their ids) of at most `sample_chars` characters;
-`features` features, those with the largest difference of document frequencies between the two, seen in at least
-`least` positives.
+FEATURES features: those that at least LEAST positives hold, LIFT times as often as unlabelled documents and SURPRISE
+standard deviations more often, the most surprising first.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, words_of
 
-POSITIVES, UNLABELLED, SAMPLE_CHARS, FEATURES, LEAST, PREFIXES, SCALE = 3000, 6000, 20_000, 1500, 5, range(3, 8), 100
+POSITIVES, UNLABELLED, SAMPLE_CHARS, FEATURES, LEAST, LIFT, SURPRISE, PREFIXES, SCALE = 3000, 6000, 20_000, 1000, 5, 3.0, 4.0, range(3, 8), 100
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -32,14 +32,6 @@ def features_of(word: bytes) -> list[bytes]:
     return [word] + [(letters[:n] + "*").encode("utf-8", "replace") for n in PREFIXES if len(letters) > n]
 
 
-def _counts(words: list[bytes]) -> Counter:
-    out: Counter = Counter()
-    for w, n in Counter(words).items():
-        for f in features_of(w):
-            out[f] += n
-    return out
-
-
 class Model:
     """Weights of features (bytes) and a bias; weights are for shares of words times SCALE."""
 
@@ -62,20 +54,28 @@ class _Memo(dict):
 def train(positive: list[str], unlabelled: list[str], prior: float, steps: int = 600, seed: int = 3) -> Model:
     """Without positives every score is near 0, the prior being small; see Model for what is returned."""
     rng = np.random.default_rng(seed)
-    docs = [(w, k) for k, group in ((1, positive), (0, unlabelled)) for t in group if (w := words_of(t))]
-    seen = {1: Counter(), 0: Counter()}
-    for w, k in docs:
-        seen[k].update({f for x in set(w) for f in features_of(x)})
-    n = {k: max(1, sum(x == k for _, x in docs)) for k in (0, 1)}
+    # Copies count once: a text that many positives repeat says nothing by its other words.
+    docs = [(Counter(w), k) for k, group in ((1, positive), (0, unlabelled)) for t in dict.fromkeys(group) if (w := words_of(t))]
+    seen, n, feats = {1: Counter(), 0: Counter()}, Counter(k for _, k in docs), {}
+    for own, k in docs:
+        seen[k].update({f for w in own for f in (feats.get(w) or feats.setdefault(w, features_of(w)))})
     prior = min(max(prior, 1e-3), 0.9)
-    gain = lambda f: abs(seen[1][f] / n[1] - seen[0][f] / n[0]) / np.sqrt(seen[1][f] / n[1] + seen[0][f] / n[0] + 5 / n[0])
-    names = sorted((f for f in seen[1] if seen[1][f] >= LEAST), key=lambda f: (-gain(f), f))[:FEATURES]
+
+    def surprise(f: bytes) -> float:
+        """Standard deviations by which positives hold the feature more often than unlabelled documents do."""
+        base = (seen[0][f] + 1) / (n[0] + 2)
+        return (seen[1][f] / n[1] - base) / np.sqrt(base * (1 - base) / n[1])
+
+    chosen = [f for f in seen[1] if seen[1][f] >= LEAST and seen[1][f] / n[1] >= LIFT * (seen[0][f] + 1) / (n[0] + 2) and surprise(f) >= SURPRISE]
+    names = sorted(chosen, key=lambda f: (-surprise(f), f))[:FEATURES]
     number = {f: i for i, f in enumerate(names)}
+    columns = {w: [number[f] for f in fs if f in number] for w, fs in feats.items()}
     x, y = np.zeros((len(docs), len(names)), np.float32), np.array([k for _, k in docs], bool)
-    for i, (w, _) in enumerate(docs):
-        for f, c in _counts(w).items():
-            if (j := number.get(f)) is not None:
-                x[i, j] = SCALE * c / len(w)
+    for i, (own, _) in enumerate(docs):
+        share = SCALE / sum(own.values())
+        for w, c in own.items():
+            for j in columns[w]:
+                x[i, j] += share * c
     bias = float(np.log(prior / (1 - prior)))
     if not names or not y.any() or y.all():
         return Model({}, bias if y.any() else -10.0)

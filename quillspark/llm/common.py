@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,14 @@ def bounded_sample(df: DataFrame, key: str, rows: int, salt: int = 0) -> DataFra
     return df.orderBy(F.xxhash64(F.lit(salt), F.col(key)), F.col(key)).limit(rows)
 
 
+def per_process(key, make):
+    """make(), once for each Python process: what tasks that run in the same worker share, such as a loaded file."""
+    kept = sys.modules.setdefault("quillspark_process", types.ModuleType("quillspark_process")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 class WordHashes(dict):
     """xxh64 of a word, remembered; forgets all when it holds `most` words, so memory is bounded."""
 

@@ -13,6 +13,7 @@ blanks and line ends is encoded word by word ("blank + word" units, remembered);
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,26 +21,49 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, per_process
 
 WIDTH, WINDOWS, FILL, MERGE = 1024, 32, 8, 64
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 SPARK_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+#: Fixed value: the split pattern of byte-level BPE of this kind.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_signs() -> dict[str, int]:
+    """The printable sign that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Texts to little-endian 32-bit ids followed by the end id; words are remembered up to `most`."""
+    """Texts to little-endian 32-bit ids followed by the end id; words are remembered up to `most`.
 
-    def __init__(self, path: str, end: int = 0, most: int = 600_000):
+    Whole texts go through `tokenizers`. Single words go through `tiktoken` with the same file's vocabulary as ranks,
+    which gives the same ids in a third of the time (tests compare both).
+    """
+
+    def __init__(self, path: str, end: int = 0, most: int = 500_000):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        signs = byte_signs()
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(signs[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in added}
+        self.word = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.end, self.most, self.memo = np.array([end], "<u4").tobytes(), most, {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def words(self, words: list[str]) -> list[bytes]:
+        return [array("I", self.word(w)).tobytes() for w in words]
+
     def units(self, text: str) -> list[str] | None:
         """Parts that can be encoded by themselves, or None: white space other than single blanks and line ends, or long parts."""
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n" or not text:
@@ -56,9 +80,9 @@ class Encoder:
         odd = [w for w in new if any(c.isspace() for c in w[1:]) or (w[0].isspace() and w[0] != "\n")]
         strange = set(odd)
         new = [w for w in new if w not in strange]
-        memo.update(zip(new, self.whole([w if w[0] == "\n" else " " + w for w in new]), strict=True))
+        memo.update(zip(new, self.words([w if w[0] == "\n" else " " + w for w in new]), strict=True))
         heads = list({p[0] for p in parts if p})
-        head = dict(zip(heads, self.whole(heads), strict=True))
+        head = dict(zip(heads, self.words(heads), strict=True))
         out: list[bytes | None] = [None] * len(texts)
         rest = []
         for k, p in enumerate(parts):
@@ -136,7 +160,7 @@ def pack(docs: DataFrame, tokenizer: str, width: int = WIDTH, windows: int = WIN
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        encode, packer = Encoder(tokenizer, end), Packer(part << 32, width, windows, fill)
+        encode, packer = per_process((tokenizer, end), lambda: Encoder(tokenizer, end)), Packer(part << 32, width, windows, fill)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1)
             i = 0

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample
 
 SEGMENT, HIDDEN, STEPS, ROWS = 16, 16, 500, 768
-SAMPLE_DOCS, SAMPLE_CHARS, WORDS_OF_DOC = 4000, 20_000, 80
+SAMPLE_DOCS, SAMPLE_CHARS, WORDS_OF_DOC = 3000, 10_000, 80
 _LETTER = re.compile(r"[^\W\d_]")
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 

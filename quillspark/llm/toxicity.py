@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, words_of
 
-POSITIVES, UNLABELLED, SAMPLE_CHARS, FEATURES, LEAST, LIFT, SURPRISE, PREFIXES, SCALE = 3000, 6000, 20_000, 1000, 5, 3.0, 4.0, range(3, 8), 100
+POSITIVES, UNLABELLED, SAMPLE_CHARS, FEATURES, LEAST, LIFT, SURPRISE, PREFIXES, SCALE = 2500, 5000, 10_000, 1000, 5, 3.0, 4.0, range(3, 8), 100
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 

@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, in_pieces, words_of
 
-ALPHA, PRUNE, RANGE_WORDS, BATCH_CHARS = 0.4, 2, 2_500_000, 8_000_000
+ALPHA, PRUNE, RANGE_WORDS, BATCH_CHARS = 0.4, 2, 2_500_000, 16_000_000
+#: Bits of an n-gram's hash. Two of 10^13 n-grams share one with a chance of some 10^-4 for each.
+HASH_BITS = 56
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -44,7 +46,7 @@ def expand(data: bytes, kind: str) -> np.ndarray:
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _D
-    return x ^ (x >> np.uint64(29))
+    return (x ^ (x >> np.uint64(29))) >> np.uint64(64 - HASH_BITS)
 
 
 def grams(h: np.ndarray, first: np.ndarray):
@@ -71,8 +73,12 @@ def _batches(docs: DataFrame, batch_chars: int) -> DataFrame:
             ids = pa.RecordBatch.from_arrays([b.column(0)], names=["doc_id"])
             with pa.ipc.new_stream(sink, ids.schema) as w:
                 w.write_batch(ids)
-            # Words as numbers in the batch's own sorted vocabulary.
-            vocabulary, number = np.unique(np.concatenate(words) if words else np.empty(0, np.uint64), return_inverse=True)
+            # Words as numbers in the batch's own vocabulary, the most frequent first: small numbers compress well.
+            vocabulary, number, often = np.unique(np.concatenate(words) if words else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            vocabulary, number = vocabulary[order], place[number]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([(part << 32) + seq]), pa.array([sink.getvalue().to_pybytes()]), pa.array([squeeze(np.array([len(w) for w in words], np.int64))]), pa.array([squeeze(vocabulary)]), pa.array([squeeze(number.astype(np.uint32))]), pa.array([len(number)])],
                 names=["batch", "ids", "lengths", "vocabulary", "number", "n"],
@@ -110,7 +116,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, prune: int = PRUNE, batch_chars
             for batch, lengths, vocabulary, number in zip(*(b.column(c).to_pylist() for c in ("batch", "lengths", "vocabulary", "number")), strict=True):
                 _, _, one, two, three, order = _open(vocabulary, number, lengths)
                 h, n = _distinct(one, two, three, order)
-                edges = np.searchsorted(h >> np.uint64(64 - bits) if bits else np.zeros(len(h), np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64))
+                edges = np.searchsorted(h >> np.uint64(HASH_BITS - bits) if bits else np.zeros(len(h), np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64))
                 own, hashes, counts = [], [], []
                 for r in range(1 << bits):
                     part = h[edges[r] : edges[r + 1]]

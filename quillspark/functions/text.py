@@ -6,17 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: the code points that count as white space, as the inside of a character class.
-WS = r"\x09-\x0d\x1c-\x20\x85   -     　"
-ZWSP = "​"
+WS = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ZWSP = "\u200b"
 
 #: Bullet glyphs at line starts and what they become, in this order.
 BULLETS = (
-    (rf"(?md)^[ \t]*o​[{WS}​]*", "  - "),
-    (rf"(?md)^[ \t]*○[{WS}​]*", "  - "),
-    (rf"(?md)^[ \t]*[●•▪][{WS}​]*", "- "),
+    (rf"(?md)^[ \t]*o\u200b[{WS}\u200b]*", "  - "),
+    (rf"(?md)^[ \t]*○[{WS}\u200b]*", "  - "),
+    (rf"(?md)^[ \t]*[●•▪][{WS}\u200b]*", "- "),
 )
 #: Signs and their replacements; those beyond the second string's end are deleted.
-SIGNS = ("​ ‘’“”–—‌‍⁠﻿­", "  ''\"\"--")
+SIGNS = ("\u200b\xa0\u2018\u2019\u201c\u201d\u2013\u2014\u200c\u200d\u2060\ufeff\u00ad", "  ''\"\"--")
 #: Fixed value: starts of lines that begin a new item.
 NEW_ITEM = (
     rf"(?d)^([{WS}]*-[{WS}]|\||\p{{Nd}}+\.(\p{{Nd}}+\.?)*[{WS}]|\p{{Nd}}+-[A-Z]|[a-z]\.[{WS}]"
@@ -47,7 +47,7 @@ def words(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """Zero-width spaces and white space collapse to single blanks; ends are stripped."""
-    return strip(F.regexp_replace(c, rf"[{WS}​]+", " "))
+    return strip(F.regexp_replace(c, rf"[{WS}\u200b]+", " "))
 
 
 def snake(c: Column) -> Column:
@@ -76,7 +76,7 @@ def after_first(c: Column, sign: str) -> Column:
 
 def show_invisible(c: Column) -> Column:
     """Zero-width and non-breaking spaces made visible."""
-    return F.replace(F.replace(c, F.lit(ZWSP), F.lit("<ZWSP>")), F.lit(" "), F.lit("<NBSP>"))
+    return F.replace(F.replace(c, F.lit(ZWSP), F.lit("<ZWSP>")), F.lit("\xa0"), F.lit("<NBSP>"))
 
 
 def short_id(c: Column) -> Column:

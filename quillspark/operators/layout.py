@@ -208,5 +208,5 @@ def pages_from_layout(layout: DataFrame) -> DataFrame:
     body = clean_text(body_text(F.col("blocks"), F.col("own"), F.col("header")))
     text = F.when(F.col("is_cover"), render_cover(F.col("fields"), F.coalesce("c.approvals", empty), F.col("c.revision_history"))).otherwise(body)
     fields = [F.nullif(F.try_element_at("fields", F.lit(k)), F.lit("")).alias(k) for k in ("title", "document_id", "version", "effective_date", "issued_by", "issued_to")]
-    meta = F.struct(F.col("file").alias("source_file"), F.col("total_pages").cast("int"), *fields, F.when(F.col("is_cover"), "cover").otherwise("content").alias("page_type"), (~F.col("is_cover") & (F.size("own") > 0)).alias("has_table"), F.length("body").alias("char_count"))
+    meta = F.struct(F.col("file").alias("source_file"), F.col("total_pages").cast("int").alias("total_pages"), *fields, F.when(F.col("is_cover"), "cover").otherwise("content").alias("page_type"), (~F.col("is_cover") & (F.size("own") > 0)).alias("has_table"), F.length("body").alias("char_count"))
     return rows.withColumn("body", text).select(F.col("name").alias("doc"), F.col("page").cast("int"), F.col("body").alias("text"), meta.alias("metadata"))

@@ -1,9 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 Every word trigram of the test items is a seed. One pass over the corpus finds all places of all seeds and emits,
-for each document and item, windows of word hashes around them. Document frequencies of the seeds come from these
-hits; a seed is rare if at most `rare_share` of the documents (and `rare_least` of them at any size) hold it. Only
-windows with a rare seed are aligned; an item without any rare seed uses all its seeds, so no item is lost.
+for each document and item, windows of word hashes around them. A window with STRONG different seeds of its item is
+aligned in any case. Windows with fewer show how often a seed turns up by chance: a seed is rare if at most
+`rare_share` of the documents (and `rare_least` of them at any size) hold it in such a window, so a leak that is
+itself frequent doesn't make its seeds common. Weak windows are aligned if they hold a rare seed; an item without any
+rare seed uses all its seeds, so no item is lost.
 A document is contaminated by an item when the best local alignment of words (match 2, mismatch -1, gap -1)
 reaches `threshold` of what the whole item would score against itself.
 
@@ -24,6 +26,9 @@ N = 3
 BLOCK_ITEMS = 20_000
 RARE_SHARE, RARE_LEAST = 0.002, 20
 THRESHOLD = 0.5
+STRONG = 3
+#: The most seeds of a block that are broadcast when their frequencies are joined.
+MOST_SEEDS = 400_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 HITS = pa.schema([("doc_row", pa.int64()), ("doc_id", pa.int64()), ("item_no", pa.int32()), ("start", pa.int32()), ("seeds", pa.list_(pa.int32())), ("window", pa.binary())])
 FOUND = pa.schema([("doc_row", pa.int64()), ("doc_id", pa.int64()), ("item_no", pa.int32()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
@@ -177,12 +182,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         got = [(i, w) for i, t in own.collect() if len(w := words_of(t)) >= N]
         words = [w for _, w in got]
         hits = _hits(docs, words)
-        rare = hits.select("doc_row", F.explode("seeds").alias("seed")).distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= most)
-        places = hits.select("hit", "item_no", F.explode("seeds").alias("seed"))
-        rare_hits = places.join(rare, "seed").select("hit", "item_no").distinct()
-        having = rare_hits.select("item_no").distinct()
-        common = places.join(having, "item_no", "left_anti").select("hit").distinct()
-        wanted = rare_hits.select("hit").union(common)
+        weak = hits.filter(F.size("seeds") < STRONG).select("hit", "doc_row", "item_no", F.explode("seeds").alias("seed"))
+        often = weak.select("doc_row", "seed").distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > most)
+        often = F.broadcast(often) if sum(len(w) for w in words) <= MOST_SEEDS else often
+        rare_hits = weak.join(often, "seed", "left_anti").select("hit", "item_no")
+        strong = hits.filter(F.size("seeds") >= STRONG).select("hit", "item_no")
+        having = rare_hits.select("item_no").union(strong.select("item_no")).distinct()
+        having = F.broadcast(having) if len(words) <= MOST_SEEDS else having
+        common = weak.join(having, "item_no", "left_anti").select("hit")
+        wanted = rare_hits.select("hit").union(common).union(strong.select("hit")).distinct()
         chosen = hits.join(wanted, "hit", "left_semi")
         numbers = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(got)], "item_no int, item_id long")
         found = _aligned(chosen, words, threshold).join(F.broadcast(numbers), "item_no")

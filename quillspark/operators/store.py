@@ -33,9 +33,9 @@ class Collection:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.path).getFileSystem(conf)
-        meta = self._path(f"{self.path}/_meta.json")
+        meta = self._path(f"{self.path}/collection.json")
         if self._fs.exists(meta):
-            have = json.loads("".join(r["value"] for r in spark.read.text(f"{self.path}/_meta.json").collect()))["metric"]
+            have = json.loads("".join(r["value"] for r in spark.read.text(f"{self.path}/collection.json").collect()))["metric"]
             if have != metric:
                 raise StorageError(f"the collection uses {have}, not {metric}; reset it to change that")
         else:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut
+from .common import bounded_sample, cut, tidy
 
 SAMPLE_ROWS, PARTS, PROBE_SHARE, MOST_LISTS = 16_384, 16, 0.8, 4096
 SLICE_ROWS, BLOCK_ROWS = 16_384, 4096
@@ -147,9 +147,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int
                 found = index.probes(unit(raw), probe_share)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(found.tolist(), pa.list_(pa.int32()))], names=["query_id", "raw", "lists"])
 
-    coded = cut(rows.select("vec_id", "embedding").mapInArrow(encode, "list int, vec_id long, code binary, miss double, raw binary"))
+    coded = cut(rows.select("vec_id", "embedding").mapInArrow(tidy(encode), "list int, vec_id long, code binary, miss double, raw binary"))
     asked = valid(queries).dropDuplicates(["vec_id"]).filter(F.size("embedding") == dim)
-    asked = cut(asked.select("vec_id", "embedding").mapInArrow(probe, "query_id long, raw binary, lists array<int>"))
+    asked = cut(asked.select("vec_id", "embedding").mapInArrow(tidy(probe), "query_id long, raw binary, lists array<int>"))
     asked = asked.select("query_id", "raw", F.explode("lists").alias("list"))
     # One row for each list, of which there are at most MOST_LISTS: small enough to broadcast.
     parts_of = lambda df, most, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))

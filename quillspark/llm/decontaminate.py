@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, words_of
+from .common import WordHashes, cut, tidy, words_of
 
 N = 3
 BLOCK_ITEMS = 20_000
@@ -138,7 +138,7 @@ def _hits(docs: DataFrame, items: list[list[bytes]], batch: int = 200) -> DataFr
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), HITS, strict=True)], schema=HITS)
 
-    return cut(docs.mapInArrow(run, "doc_row long, doc_id long, item_no int, start int, seeds array<int>, window binary").withColumn("hit", F.monotonically_increasing_id()))
+    return cut(docs.mapInArrow(tidy(run), "doc_row long, doc_id long, item_no int, start int, seeds array<int>, window binary").withColumn("hit", F.monotonically_increasing_id()))
 
 
 def _aligned(hits: DataFrame, items: list[list[bytes]], threshold: float, batch: int = 256) -> DataFrame:
@@ -162,7 +162,7 @@ def _aligned(hits: DataFrame, items: list[list[bytes]], threshold: float, batch:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, FOUND, strict=True)], schema=FOUND)
 
     schema = "doc_row long, doc_id long, item_no int, score double, start int, end int"
-    return hits.select("doc_row", "doc_id", "item_no", "start", "window").mapInArrow(run, schema)
+    return hits.select("doc_row", "doc_id", "item_no", "start", "window").mapInArrow(tidy(run), schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, rare_share: float = RARE_SHARE, rare_least: int = RARE_LEAST, block_items: int = BLOCK_ITEMS) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, tidy
 
 SEGMENT, HIDDEN, STEPS, ROWS = 16, 16, 500, 768
 SAMPLE_DOCS, SAMPLE_CHARS, WORDS_OF_DOC = 3000, 10_000, 80
@@ -128,7 +128,7 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, rows: int = RO
 class Labeller:
     """Summed position probabilities of segments, remembered up to `most` distinct ones."""
 
-    def __init__(self, net: BiGRU, classes: int, most: int = 300_000):
+    def __init__(self, net: BiGRU, classes: int, most: int = 150_000):
         self.net, self.classes, self.most = net, classes, most
         self.number: dict[bytes, int] = {}
         self.sums = np.zeros((0, classes + 1), np.float32)
@@ -193,4 +193,4 @@ def predict(docs: DataFrame, net: BiGRU, names: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(i, len(some)), pa.array(lang), pa.array(score)], schema=PREDICTED)
                 i += len(some)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")

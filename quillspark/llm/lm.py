@@ -23,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, in_pieces, words_of
+from .common import WordHashes, cut, in_pieces, tidy, words_of
 
-ALPHA, PRUNE, RANGE_WORDS, BATCH_CHARS = 0.4, 2, 2_500_000, 16_000_000
+ALPHA, PRUNE, RANGE_WORDS, BATCH_CHARS = 0.4, 2, 2_500_000, 10_000_000
 #: Bits of an n-gram's hash. Two of 10^13 n-grams share one with a chance of some 10^-4 for each.
 HASH_BITS = 56
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
@@ -85,7 +85,7 @@ def _batches(docs: DataFrame, batch_chars: int) -> DataFrame:
             )
             seq += 1
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "batch long, ids binary, lengths binary, vocabulary binary, number binary, n long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "batch long, ids binary, lengths binary, vocabulary binary, number binary, n long")
 
 
 def _open(vocabulary: bytes, number: bytes, lengths: bytes):
@@ -126,7 +126,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, prune: int = PRUNE, batch_chars
                         counts.append(squeeze(n[edges[r] : edges[r + 1]].astype(np.uint32)))
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([batch] * len(own), pa.int64()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["range", "batch", "hashes", "counts"])
 
-    asked = batches.select("batch", "lengths", "vocabulary", "number").mapInArrow(ask, "range int, batch long, hashes binary, counts binary")
+    asked = batches.select("batch", "lengths", "vocabulary", "number").mapInArrow(tidy(ask), "range int, batch long, hashes binary, counts binary")
 
     def answer(rows):
         runs = [np.cumsum(expand(x.as_py(), "u8"), dtype=np.uint64) for x in rows["hashes"]]

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 RADIUS = 3
 SHARD_SIZE = 2048
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = [f - (1 << 64) if f >= 1 << 63 else f for f in map(fingerprint, b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], schema=FINGERPRINTS)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 class BKTree:
@@ -152,7 +152,7 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) ->
             pairs = [(signed(x), signed(y)) for x, y in out]
             yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in pairs], pa.int64()), pa.array([min(x) for x in pairs], pa.int64())], schema=EDGES)
 
-    return groups.select("p", "q", "near", "away").mapInArrow(run, "a long, b long").distinct()
+    return groups.select("p", "q", "near", "away").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, words_of
+from .common import bounded_sample, tidy, words_of
 
 POSITIVES, UNLABELLED, SAMPLE_CHARS, FEATURES, LEAST, LIFT, SURPRISE, PREFIXES, SCALE = 2500, 5000, 10_000, 1000, 5, 3.0, 4.0, range(3, 8), 100
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -40,7 +40,7 @@ class Model:
 
 
 class _Memo(dict):
-    def __init__(self, weights: dict[bytes, float], most: int = 600_000):
+    def __init__(self, weights: dict[bytes, float], most: int = 200_000):
         super().__init__()
         self.weights, self.most = weights, most
 
@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 out.append(float(1 / (1 + np.exp(-min(40.0, max(-40.0, z))))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], schema=SCORED)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -151,4 +151,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
                 keep.append(1 / (1 + np.exp(-min(40.0, max(-40.0, z)))) < threshold)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

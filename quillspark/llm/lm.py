@@ -96,9 +96,14 @@ def _open(vocabulary: bytes, number: bytes, lengths: bytes):
     return lengths, first[lengths > 0], *grams(h, first[lengths > 0])
 
 
+def _flat(one, two, three, order) -> np.ndarray:
+    """All n-grams of a batch: those of order 1, then 2, then 3."""
+    return np.concatenate([one, two[order >= 2], three[order >= 3]])
+
+
 def _distinct(one, two, three, order):
     """Distinct n-grams of a batch, sorted by hash, with their counts."""
-    return np.unique(np.concatenate([one, two[order >= 2], three[order >= 3]]), return_counts=True)
+    return np.unique(_flat(one, two, three, order), return_counts=True)
 
 
 def score(docs: DataFrame, alpha: float = ALPHA, prune: int = PRUNE, batch_chars: int = BATCH_CHARS, range_words: int = RANGE_WORDS) -> DataFrame:
@@ -145,11 +150,12 @@ def score(docs: DataFrame, alpha: float = ALPHA, prune: int = PRUNE, batch_chars
             lengths, first, one, two, three, order = _open(vocabulary, number, lengths)
             sums = np.zeros(len(lengths))
             if len(one):
-                h, _ = _distinct(one, two, three, order)
+                _, at = np.unique(_flat(one, two, three, order), return_inverse=True)
                 runs = right.sort_by("range")["counts"].to_pylist()
-                c = np.concatenate([expand(x, "u8") for x in runs]).astype(np.float64)
-                look = lambda g, on: np.where(on, c[np.minimum(np.searchsorted(h, g), len(h) - 1)], 0)
-                c1, c2, c3 = look(one, order >= 1), look(two, order >= 2), look(three, order >= 3)
+                seen = np.concatenate([expand(x, "u8") for x in runs]).astype(np.float64)[at]
+                c1, c2, c3 = seen[: len(one)], np.zeros(len(one)), np.zeros(len(one))
+                pairs = int((order >= 2).sum())
+                c2[order >= 2], c3[order >= 3] = seen[len(one) : len(one) + pairs], seen[len(one) + pairs :]
                 c1_before, c2_before = np.concatenate([[1], c1[:-1]]), np.concatenate([[1], c2[:-1]])
                 with np.errstate(divide="ignore", invalid="ignore"):
                     level2 = np.where(c2 >= prune, c2 / c1_before, alpha * c1 / total)

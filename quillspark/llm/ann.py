@@ -176,7 +176,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int
                     keep = near > -np.inf
                 for i in range(len(qids)):
                     c = np.flatnonzero(keep[i] & (near[i] > -np.inf))
-                    exact = raw[c] @ q[i]
+                    # Row by row in one order: a matrix product may give copies of a vector scores that differ in the last bit.
+                    exact = (raw[c] * q[i]).sum(axis=1)
                     best = np.lexsort((ids[c], -exact))[:k]
                     out += [(int(qids[i]), int(ids[c[j]]), float(exact[j])) for j in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])

@@ -102,6 +102,18 @@ def test_links_within_the_radius(spark):
         assert same(groups.values(), want.values())
 
 
+def test_ann_copies_tie(spark):
+    """Copies of a vector score alike to the last bit, so the smaller vec_id comes first."""
+    rng = np.random.default_rng(5)
+    copy = rng.normal(size=63).tolist()
+    rows = [(i, copy if i % 3 else rng.normal(size=63).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    copies = [i for i in range(90) if i % 3]
+    for r in ann.search(df, df.filter("vec_id in (1, 40, 88)"), k=7, lists=3, probe_share=1.0, slice_rows=11).groupBy("query_id").agg(F.expr("array_sort(collect_list(struct(rank, vec_id, score)))").alias("found")).collect():
+        assert [x["vec_id"] for x in r["found"]] == [i for i in copies if i != r["query_id"]][:7]
+        assert len({x["score"] for x in r["found"]}) == 1
+
+
 def test_ann(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.standard_normal((300, 8)), rng.standard_normal((1, 8)) + 1e-3 * rng.standard_normal((100, 8))]).astype(np.float32)

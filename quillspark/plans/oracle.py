@@ -1,5 +1,7 @@
 """SQL that gives the registered queries' results, for an independent engine."""
 
+from .. import schemas as S
+
 _WS = "\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 _EUC = "sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))))"
@@ -18,6 +20,12 @@ raw AS (SELECT {key}, at_, substring(text, CAST(at_ + 1 AS BIGINT), 500) AS body
 windows AS (SELECT {key}, CAST(at_ + length(body) - length(regexp_replace(body, '^[{_WS}]+', '')) AS BIGINT) AS start, regexp_replace(body, '^[{_WS}]+|[{_WS}]+$', '', 'g') AS body FROM raw)"""
 
 
+#: Fixed chunks of documents, of which none has a heading or a line-wise table: windows of the stripped text.
+_FIXED = f"""bare AS (SELECT doc_id, {_STRIP % "text"} AS text, length(text) - length(regexp_replace(text, '^[{_WS}]+', '')) AS lead FROM documents), {_windows('doc_id', 'bare')},
+fixed AS (SELECT w.doc_id, CAST(w.doc_id AS VARCHAR) AS doc, 'fixed-' || w.doc_id || '-' || printf('%03d', row_number() OVER (PARTITION BY w.doc_id ORDER BY start)) AS chunk_id, CAST(start + lead AS INTEGER) AS char_start, CAST(start + lead + length(body) AS INTEGER) AS char_end, body,
+  string_split(body, chr(10)) AS lines FROM windows w JOIN bare USING (doc_id) WHERE body <> '')"""
+
+
 def _top(score: str, order: str, k: int) -> str:
     return f"""WITH s AS (SELECT b.vec_id, {score} AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0),
 r AS (SELECT CAST(row_number() OVER (ORDER BY score {order}, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
@@ -69,6 +77,21 @@ SELECT doc, is_table, CAST(min(stop - length(line) - 1) AS BIGINT) AS start, CAS
     "table_to_markdown": "SELECT n_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY 1",
     "table_info": f"WITH {_ORDERS} SELECT doc, 'no,quantity,flag' AS columns, n AS n_rows FROM orders_",
     "fixed_windows": f"WITH {_windows('doc_id', 'documents')} SELECT doc_id, start, start + length(body) AS \"end\", md5(body) AS md5 FROM windows WHERE body <> ''",
+    "fixed_chunks": f"""WITH {_FIXED} SELECT chunk_id, doc AS section, 1 AS page_start, 1 AS page_end, char_start, char_end, char_end - char_start AS char_count, len(list_filter(lines, lambda x: starts_with(x, '|'))) > 0 AS has_table, md5(doc || chr(10) || chr(10) || body) AS md5 FROM fixed""",
+    "chunk_quality": f"""WITH {_FIXED}, f AS (SELECT *, ends_with(chunk_id, '-003') AS gone FROM fixed),
+bars AS (SELECT chunk_id, i, lines[i] AS line, i - row_number() OVER (PARTITION BY chunk_id ORDER BY i) AS run FROM f, unnest(generate_series(1, len(lines))) AS s(i) WHERE NOT gone AND starts_with(lines[i], '|')),
+poor AS (SELECT chunk_id FROM bars GROUP BY chunk_id, run HAVING count(*) <= 2 OR list_contains(list_transform(string_split(regexp_replace(trim(arg_min(line, i)), '^\\|+|\\|+$', '', 'g'), '|'), lambda x: trim(x)), ''))
+SELECT 'missing' AS rule, 'error' AS severity, count(*) AS n FROM f WHERE gone HAVING count(*) > 0
+UNION ALL SELECT 'page_order', 'error', count(*) FROM f WHERE ends_with(chunk_id, '-002') HAVING count(*) > 0
+UNION ALL SELECT 'table_empty', 'note', count(DISTINCT chunk_id) FROM poor HAVING count(*) > 0
+UNION ALL SELECT 'no_heading', 'note', count(*) FROM f WHERE NOT gone AND len(list_filter(lines, lambda x: starts_with(x, doc) AND regexp_matches(x[len(doc) + 1:len(doc) + 2], '^\\.?\\s'))) = 0 HAVING count(*) > 0
+UNION ALL SELECT 'short', 'note', count(*) FROM f WHERE NOT gone AND length(body) < @SHORT HAVING count(*) > 0
+UNION ALL SELECT 'document_fields', 'note', count(DISTINCT doc) FROM f WHERE NOT gone HAVING count(*) > 0""".replace("@SHORT", str(S.SHORT)),
+    "knn_degree_by_label": f"""WITH s AS (SELECT a.vec_id AS q, b.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
+r AS (SELECT q, vec_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS n FROM s),
+e AS (SELECT DISTINCT least(q, vec_id) AS src, greatest(q, vec_id) AS dst FROM r WHERE n <= 3),
+d AS (SELECT src AS vec_id FROM e UNION ALL SELECT dst FROM e)
+SELECT label, count(*) AS degree FROM d JOIN embeddings USING (vec_id) GROUP BY label""",
     "plain_outline": f"""WITH {_PAGES}, docs AS (SELECT doc, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM pages_ GROUP BY doc), parts AS (SELECT doc, string_split(text, chr(10)) AS p FROM docs),
 rows_ AS (SELECT doc, i, p[i] AS line, sum(length(p[i]) + 1) OVER (PARTITION BY doc ORDER BY i) - length(p[i]) - 1 AS start, lag(p[i]) OVER w AS before, lead(p[i]) OVER w AS after FROM parts, unnest(generate_series(1, len(p))) AS s(i) WINDOW w AS (PARTITION BY doc ORDER BY i))
 SELECT doc, trim(line) AS label, CAST(start AS BIGINT) AS start FROM rows_ WHERE coalesce(trim(before), '') = '' AND coalesce(trim(after), '') = '' AND trim(line) <> ''

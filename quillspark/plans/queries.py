@@ -77,6 +77,12 @@ def knn_edges(spark, sf):
     return retrieval.knn_graph(vectors(spark, sf), 3)
 
 
+def knn_degree_by_label(spark, sf):
+    """Edge ends of the neighbour graph for each label."""
+    ends = knn_edges(spark, sf).select(F.explode(F.array("src", "dst")).alias("vec_id"))
+    return ends.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).join(read(spark, sf, "embeddings").select("vec_id", "label"), "vec_id").groupBy("label").agg(F.sum("n").alias("degree"))
+
+
 def pair_similarity(spark, sf):
     got = retrieval.compare_pair(vectors(spark, sf), 0, 1)
     return got.select("a", "b", *(F.round(c, 6).alias(c) for c in ("dot", "norm_a", "norm_b", "cosine", "euclidean")))
@@ -264,7 +270,7 @@ def label_colours(spark, sf):
 
 QUERIES = {
     "topk_cosine": topk("cosine"), "topk_euclidean": topk("euclidean"), "all_scores_ranked": all_scores_ranked, "multi_query_topk": multi_query_topk,
-    "knn_edges_k3": knn_edges, "pair_similarity": pair_similarity, "vector_norm_stats": vector_norm_stats, "vector_dims": vector_dims,
+    "knn_edges_k3": knn_edges, "knn_degree_by_label": knn_degree_by_label, "pair_similarity": pair_similarity, "vector_norm_stats": vector_norm_stats, "vector_dims": vector_dims,
     "vector_validation": vector_validation, "ingest_new": ingest_new, "metadata_roundtrip": metadata_roundtrip, "indexed_search": indexed_search, "pca_points": pca_points,
     "normalize_characters": on_noisy(X.normalize_characters), "normalize_bullets": on_noisy(X.normalize_bullets), "normalize_whitespace": on_noisy(X.normalize_whitespace),
     "unwrap_lines": on_noisy(X.unwrap_lines), "collapse_blank_lines": on_noisy(X.collapse_blank_lines), "clean_text": on_noisy(X.clean_text), "slugs": slugs,

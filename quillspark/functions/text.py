@@ -115,14 +115,19 @@ def normalize_whitespace(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, "\n"), one), "\n")
 
 
+#: Elements that a fold over lines gathers before it adds them to its result.
+BLOCK = 128
+
+
 def unwrap_lines(c: Column) -> Column:
     """Lines that only the page's width broke are joined by a blank.
 
     Only the raw line before and whether it was itself joined decide; so each line first gets its separator, by a fold
-    with a state of two values, and the text is then put together once.
+    with a state of two values, and the text is then put together once. Pieces are gathered in blocks of BLOCK, since
+    each addition to an array copies it.
     """
     lines = F.split(c, "\n")
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(False).alias("joined"), F.array().cast("array<string>").alias("out"))
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(False).alias("joined"), F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("block"))
 
     def step(s: Column, line: Column) -> Column:
         last = F.coalesce(s["last"], F.lit(""))
@@ -136,9 +141,11 @@ def unwrap_lines(c: Column) -> Column:
             & ~(lstrip(last).startswith("|") & ~s["joined"])
         )
         piece = F.when(s["last"].isNull(), line).when(glue, F.concat(F.lit(" "), lstrip(line))).otherwise(F.concat(F.lit("\n"), line))
-        return F.struct(line.alias("last"), glue.alias("joined"), F.concat(s["out"], F.array(piece)).alias("out"))
+        block, full = F.concat(s["block"], F.array(piece)), F.size(s["block"]) >= BLOCK - 1
+        out = F.when(full, F.concat(s["out"], F.array(F.array_join(block, "")))).otherwise(s["out"])
+        return F.struct(line.alias("last"), glue.alias("joined"), out.alias("out"), F.when(full, F.array().cast("array<string>")).otherwise(block).alias("block"))
 
-    return F.aggregate(lines, start, step, lambda s: F.array_join(s["out"], ""))
+    return F.aggregate(lines, start, step, lambda s: F.array_join(F.concat(s["out"], s["block"]), ""))
 
 
 def collapse_blank_lines(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lstrip, rstrip
+from ..functions.text import BLOCK, lstrip, rstrip
 from ..schemas import PAGE_GAP
 
 SPAN = "struct<page:int,start:int,end:int,page_type:string>"
@@ -49,14 +49,16 @@ def lines_of(text: Column) -> Column:
     """Array of (start, end with the line end, text) of each line; a final line end opens no further line."""
     parts = F.split(text, "\n")
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(LINES).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{LINES}>").alias("out"), F.array().cast(LINES).alias("block"))
     size = F.length(text)
 
     def step(s: Column, line: Column) -> Column:
         end = F.least(s["at"] + F.length(line) + 1, size)
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), end.alias("end"), line.alias("text")))).alias("out"))
+        # In blocks, since each addition to an array copies it.
+        block, full = F.concat(s["block"], F.array(F.struct(s["at"].alias("start"), end.alias("end"), line.alias("text")))), F.size(s["block"]) >= BLOCK - 1
+        return F.struct(end.alias("at"), F.when(full, F.concat(s["out"], F.array(block))).otherwise(s["out"]).alias("out"), F.when(full, F.array().cast(LINES)).otherwise(block).alias("block"))
 
-    return F.aggregate(parts, start, step, lambda s: s["out"])
+    return F.aggregate(parts, start, step, lambda s: F.flatten(F.concat(s["out"], F.array(s["block"]))))
 
 
 def regions(docs: DataFrame, key: str = "doc") -> DataFrame:

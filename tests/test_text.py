@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.operators.corpus import lines_of
 
 SPACES = [chr(c) for c in [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]]
 CASES = [
@@ -74,3 +75,14 @@ def test_unwrap_against_a_loop(spark):
 )
 def test_names(spark, function, value, expected):
     assert one(spark, function, [value]) == [expected]
+
+
+def test_many_lines(spark):
+    """Folds over lines work in blocks; texts about and beyond the size of a block come out whole."""
+    texts = ["\n".join(f"- item {i}" if i % 3 else "some words" for i in range(n)) for n in (1, X.BLOCK - 1, X.BLOCK, X.BLOCK + 1, 2 * X.BLOCK, 2000)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = rows.select("i", X.unwrap_lines(F.col("t")).alias("u"), lines_of(F.col("t")).alias("l")).orderBy("i").collect()
+    for t, r in zip(texts, got, strict=True):
+        assert r["u"] == t.replace("\nsome words", " some words")
+        assert [x["text"] for x in r["l"]] == t.split("\n")
+        assert all(t[x["start"] : x["end"]].rstrip("\n") == x["text"] for x in r["l"])

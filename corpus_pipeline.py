@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, packing, pii, queries, simhash, toxicity
+from quillspark.llm import decontaminate, packing, pii, queries, simhash, similar, toxicity
 from quillspark.llm.common import read, without
 
 #: No SQL for the result: the stages hold trained models and hashes that SQL lacks. See tests/llm/test_pipeline.py.
@@ -30,9 +30,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of texts whose fingerprints differ in at most 3 bits."""
+    return _keep_one(docs, simhash.near_duplicates)
+
+
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of texts that share five-word shingles to a similarity of 0.8 or more."""
+    return _keep_one(docs, similar.near_duplicates)
+
+
+def _keep_one(docs: DataFrame, near_duplicates) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays; of rows that repeat its id, one."""
     keyed = docs.withColumn("_key", _key())
-    found = simhash.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c"))
     once = without(keyed, ids.filter("doc_id <> c or n > 1").select(F.col("doc_id").alias("_key")), "_key")
     repeated = keyed.join(ids.filter("doc_id = c and n > 1").select(F.col("doc_id").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"])
@@ -57,7 +67,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, queries.TOKENIZER)
 
 
-STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("pii", redact), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_similar), ("decontamination", drop_contaminated), ("pii", redact), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

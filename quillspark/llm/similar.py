@@ -1,0 +1,138 @@
+"""Near-duplicates by word shingles: texts link if their sets of five-word shingles have a Jaccard similarity of 0.8.
+
+Words are those of simhash (bytes A-Z lower-cased, runs of bytes other than blank and 0x09-0x0D); a text of fewer than
+five words is one shingle. Each set has 36 keys of 6 minima each; two sets meet if a key of theirs is equal. This is the
+one approximation: at a similarity of exactly 0.8 a pair meets in no key with probability (1 - 0.8^6)^36 = 0.00002, at
+0.9 with less than 10^-11. All pairs that meet are verified by the exact similarity of the sets, none is estimated.
+
+The pairs of a bucket are verified in two rounds, so that a large group of copies makes no square of pairs: first each
+set with the smallest of its bucket, then, in buckets that this left in several components, all other pairs of sets of
+different components. A pair within a component can be left out: it changes no component.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import MOST_KEYS, WordHashes, cut, tidy
+from .simhash import components
+
+WIDTH = 5
+BANDS, ROWS = 36, 6
+#: Odd factors: each orders the hashes of shingles anew.
+FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+SIGNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("sid", pa.int64()), ("keys", pa.list_(pa.int64()))])
+SETS = pa.schema([("sid", pa.int64()), ("set", pa.list_(pa.int64()))])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * MIX
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
+    """The sorted set of hashed shingles of a whole text; a text without words has one, of no words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if len(words) < WIDTH:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    h = hashes.array(words)
+    n = len(h) - WIDTH + 1
+    out = h[:n].copy()
+    for i in range(1, WIDTH):
+        out = out * STEP + h[i : i + n]
+    return np.unique(_mixed(out))
+
+
+def minima(found: np.ndarray, block: int = 2048) -> np.ndarray:
+    """BANDS keys of a set: each hashes ROWS minima and the number of the band."""
+    low = np.full(len(FACTORS), np.iinfo(np.uint64).max)
+    for at in range(0, len(found), block):
+        np.minimum(low, np.multiply.outer(FACTORS, found[at : at + block]).min(axis=1), out=low)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for part in low.reshape(BANDS, ROWS).T:
+        key = _mixed(key * STEP + part)
+    return key.view(np.int64)
+
+
+def _sid(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes(), 42) - (1 << 63)
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """(doc_id, h: hash of the text, sid: hash of its set, keys): one row for each row of docs."""
+
+    def run(batches):
+        hashes = WordHashes(50_000)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                sids, keys = [], []
+                for t in b.column(2):
+                    found = shingles(t.as_py(), hashes)
+                    sids.append(_sid(found))
+                    keys.append(minima(found))
+                lists = pa.ListArray.from_arrays(pa.array(range(0, BANDS * len(keys) + 1, BANDS), pa.int32()), pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sids, pa.int64()), lists], schema=SIGNED)
+
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text")).mapInArrow(tidy(run), "doc_id long, h long, sid long, keys array<long>")
+
+
+def _sets(docs: DataFrame, marks: DataFrame, sids: DataFrame) -> DataFrame:
+    """(sid, set) for the given sids, from one text of each."""
+    one = cut(marks.select("sid", "h").join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("h").alias("h")))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"))
+    texts = texts.join(F.broadcast(one) if one.count() <= MOST_KEYS else one, "h").groupBy("sid").agg(F.first("text").alias("text"))
+
+    def run(batches):
+        hashes = WordHashes(50_000)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                found = [pa.array(shingles(t.as_py(), hashes).view(np.int64)) for t in b.column(1)]
+                ends = np.cumsum([0, *map(len, found)])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(found))], schema=SETS)
+
+    return cut(texts.mapInArrow(tidy(run), "sid long, set array<long>"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more: 9 shared of 4 in both, in whole numbers."""
+    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("set").alias("y")), "b")
+    m, n = F.size("x"), F.size("y")
+    near = (F.least(m, n) * 5 >= F.greatest(m, n) * 4) & (F.size(F.array_intersect("x", "y")) * 9 >= (m + n) * 4)
+    return cut(both.filter(near).select("a", "b"))
+
+
+def links(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(a, b) of sids that connect all similar sets that meet; marks are signed(docs)."""
+    rows = marks.select("sid", F.explode("keys").alias("key"))
+    lead = cut(rows.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("most")).filter("lead < most").select("key", "lead"))
+    rows = cut(rows.join(lead, "key").distinct())
+    sets = _sets(docs, marks, rows.select("sid").distinct())
+    first = _verified(rows.filter("sid <> lead").select(F.col("sid").alias("a"), F.col("lead").alias("b")).distinct(), sets)
+    whole = components(first)
+    root = F.coalesce("b", "sid")
+    rows = rows.join(whole.withColumnRenamed("a", "sid"), "sid", "left").select("key", "sid", "lead", root.alias("c"))
+    split = rows.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("key")
+    sizes = sets.select("sid", F.size("set").alias("n"))
+    rows = cut(rows.filter("sid <> lead").join(cut(split), "key", "left_semi").join(sizes, "sid").select("key", "sid", "c", "n"))
+    other = rows.select("key", *(F.col(x).alias(f"{x}2") for x in ("sid", "c", "n")))
+    near = (F.least("n", "n2") * 5 >= F.greatest("n", "n2") * 4) & (F.col("sid") > F.col("sid2")) & (F.col("c") != F.col("c2"))
+    pairs = rows.join(other, (rows["key"] == other["key"]) & near).select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
+    return whole.select("a", "b").union(_verified(pairs, sets))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, component_id, the smallest doc_id reachable over links."""
+    marks = cut(signed(docs))
+    roots = components(links(docs, marks)).select(F.col("a").alias("sid"), F.col("b").alias("root"))
+    least = marks.groupBy("sid").agg(F.min("doc_id").alias("least")).join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    classes = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marks.select("doc_id", "sid").join(least.join(classes, "root").select("sid", "component_id"), "sid").select("doc_id", "component_id")

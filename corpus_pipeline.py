@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, packing, pii, queries, simhash, similar, toxicity
-from quillspark.llm.common import read, without
+from quillspark.llm.common import cut, read, without
 
 #: No SQL for the result: the stages hold trained models and hashes that SQL lacks. See tests/llm/test_pipeline.py.
 ORACLE_SQL = None
@@ -40,12 +40,17 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _keep_one(docs: DataFrame, near_duplicates) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; of rows that repeat its id, one."""
-    keyed = docs.withColumn("_key", _key())
-    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
-    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c"))
-    once = without(keyed, ids.filter("doc_id <> c or n > 1").select(F.col("doc_id").alias("_key")), "_key")
-    repeated = keyed.join(ids.filter("doc_id = c and n > 1").select(F.col("doc_id").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"])
+    """Of each group of near-duplicates the row with the smallest id stays; of rows with the same id and text, one.
+
+    Rows that repeat an id with another text are judged by their own text.
+    """
+    keyed = docs.withColumn("_key", _key()).withColumn("_row", F.xxhash64("_key", F.coalesce("text", F.lit(""))))
+    found = cut(near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("c")))
+    rows = cut(found.groupBy("_row").agg(F.first("c").alias("c"), F.count(F.lit(1)).alias("n")).join(keyed.groupBy("_row").agg(F.min("_key").alias("_key")), "_row"))
+    first = rows.groupBy("c").agg(F.min(F.struct("_key", "_row"))["_row"].alias("first"))
+    rows = cut(rows.join(first, "c").select("_row", "n", (F.col("_row") == F.col("first")).alias("stays")))
+    once = without(keyed, rows.filter("not stays or n > 1"), "_row")
+    repeated = keyed.join(rows.filter("stays and n > 1").select("_row"), "_row", "left_semi").dropDuplicates(["_row"])
     return once.unionByName(repeated).select(*docs.columns)
 
 

@@ -1,14 +1,17 @@
 """Approximate nearest neighbours: inverted file of coarse centroids with product-quantised residuals.
 
 Fit (bounded): centroids by spherical k-means and codebooks of the residuals on at most `sample_rows` vectors.
-Index (all rows): each vector goes to its nearest centroid; its residual is coded in `parts` bytes, and the length
-of what the code misses is stored with it. Lists are cut into slices of at most `slice_rows` rows, queries of a list
-into blocks of `block_rows`, so a hot list is many tasks.
-Search: asymmetric distance tables (query part by codeword) give each candidate's similarity up to its stored error.
-A candidate survives if similarity plus error reaches the k-th largest similarity minus error, so no candidate of a
-probed list is lost, however many tie; survivors are reranked by the exact cosine of the original vectors there.
-Only `probe_share` of the lists is visited: that is the one approximation. Vectors without any cluster structure
-need a large share; where lists are far apart, a small one does.
+Index (all rows): each vector goes to its nearest centroid and its residual is coded in `parts` bytes.
+Search: asymmetric distance tables (exact query part by codeword) score every coded row of the `probe_share` lists
+that are nearest to a query. Of these the `rerank` best by that score go on, all that tie with the last one included,
+and only these are compared exactly, by the cosine of the original vectors. So there are two approximations, each with
+a parameter: the share of lists visited and the number reranked. Codes and ids alone pass through the search; original
+vectors are joined for the short lists.
+
+A row that can't be among a query's `rerank` best is left out early: the sample's rows, scored by the same tables,
+give each query a floor that at least `rerank` rows of its visited lists reach.
+Lists are cut into slices of at most `slice_rows` rows, queries of a list into blocks of `block_rows`, so a hot list is
+many tasks. Vectors without any cluster structure need a large share; where lists are far apart, a small one does.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, cut, tidy
 
-SAMPLE_ROWS, PARTS, PROBE_SHARE, MOST_LISTS = 16_384, 16, 0.8, 4096
+SAMPLE_ROWS, SAMPLE_BYTES, PART_WIDTH, PROBE_SHARE, RERANK, MOST_LISTS = 16_384, 1 << 25, 2, 0.8, 200, 4096
 SLICE_ROWS, BLOCK_ROWS = 16_384, 4096
 
 
@@ -67,31 +70,33 @@ class Index:
         return np.pad(x, ((0, 0), (0, self.padded - self.dim))).reshape(len(x), self.books.shape[0], -1)
 
     def encode(self, x: np.ndarray):
-        """List, code and error length of unit vectors."""
+        """List and code of unit vectors."""
         own = nearest(x, self.centres)
         rest = self.split(x - self.centres[own])
-        codes = np.stack([nearest(rest[:, p], book) for p, book in enumerate(self.books)], axis=1).astype(np.uint8)
-        miss = rest - self.books[np.arange(len(self.books)), codes]
-        return own, codes, np.sqrt((miss * miss).sum(axis=(1, 2)))
+        return own, np.stack([nearest(rest[:, p], book) for p, book in enumerate(self.books)], axis=1).astype(np.uint8)
 
     def probes(self, q: np.ndarray, share: float) -> np.ndarray:
         """The lists to visit for each query, nearest first."""
         n = max(1, math.ceil(share * len(self.centres)))
         return np.argsort(-(q @ self.centres.T), axis=1, kind="stable")[:, :n]
 
-    def similarity(self, q: np.ndarray, own: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric: exact queries against coded rows of one list."""
-        tables = np.einsum("qpd,pcd->qpc", self.split(q), self.books)
-        out = np.repeat(q @ self.centres[own][:, None], len(codes), axis=1)
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """parts x codewords x queries: the products of each query's part with each codeword."""
+        return np.einsum("qpd,pcd->pcq", self.split(q), self.books).astype(np.float32)
+
+    def similarity(self, tables: np.ndarray, q: np.ndarray, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """rows x queries, asymmetric: exact queries against coded rows, `own` being the list of each row."""
+        out = (self.centres[own] @ q.T).astype(np.float32)
         for p in range(codes.shape[1]):
-            out += tables[:, p][:, codes[:, p]]
+            out += tables[p][codes[:, p]]
         return out
 
 
-def fit(x: np.ndarray, lists: int, parts: int = PARTS, seed: int = 7) -> Index:
+def fit(x: np.ndarray, lists: int, parts: int | None = None, seed: int = 7) -> Index:
+    """`parts` is the dimension by PART_WIDTH, if it isn't given."""
     rng = np.random.default_rng(seed)
     dim = x.shape[1]
-    parts = min(parts, dim)
+    parts = min(parts or -(-dim // PART_WIDTH), dim)
     width = -(-dim // parts)
     centres = kmeans(x, lists, 8, rng, spherical=True)
     index = Index(centres, np.zeros((parts, 1, width)), dim)
@@ -115,73 +120,100 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int = SAMPLE_ROWS, lists: int | None = None, parts: int = PARTS, probe_share: float = PROBE_SHARE, slice_rows: int = SLICE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _best(near: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest value of each column; -inf where a column has fewer."""
+    return np.partition(near, -k, axis=0)[-k] if len(near) >= k else np.full(near.shape[1], -np.inf, near.dtype)
+
+
+def _blob(rows: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int = SAMPLE_ROWS, lists: int | None = None, parts: int | None = None, probe_share: float = PROBE_SHARE, rerank: int = RERANK, slice_rows: int = SLICE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k nearest rows of `vectors` (vec_id, embedding) to each row of `queries`, its own vec_id excepted.
 
     Returns query_id, rank (from 1), vec_id, score (cosine in double precision on the original vectors), ties to the
     smaller vec_id. Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
-    another length than the most common one, nor null ids. A repeated vec_id among the queries counts once; repeated
-    rows of `vectors` are candidates each. No valid rows give no rows.
+    another length than the most common one, nor null ids. Of a vec_id that repeats among the queries the vector with
+    the smallest components, compared in order, is searched; repeated rows of `vectors` are candidates each. No valid
+    rows give no rows. Copies of one vector, however many, cost a query no more than k + 1 of them.
     """
     spark = vectors.sparkSession
     rows = valid(vectors)
-    sample = bounded_sample(rows, "vec_id", sample_rows).select("embedding", "n").toPandas()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if sample.empty:
-        return empty
+    rerank = max(rerank, k)
+    first = rows.select(F.size("embedding").alias("dim")).first()
+    if first is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # Bounded by rows and by bytes: long vectors give fewer rows, but no fewer than there are codewords.
+    sample_rows = max(256, min(sample_rows, SAMPLE_BYTES // (8 * first["dim"])))
+    sample = bounded_sample(rows, "vec_id", sample_rows).select("vec_id", "embedding", "n").toPandas()
     x = unit(np.stack(sample["embedding"].to_numpy()))
     index = fit(x, lists or min(MOST_LISTS, max(1, math.isqrt(int(sample["n"][0])))), parts)
-    dim = index.dim
+    known, (known_list, known_code) = sample["vec_id"].to_numpy(), index.encode(x)
 
     def encode(batches):
         for b in batches:
             if b.num_rows:
                 raw = _matrix(b.column(1))
-                own, codes, miss = index.encode(unit(raw))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(miss), pa.array([r.tobytes() for r in raw], pa.binary())], names=["list", "vec_id", "code", "miss", "raw"])
+                own, codes = index.encode(unit(raw))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), b.column(0), _blob(codes), _blob(raw)], names=["list", "vec_id", "code", "raw"])
 
     def probe(batches):
         for b in batches:
-            if b.num_rows:
-                raw = _matrix(b.column(1))
-                found = index.probes(unit(raw), probe_share)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(found.tolist(), pa.list_(pa.int32()))], names=["query_id", "raw", "lists"])
-
-    coded = cut(rows.select("vec_id", "embedding").mapInArrow(tidy(encode), "list int, vec_id long, code binary, miss double, raw binary"))
-    asked = valid(queries).dropDuplicates(["vec_id"]).filter(F.size("embedding") == dim)
-    asked = cut(asked.select("vec_id", "embedding").mapInArrow(tidy(probe), "query_id long, raw binary, lists array<int>"))
-    asked = asked.select("query_id", "raw", F.explode("lists").alias("list"))
+            for at in range(0, b.num_rows, 512):
+                some = b.slice(at, 512)
+                raw, ids = _matrix(some.column(1)), some.column(0).to_numpy(zero_copy_only=False)
+                q = unit(raw)
+                found = index.probes(q, probe_share)
+                visited = np.zeros((len(index.centres), len(q)), bool)
+                visited[found.T, np.arange(len(q))] = True
+                near = np.where(visited[known_list] & (known[:, None] != ids), index.similarity(index.tables(q), q, known_list, known_code), -np.inf)
+                # Slack for sums in another order.
+                floor = (_best(near, rerank) - 1e-4).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([some.column(0), _blob(raw), pa.array(floor), pa.array(found.tolist(), pa.list_(pa.int32()))], names=["query_id", "raw", "floor", "lists"])
+
+    # Of equal vectors only the k + 1 smallest ids, and of equal rows only k, can be among a query's k nearest.
+    same = Window.partitionBy("embedding", "vec_id").orderBy("n"), Window.partitionBy("embedding").orderBy("vec_id")
+    rows = rows.withColumn("i", F.row_number().over(same[0])).filter(F.col("i") <= k).withColumn("i", F.dense_rank().over(same[1])).filter(F.col("i") <= k + 1)
+    coded = cut(rows.select("vec_id", "embedding").mapInArrow(tidy(encode), "list int, vec_id long, code binary, raw binary").withColumn("row", F.monotonically_increasing_id()))
+    asked = valid(queries).filter(F.size("embedding") == index.dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = cut(asked.mapInArrow(tidy(probe), "query_id long, raw binary, floor float, lists array<int>"))
+    probed = asked.select("query_id", "raw", "floor", F.explode("lists").alias("list"))
     # One row for each list, of which there are at most MOST_LISTS: small enough to broadcast.
     parts_of = lambda df, most, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
-    cuts = F.broadcast(parts_of(coded, slice_rows, "slices").join(parts_of(asked, block_rows, "blocks"), "list"))
-    left = coded.join(cuts, "list").select("list", F.expr("int(pmod(xxhash64(vec_id, raw), slices))").alias("slice"), F.expr("explode(sequence(0, blocks - 1))").alias("block"), "vec_id", "code", "miss", "raw")
-    right = asked.join(cuts, "list").select("list", F.expr("explode(sequence(0, slices - 1))").alias("slice"), F.expr("int(pmod(xxhash64(query_id), blocks))").alias("block"), "query_id", "raw")
+    cuts = F.broadcast(parts_of(coded, slice_rows, "slices").join(parts_of(probed, block_rows, "blocks"), "list"))
+    left = coded.join(cuts, "list").select("list", F.expr("int(pmod(xxhash64(row), slices))").alias("slice"), F.expr("explode(sequence(0, blocks - 1))").alias("block"), "vec_id", "row", "code")
+    right = probed.join(cuts, "list").select("list", F.expr("explode(sequence(0, slices - 1))").alias("slice"), F.expr("int(pmod(xxhash64(query_id), blocks))").alias("block"), "query_id", "raw", "floor")
 
     def rank(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        parts = []
         if len(rows) and len(asked):
-            own = int(rows["list"].iloc[0])
-            ids, codes, miss = rows["vec_id"].to_numpy(), np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1), rows["miss"].to_numpy()
-            raw = unit(np.frombuffer(b"".join(rows["raw"])).reshape(len(rows), -1))
+            own = np.full(len(rows), int(rows["list"].iloc[0]))
+            ids, numbers, codes = rows["vec_id"].to_numpy(), rows["row"].to_numpy(), np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
             step = max(1, 4_000_000 // len(rows))
             for at in range(0, len(asked), step):
-                qids = asked["query_id"].to_numpy()[at : at + step]
-                q = unit(np.frombuffer(b"".join(asked["raw"].iloc[at : at + step])).reshape(len(qids), -1))
-                near = index.similarity(q, own, codes)
-                near[qids[:, None] == ids[None, :]] = -np.inf
-                if len(rows) > k:
-                    low = np.partition(near - miss, -k, axis=1)[:, -k]
-                    keep = near + miss + 1e-9 >= low[:, None]
-                else:
-                    keep = near > -np.inf
-                for i in range(len(qids)):
-                    c = np.flatnonzero(keep[i] & (near[i] > -np.inf))
-                    # Row by row in one order: a matrix product may give copies of a vector scores that differ in the last bit.
-                    exact = (raw[c] * q[i]).sum(axis=1)
-                    best = np.lexsort((ids[c], -exact))[:k]
-                    out += [(int(qids[i]), int(ids[c[j]]), float(exact[j])) for j in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = left.groupBy("list", "slice", "block").cogroup(right.groupBy("list", "slice", "block")).applyInPandas(rank, "query_id long, vec_id long, score double")
+                some = asked.iloc[at : at + step]
+                qids = some["query_id"].to_numpy()
+                q = unit(np.frombuffer(b"".join(some["raw"])).reshape(len(qids), -1))
+                near = index.similarity(index.tables(q), q, own, codes)
+                near[ids[:, None] == qids[None, :]] = -np.inf
+                least = np.maximum(_best(near, rerank), some["floor"].to_numpy())
+                r, c = np.nonzero((near >= least) & (near > -np.inf))
+                parts.append(pd.DataFrame({"query_id": qids[c], "row": numbers[r], "near": near[r, c]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "row": [], "near": []})
+
+    found = left.groupBy("list", "slice", "block").cogroup(right.groupBy("list", "slice", "block")).applyInPandas(rank, "query_id long, row long, near float")
+    # RANK, not ROW_NUMBER: rows whose code ties with the last one are reranked too.
+    short = found.withColumn("n", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("near")))).filter(F.col("n") <= rerank).select("query_id", "row")
+    pairs = short.join(coded.select("row", "vec_id", "raw"), "row").join(asked.select("query_id", F.col("raw").alias("q")), "query_id")
+
+    def exact(batches):
+        for b in batches:
+            if b.num_rows:
+                x, q = (unit(np.frombuffer(b"".join(b.column(c).to_pylist())).reshape(b.num_rows, -1)) for c in (2, 3))
+                # Row by row in one order, so that copies of a vector score alike to the last bit.
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x * q).sum(axis=1))], names=["query_id", "vec_id", "score"])
+
+    scored = pairs.select("query_id", "vec_id", "raw", "q").mapInArrow(tidy(exact), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

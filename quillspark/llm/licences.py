@@ -1,9 +1,12 @@
 """License scans by diagonal voting, by DataFrame functions alone.
 
 Every rolling k-gram of words of every document is hashed and joined to the positions of the templates' k-grams. Each
-match votes for a diagonal (document position minus template position); votes are summed by document, template and
-diagonal; diagonals at most `apart` words apart merge into one span; a span is verified by the share
-of the template's words, or of its own if it is longer, that its matched k-grams cover. Beside it, base phrases are counted in the word sequence itself.
+match votes for a diagonal (document position minus template position), that is, for one place of the template in the
+document; votes are summed by document, template and diagonal. Each diagonal is verified by itself and together with
+its neighbours of at most `apart` words away, by the share of the template's words, or of the span's if it is longer,
+that matched k-grams cover; its score is the better of the two. So a span is never longer than its template and twice
+`apart` words, however many further diagonals stand in a row beside it. Of diagonals that are neighbours the best one
+is reported. Beside it, base phrases are counted in the word sequence itself.
 """
 
 from __future__ import annotations
@@ -55,15 +58,19 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MOST_GRAMS = 200_000
 
 
+#: Parts of a hot k-gram where templates are too many to broadcast.
+SALT = 16
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), NOT_WORD), "")
+    """Words with A-Z, and nothing else, in lower case. For ASCII, lower() does that, in less time."""
+    return F.array_remove(F.split(F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text)), NOT_WORD), "")
 
 
 def template_grams(spark: SparkSession, templates: dict[str, list[str]], k: int = K) -> DataFrame:
     """(gram, template, label, length, position): one row for each k-gram position of each template of k words or more."""
     rows = [(n, label, text) for n, (label, text) in enumerate((label, t) for label, texts in templates.items() for t in texts)]
-    if sum(len(t.split()) for _, _, t in rows) > MOST_GRAMS:
-        raise ValueError(f"templates of more than {MOST_GRAMS} words in all are too large to broadcast")
     df = spark.createDataFrame(rows, "template int, label string, body string").withColumn("w", F.split("body", " "))
     return _grams(df.withColumn("length", F.size("w")), k, "template", "label", "length")
 
@@ -75,29 +82,43 @@ def _grams(rows: DataFrame, k: int, *keep: str) -> DataFrame:
     return rolled.select(*keep, "position", F.xxhash64(*(F.col(f"g.`{i}`") for i in range(k))).alias("gram"))
 
 
-def spans(docs: DataFrame, templates: dict[str, list[str]] | None = None, k: int = K, apart: int = APART, close: float = CLOSE) -> DataFrame:
+def spans(docs: DataFrame, templates: dict[str, list[str]] | None = None, k: int = K, apart: int = APART, close: float = CLOSE, most_grams: int = MOST_GRAMS) -> DataFrame:
     """Verified spans of docs (row_key, text): row_key, template, label, first_word, end_word, votes, score.
 
     score is the number of template words that matched k-grams of the span cover, by the longer length of template
-    and span; spans below `close` are dropped.
+    and span; spans below `close` are dropped. Rows that repeat a key count once. Templates of more than `most_grams`
+    words in all are joined by a shuffle on salted k-grams, fewer are broadcast.
     """
     spark = docs.sparkSession
-    grams = template_grams(spark, TEMPLATES if templates is None else templates, k)
+    templates = TEMPLATES if templates is None else templates
+    grams = template_grams(spark, templates, k)
     lengths = grams.select("template", "label", "length").distinct()
     rolled = _grams(docs.select("row_key", words(F.col("text")).alias("w")), k, "row_key")
-    votes = rolled.join(F.broadcast(grams.select("gram", "template", F.col("position").alias("at"))), "gram")
-    votes = votes.withColumn("diagonal", F.col("position") - F.col("at"))
-    # Sums before the shuffle; a template in every line of a document is still one row for each place.
-    lines = votes.groupBy("row_key", "template", "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.min("position").alias("low"), F.max("position").alias("high"), F.collect_set("at").alias("places"))
-    order = Window.partitionBy("row_key", "template").orderBy("diagonal")
-    lines = lines.withColumn("new", (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(apart + 1)) > apart).cast("int"))
-    lines = lines.withColumn("span", F.sum("new").over(order))
-    merged = lines.groupBy("row_key", "template", "span").agg(F.sum("votes").alias("votes"), F.min("low").alias("first_word"), (F.max("high") + k).alias("end_word"), F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"))
-    merged = merged.join(F.broadcast(lengths), "template")
-    # Words of the template that matched k-grams cover, and the longer of the span and the template.
-    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + k - 1)))))
-    merged = merged.withColumn("score", covered / F.greatest(F.col("length"), F.col("end_word") - F.col("first_word")))
-    return merged.filter(F.col("score") >= close).select("row_key", "template", "label", F.col("first_word").cast("long"), F.col("end_word").cast("long"), "votes", "score")
+    at = grams.select("gram", "template", F.col("position").alias("at"))
+    if sum(len(t.split()) for texts in templates.values() for t in texts) <= most_grams:
+        votes, lengths = rolled.join(F.broadcast(at), "gram"), F.broadcast(lengths)
+    else:
+        salted = at.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        votes = rolled.withColumn("salt", F.pmod("position", F.lit(SALT))).join(salted, ["gram", "salt"])
+    # One row for each place of a template: at most as many places of k-grams as the template has.
+    lines = votes.groupBy("row_key", "template", (F.col("position") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("places"))
+    near = Window.partitionBy("row_key", "template").orderBy("diagonal").rangeBetween(-apart, apart)
+    low, high = F.array_min("places") + F.col("diagonal"), F.array_max("places") + F.col("diagonal") + k
+    lines = lines.withColumns({"low": low, "high": high}).join(lengths, "template")
+    around = lines.withColumns({"all_places": F.array_distinct(F.flatten(F.collect_list("places").over(near))), "all_low": F.min("low").over(near), "all_high": F.max("high").over(near)})
+
+    def score(places: str, low: str, high: str) -> Column:
+        covered = F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + k - 1)))))
+        return covered / F.greatest(F.col("length"), F.col(high) - F.col(low))
+
+    scored = around.withColumns({"alone": score("places", "low", "high"), "merged": score("all_places", "all_low", "all_high")}).withColumn("score", F.greatest("alone", "merged"))
+    scored = scored.filter(F.col("score") >= close)
+    # Among neighbours the best score stands, then a diagonal by itself, then the first.
+    rank = F.struct("score", (F.col("alone") >= F.col("merged")).alias("own"), (-F.col("diagonal")).alias("place"))
+    best = scored.withColumn("rank", rank).withColumn("top", F.max("rank").over(near)).filter(F.col("rank") == F.col("top"))
+    own = F.col("rank.own")
+    pick = lambda a, b: F.when(own, F.col(a)).otherwise(F.col(b))
+    return best.select("row_key", "template", "label", pick("low", "all_low").cast("long").alias("first_word"), pick("high", "all_high").cast("long").alias("end_word"), F.size(pick("places", "all_places")).cast("long").alias("votes"), "score")
 
 
 def _base(row: DataFrame) -> DataFrame:
@@ -133,10 +154,10 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> Data
 
     score is the best verified span's score, at least 0.5 where a base phrase stands, else 0. A null or empty text has
     no words, no labels and score 0; a null doc_id keeps its row; rows that repeat a doc_id are scanned each by its
-    own text: spans are looked for in each distinct (doc_id, text). No rows give no rows.
+    own text: rows of one key (doc_id and a 64-bit hash of the text) have the same spans. No rows give no rows.
     """
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = own.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    keyed = own.withColumn("row_key", F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("text")))
     found = spans(keyed.select("row_key", "text"), templates).groupBy("row_key").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     line = _base(keyed.select("doc_id", "row_key", words(F.col("text")).alias("w"))).drop("w", "line")
     both = line.join(found, "row_key", "left")

@@ -7,11 +7,13 @@ What is open at a partition's end is merged in groups of `merge` partitions, cut
 most one sequence that is not full.
 
 Tokenising: byte-level BPE splits never cross a blank followed by a word, so a text whose only white space is single
-blanks and line ends is encoded word by word ("blank + word" units, remembered); other texts go whole to the encoder.
+blanks and line ends is encoded word by word ("blank + word" units, remembered). All other texts go whole to the encoder,
+so do texts that hold one of its added tokens, and every text where the file's settings aren't those of plain byte-level BPE.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 
@@ -28,7 +30,7 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 SPARK_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-#: Fixed value: the split pattern of byte-level BPE of this kind.
+#: Fixed value: the split pattern of the ByteLevel pre-tokenizer.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -51,11 +53,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        signs = byte_signs()
-        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        ranks = {bytes(signs[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in added}
-        self.word = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.added = [t["content"] for t in file.get("added_tokens") or []]
+        split, model = file.get("pre_tokenizer") or {}, file["model"]
+        self.plain = not file.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
+        if self.plain:
+            signs, own = byte_signs(), set(self.added)
+            ranks = {bytes(signs[c] for c in token): i for token, i in model["vocab"].items() if token not in own}
+            self.word = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.end, self.most, self.memo = np.array([end], "<u4").tobytes(), most, {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -65,7 +71,9 @@ class Encoder:
         return [array("I", self.word(w)).tobytes() for w in words]
 
     def units(self, text: str) -> list[str] | None:
-        """Parts that can be encoded by themselves, or None: white space other than single blanks and line ends, or long parts."""
+        """Parts that can be encoded by themselves, or None: white space other than single blanks and line ends, long parts or added tokens."""
+        if not self.plain or any(t in text for t in self.added):
+            return None
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n" or not text:
             return None
         words = text.replace("\n", " \n").split(" ")

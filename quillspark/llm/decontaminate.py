@@ -3,18 +3,21 @@
 Every word trigram of the test items is a seed. One pass over the corpus finds all places of all seeds and emits,
 for each document and item, windows of word hashes around them. A window with STRONG different seeds of its item is
 aligned in any case. Windows with fewer show how often a seed turns up by chance: a seed is rare if at most
-`rare_share` of the documents (and `rare_least` of them at any size) hold it in such a window, so a leak that is
-itself frequent doesn't make its seeds common. Weak windows are aligned if they hold a rare seed; an item without any
+`rare_share` of the documents (and `rare_least` of them at any size) hold it in such windows of different words, so
+copies of a document, or a leak that is itself frequent, don't make their seeds common. Weak windows are aligned if they hold a rare seed; an item without any
 rare seed uses all its seeds, so no item is lost.
 A document is contaminated by an item when the best local alignment of words (match 2, mismatch -1, gap -1)
 reaches `threshold` of what the whole item would score against itself.
 
-Items of fewer than three words take no part. Test items are taken to the tasks in blocks of at most `block_items`
+Items of fewer than three words have no seeds; they are found where their words stand in that order, whole, with a score
+of 1. Items without words take no part. Test items are taken to the tasks in blocks of at most `block_items`
 items, one pass over the corpus for each block, so what a task holds has a bound whatever the number of items.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +52,7 @@ class Seeds:
     def __init__(self, items: list[np.ndarray]):
         grams = [ngrams(x) for x in items]
         self.items, self.lengths = items, np.array([len(x) for x in items], np.int64)
+        self.short = [(k, x) for k, x in enumerate(items) if len(x) < N]
         flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
         at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
@@ -87,9 +91,22 @@ class Seeds:
             while j < len(item) and item[j] == item[i] and lo[j] <= end:
                 end = max(end, hi[j])
                 j += 1
-            yield int(item[i]), int(lo[i]), np.unique(s[i:j]).tolist(), h[lo[i] : end]
+            # A phrase that repeats makes a long run. An alignment with a score above zero spans at most
+            # three times the item's words, so pieces that overlap by as much lose none, and keep memory bounded.
+            found, n = np.unique(s[i:j]).tolist(), int(self.lengths[item[i]])
+            for at in range(lo[i], max(lo[i] + 1, end - 3 * n), 5 * n):
+                yield int(item[i]), int(at), found, h[at : min(end, at + 8 * n)]
             i = j
 
+    def whole(self, h: np.ndarray):
+        """(item, start) of the first place of each item of fewer than N words."""
+        for no, words in self.short:
+            hit = h[: len(h) - len(words) + 1] == words[0]
+            if len(words) == 2 and len(h) > 1:
+                hit &= h[1:] == words[1]
+            if len(h) >= len(words) and hit.any():
+                yield no, int(hit.argmax())
+
 
 def align(item: np.ndarray, windows: list[np.ndarray]) -> list[tuple[float, int, int]]:
     """Best local alignment of the item with each window: (score, start, end) in the window, end exclusive."""
@@ -130,7 +147,9 @@ def _hits(docs: DataFrame, items: list[list[bytes]], batch: int = 200) -> DataFr
         for b in batches:
             rows = []
             for row, doc, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                for item, start, found, window in seeds.windows(memo.array(words_of(text))):
+                h = memo.array(words_of(text))
+                hits = ((item, start, None, h[start : start + len(seeds.items[item])]) for item, start in seeds.whole(h))
+                for item, start, found, window in chain(seeds.windows(h), hits):
                     rows.append((row, doc, item, start, found, window.tobytes()))
                     if len(rows) >= 2000:
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), HITS, strict=True)], schema=HITS)
@@ -165,28 +184,28 @@ def _aligned(hits: DataFrame, items: list[list[bytes]], threshold: float, batch:
     return hits.select("doc_row", "doc_id", "item_no", "start", "window").mapInArrow(tidy(run), schema)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, rare_share: float = RARE_SHARE, rare_least: int = RARE_LEAST, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, rare_share: float = RARE_SHARE, rare_least: int = RARE_LEAST, block_items: int = BLOCK_ITEMS, row: str = "doc_id") -> DataFrame:
     """(doc_row, doc_id, item_id, score, start, end): document rows that hold a test item, best place of each pair.
 
-    doc_row is the document's own `doc_row` column if it has one, else its doc_id. score is 0 to 1; start and end are
-    word positions in the document, end exclusive. Null or empty texts hold nothing; a null item_id keeps its hits; items that repeat
-    are reported each. An empty table of either kind gives no rows.
+    `row` names the column of docs, a whole number, that tells rows apart; it is returned as doc_row. score is 0 to 1;
+    start and end are word positions in the document, end exclusive. Null or empty texts hold nothing; a null item_id
+    keeps its hits; items that repeat are reported each. An empty table of either kind gives no rows.
     """
-    docs = docs.select(F.col("doc_row" if "doc_row" in docs.columns else "doc_id").cast("long").alias("doc_row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col(f"`{row}`").cast("long").alias("doc_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     n_items, n_docs, spark = items.count(), docs.count(), docs.sparkSession
     blocks, out = max(1, -(-n_items // block_items)), None
     most = max(rare_least, int(rare_share * n_docs))
     for k in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        got = [(i, w) for i, t in own.collect() if len(w := words_of(t)) >= N]
+        got = [(i, w) for i, t in own.collect() if (w := words_of(t))]
         words = [w for _, w in got]
         hits = _hits(docs, words)
-        weak = hits.filter(F.size("seeds") < STRONG).select("hit", "doc_row", "item_no", F.explode("seeds").alias("seed"))
-        often = weak.select("doc_row", "seed").distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > most)
+        weak = hits.filter(F.size("seeds") < STRONG).select("hit", F.xxhash64("window").alias("window"), "item_no", F.explode("seeds").alias("seed"))
+        often = weak.select("window", "seed").distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > most)
         often = F.broadcast(often) if sum(len(w) for w in words) <= MOST_SEEDS else often
         rare_hits = weak.join(often, "seed", "left_anti").select("hit", "item_no")
-        strong = hits.filter(F.size("seeds") >= STRONG).select("hit", "item_no")
+        strong = hits.filter(F.col("seeds").isNull() | (F.size("seeds") >= STRONG)).select("hit", "item_no")
         having = rare_hits.select("item_no").union(strong.select("item_no")).distinct()
         having = F.broadcast(having) if len(words) <= MOST_SEEDS else having
         common = weak.join(having, "item_no", "left_anti").select("hit")

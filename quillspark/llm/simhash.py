@@ -6,10 +6,11 @@ Documents link when fingerprints differ in at most `radius` bits.
 
 Search: two fingerprints within 3 bits agree on one of four 16-bit blocks, and in the remaining 48 bits on one of
 four 12-bit blocks, so each fingerprint goes to 16 buckets keyed by 28 of its bits. A bucket is a shard with a
-BK-tree of its own; only buckets with two or more fingerprints are kept. A bucket beyond `shard_size` is cut into
-shards of that size and every pair of its shards meets (tree of the one, queries from the other), so nothing is
-dropped. Shard trees are routed to the fingerprints that can link to them and not broadcast to all tasks: their
-total size grows with the corpus and has no bound.
+BK-tree of its own; only buckets with two or more fingerprints are kept. Where these hold at most `most_trees`
+fingerprints in all, counted first, the shards are broadcast: each process builds a shard's tree once and searches it for
+the fingerprints of its own rows. Beyond that bound, as trees grow with the corpus, they are routed instead: a bucket
+meets in one task, and one beyond `shard_size` is cut into shards of that size of which every pair meets (tree of the
+one, queries from the other), so nothing is dropped. Both ways give the same links.
 
 Each shard emits only a star for each group that it finds, never all pairs. Components over the stars are found by
 alternating large and small stars, with reliable checkpoints.
@@ -27,6 +28,8 @@ from .common import cut, tidy
 
 RADIUS = 3
 SHARD_SIZE = 2048
+#: The most fingerprints in shard trees that are broadcast: some 16 MB as trees in each process.
+MOST_TREES = 100_000
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -91,27 +94,40 @@ class BKTree:
         return found
 
 
-def stars(left: list[int], right: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """(member, smallest member) of each linked group: within left, or between left and right."""
-    parent: dict[int, int] = {}
+class Groups:
+    """Disjoint sets of numbers, each known by its smallest member."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
-    def find(x: int) -> int:
+    def find(self, x: int) -> int:
+        parent = self.parent
         while parent.setdefault(x, x) != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    tree = BKTree()
+    def join(self, x: int, y: int) -> None:
+        a, b = self.find(x), self.find(y)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+    def stars(self) -> list[tuple[int, int]]:
+        """(member, smallest member) of each group."""
+        return [(x, self.find(x)) for x in list(self.parent) if self.find(x) != x]
+
+
+def stars(left: list[int], right: list[int] | None, radius: int) -> list[tuple[int, int]]:
+    """(member, smallest member) of each linked group: within left, or between left and right."""
+    groups, tree = Groups(), BKTree()
     if right is not None:
         for x in left:
             tree.add(x)
     for x in left if right is None else right:
         for y in tree.within(x, radius):
-            a, b = find(x), find(y)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
+            groups.join(x, y)
         if right is None:
             tree.add(x)
-    return [(x, find(x)) for x in list(parent) if find(x) != x]
+    return groups.stars()
 
 
 def _buckets(fps: DataFrame) -> DataFrame:
@@ -124,35 +140,72 @@ def _buckets(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
-def links(fps: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
+_MASK = (1 << 64) - 1
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _edges(pairs) -> pa.RecordBatch:
+    pairs = [(_signed(x), _signed(y)) for x, y in pairs]
+    return pa.RecordBatch.from_arrays([pa.array([max(x) for x in pairs], pa.int64()), pa.array([min(x) for x in pairs], pa.int64())], schema=EDGES)
+
+
+def links(fps: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE, most_trees: int = MOST_TREES) -> DataFrame:
     """Stars (a, b), a > b, over distinct fingerprints `fp`, that connect all within the radius (at most 3)."""
     if not 0 <= radius <= 3:
         raise ValueError("radius must be 0 to 3: the buckets find no further links")
     rows = _buckets(fps)
     full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = cut(rows.join(full, "key"))
+    found = _broadcast(rows, radius) if rows.count() <= most_trees else _routed(rows, radius, shard_size)
+    return found.distinct()
+
+
+def _broadcast(rows: DataFrame, radius: int) -> DataFrame:
+    shards: dict[int, list[int]] = {}
+    for r in rows.select("key", "fp").collect():
+        shards.setdefault(r["key"], []).append(r["fp"] & _MASK)
+    shared = rows.sparkSession.sparkContext.broadcast({k: sorted(x) for k, x in shards.items()})
+
+    def run(batches):
+        trees: dict[int, BKTree] = {}
+        for b in batches:
+            groups = Groups()
+            for key, fp in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if key not in trees:
+                    trees[key] = BKTree()
+                    for x in shared.value[key]:
+                        trees[key].add(x)
+                for y in trees[key].within(fp & _MASK, radius):
+                    groups.join(fp & _MASK, y)
+            yield _edges(groups.stars())
+
+    # By key, so that a tree is built in one process.
+    return rows.select("key", "fp").repartition("key").mapInArrow(tidy(run), "a long, b long")
+
+
+def _routed(rows: DataFrame, radius: int, shard_size: int) -> DataFrame:
     rows = (
-        rows.join(full, "key")
-        .withColumn("shards", F.ceil(F.col("n") / shard_size).cast("int"))
+        rows.withColumn("shards", F.ceil(F.col("n") / shard_size).cast("int"))
         .withColumn("s", F.expr("int(pmod(xxhash64(fp), shards))"))
         .withColumn("t", F.explode(F.expr("sequence(0, shards - 1)")))
-        .select("key", F.least("s", "t").alias("p"), F.greatest("s", "t").alias("q"), (F.col("s") > F.col("t")).alias("far"), (F.col("s") == F.col("t")).alias("same"), "fp")
+        .select("key", F.least("s", "t").alias("p"), F.greatest("s", "t").alias("q"), (F.col("s") > F.col("t")).alias("far"), "fp")
     )
     groups = rows.groupBy("key", "p", "q").agg(
         F.collect_list(F.when(~F.col("far"), F.col("fp"))).alias("near"), F.collect_list(F.when(F.col("far"), F.col("fp"))).alias("away")
     )
 
     def run(batches):
-        mask = (1 << 64) - 1
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
         for b in batches:
             out = set()
             for p, q, near, away in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                near, away = [x & mask for x in near], [x & mask for x in away]
+                near, away = [x & _MASK for x in near], [x & _MASK for x in away]
                 out.update(stars(near, None if p == q else away, radius))
-            pairs = [(signed(x), signed(y)) for x, y in out]
-            yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in pairs], pa.int64()), pa.array([min(x) for x in pairs], pa.int64())], schema=EDGES)
+            yield _edges(out)
 
-    return groups.select("p", "q", "near", "away").mapInArrow(tidy(run), "a long, b long").distinct()
+    return groups.select("p", "q", "near", "away").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -173,16 +226,21 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE, similarity: float | None = None, most_trees: int = MOST_TREES) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id, copies.
 
     component_id is the smallest doc_id reachable over links; copies counts the rows with the same fingerprint.
     Null or empty texts have fingerprint zero and link like any other. A null doc_id keeps its row; a component
     with null ids only has a null component_id. Repeated rows link to each other. No rows give no rows.
+    With a `similarity` the texts' sets of five-word shingles decide instead of the radius: see wide.py.
     """
+    if similarity is not None:
+        from . import wide
+
+        return wide.near_duplicates(docs, similarity, shard_size)
     fp = cut(fingerprints(docs))
     nodes = fp.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    star = components(links(nodes.select("fp"), radius, shard_size))
+    star = components(links(nodes.select("fp"), radius, shard_size, most_trees))
     nodes = nodes.join(star.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(classes, "root").select("fp", "component_id", "copies")

@@ -1,13 +1,20 @@
-"""Near-duplicates by word shingles: texts link if their sets of five-word shingles have a Jaccard similarity of 0.8.
-
-Words are those of simhash (bytes A-Z lower-cased, runs of bytes other than blank and 0x09-0x0D); a text of fewer than
-five words is one shingle. Each set has 36 keys of 6 minima each; two sets meet if a key of theirs is equal. This is the
-one approximation: at a similarity of exactly 0.8 a pair meets in no key with probability (1 - 0.8^6)^36 = 0.00002, at
-0.9 with less than 10^-11. All pairs that meet are verified by the exact similarity of the sets, none is estimated.
-
-The pairs of a bucket are verified in two rounds, so that a large group of copies makes no square of pairs: first each
-set with the smallest of its bucket, then, in buckets that this left in several components, all other pairs of sets of
-different components. A pair within a component can be left out: it changes no component.
+"""Near-duplicates by SimHash where texts count as such at a similarity of their shingles, not at a radius.
+
+Texts link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Words are those of simhash
+(bytes A-Z lower-cased, runs of bytes other than blank and 0x09-0x0D); a text of fewer than five words is one shingle.
+At 0.8 fingerprints of such sets differ in some 10 of 64 bits, and in up to RADIUS of them. Blocks of a fingerprint can't
+route so wide a radius, so the shards of the BK-trees are formed by other keys: each set has BANDS keys of ROWS minima of
+its shingles' hashes each; sets with an equal key share a shard, its tree finds those within RADIUS bits, and the exact
+similarity of the whole sets decides on each pair that a tree finds; none is estimated.
+
+Two approximations, both computed for a similarity of exactly 0.8: a pair shares no key with probability
+(1 - 0.8^ROWS)^BANDS = 0.00007 (at 0.9: 10^-9), and its fingerprints are more than RADIUS bits apart, five standard
+deviations from the mean, with less than 0.00001.
+
+A shard is searched in two rounds, so that a large group of copies makes no square of pairs: first each set is compared
+with the smallest of its shard, then, in shards that this left in several components, the tree is searched for sets of
+other components. A pair within a component can be left out: it changes no component. A shard beyond `shard_size` is
+cut into shards of that size of which every pair meets.
 """
 
 from __future__ import annotations
@@ -19,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import MOST_KEYS, WordHashes, cut, tidy
-from .simhash import components
+from .simhash import _MASK, BKTree, components
 
 WIDTH = 5
-BANDS, ROWS = 36, 6
+BANDS, ROWS, RADIUS = 24, 5, 24
 #: Odd factors: each orders the hashes of shingles anew.
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-SIGNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("sid", pa.int64()), ("keys", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("sid", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
 SETS = pa.schema([("sid", pa.int64()), ("set", pa.list_(pa.int64()))])
 
 
@@ -63,24 +70,33 @@ def _sid(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), 42) - (1 << 63)
 
 
+def fingerprint(found: np.ndarray, block: int = 100_000) -> int:
+    """The fingerprint, as a signed number, of a set of hashed shingles: a bit is set if it is in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), block):
+        ones += np.unpackbits(found[at : at + block].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(found)).tobytes(), "big", signed=True)
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, h: hash of the text, sid: hash of its set, keys): one row for each row of docs."""
+    """(doc_id, h: hash of the text, sid: hash of its set, fp: its fingerprint, keys): one row for each row of docs."""
 
     def run(batches):
         hashes = WordHashes(50_000)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                sids, keys = [], []
+                sids, prints, keys = [], [], []
                 for t in b.column(2):
                     found = shingles(t.as_py(), hashes)
                     sids.append(_sid(found))
+                    prints.append(fingerprint(found))
                     keys.append(minima(found))
                 lists = pa.ListArray.from_arrays(pa.array(range(0, BANDS * len(keys) + 1, BANDS), pa.int32()), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sids, pa.int64()), lists], schema=SIGNED)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sids, pa.int64()), pa.array(prints, pa.int64()), lists], schema=SIGNED)
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text")).mapInArrow(tidy(run), "doc_id long, h long, sid long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text")).mapInArrow(tidy(run), "doc_id long, h long, sid long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, marks: DataFrame, sids: DataFrame) -> DataFrame:
@@ -102,37 +118,62 @@ def _sets(docs: DataFrame, marks: DataFrame, sids: DataFrame) -> DataFrame:
     return cut(texts.mapInArrow(tidy(run), "sid long, set array<long>"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more: 9 shared of 4 in both, in whole numbers."""
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: shared shingles by those of either, in whole thousandths."""
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("set").alias("y")), "b")
-    m, n = F.size("x"), F.size("y")
-    near = (F.least(m, n) * 5 >= F.greatest(m, n) * 4) & (F.size(F.array_intersect("x", "y")) * 9 >= (m + n) * 4)
+    m, n, least = F.size("x"), F.size("y"), round(1000 * similarity)
+    shared = F.size(F.array_intersect("x", "y"))
+    near = (F.least(m, n) * 1000 >= F.greatest(m, n) * least) & (shared * 1000 >= (m + n - shared) * least)
     return cut(both.filter(near).select("a", "b"))
 
 
-def links(docs: DataFrame, marks: DataFrame) -> DataFrame:
+def _searched(rows: DataFrame, similarity: float, shard_size: int) -> DataFrame:
+    """(a, b): pairs of different components that the trees of the shards find; rows are (key, sid, fp, c, n)."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / shard_size).cast("int").alias("shards"))
+    dealt = rows.join(sizes, "key").withColumn("s", F.expr("int(pmod(xxhash64(sid), shards))")).withColumn("t", F.explode(F.expr("sequence(0, shards - 1)")))
+    one = F.struct("fp", "sid", "c", "n")
+    dealt = dealt.select("key", F.least("s", "t").alias("p"), F.greatest("s", "t").alias("q"), F.when(F.col("s") <= F.col("t"), one).alias("near"), F.when(F.col("s") > F.col("t"), one).alias("away"))
+    groups = dealt.groupBy("key", "p", "q").agg(F.collect_list("near").alias("near"), F.collect_list("away").alias("away"))
+
+    def run(batches):
+        for b in batches:
+            a, o = [], []
+            for p, q, near, away in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                tree, own = BKTree(), {}
+                for x in near:
+                    tree.add(x["fp"] & _MASK)
+                    own.setdefault(x["fp"] & _MASK, []).append(x)
+                for x in near if p == q else away:
+                    for f in tree.within(x["fp"] & _MASK, RADIUS):
+                        for y in own[f]:
+                            if x["c"] != y["c"] and min(x["n"], y["n"]) >= similarity * max(x["n"], y["n"]) - 1e-9 and (p != q or x["sid"] > y["sid"]):
+                                a.append(max(x["sid"], y["sid"]))
+                                o.append(min(x["sid"], y["sid"]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(o, pa.int64())], names=["a", "b"])
+
+    return groups.select("p", "q", "near", "away").mapInArrow(tidy(run), "a long, b long").distinct()
+
+
+def links(docs: DataFrame, marks: DataFrame, similarity: float, shard_size: int) -> DataFrame:
     """(a, b) of sids that connect all similar sets that meet; marks are signed(docs)."""
-    rows = marks.select("sid", F.explode("keys").alias("key"))
+    rows = marks.select("sid", "fp", F.explode("keys").alias("key"))
     lead = cut(rows.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("most")).filter("lead < most").select("key", "lead"))
     rows = cut(rows.join(lead, "key").distinct())
     sets = _sets(docs, marks, rows.select("sid").distinct())
-    first = _verified(rows.filter("sid <> lead").select(F.col("sid").alias("a"), F.col("lead").alias("b")).distinct(), sets)
+    first = _verified(rows.filter("sid <> lead").select(F.col("sid").alias("a"), F.col("lead").alias("b")).distinct(), sets, similarity)
     whole = components(first)
-    root = F.coalesce("b", "sid")
-    rows = rows.join(whole.withColumnRenamed("a", "sid"), "sid", "left").select("key", "sid", "lead", root.alias("c"))
+    rows = rows.join(whole.withColumnRenamed("a", "sid"), "sid", "left").select("key", "sid", "fp", "lead", F.coalesce("b", "sid").alias("c"))
     split = rows.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("key")
     sizes = sets.select("sid", F.size("set").alias("n"))
-    rows = cut(rows.filter("sid <> lead").join(cut(split), "key", "left_semi").join(sizes, "sid").select("key", "sid", "c", "n"))
-    other = rows.select("key", *(F.col(x).alias(f"{x}2") for x in ("sid", "c", "n")))
-    near = (F.least("n", "n2") * 5 >= F.greatest("n", "n2") * 4) & (F.col("sid") > F.col("sid2")) & (F.col("c") != F.col("c2"))
-    pairs = rows.join(other, (rows["key"] == other["key"]) & near).select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
-    return whole.select("a", "b").union(_verified(pairs, sets))
+    rows = cut(rows.filter("sid <> lead").join(cut(split), "key", "left_semi").join(sizes, "sid").select("key", "sid", "fp", "c", "n"))
+    return whole.select("a", "b").union(_verified(_searched(rows, similarity, shard_size), sets, similarity))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, component_id, the smallest doc_id reachable over links."""
+def near_duplicates(docs: DataFrame, similarity: float, shard_size: int) -> DataFrame:
+    """What simhash.near_duplicates returns, by the texts' similarity."""
     marks = cut(signed(docs))
-    roots = components(links(docs, marks)).select(F.col("a").alias("sid"), F.col("b").alias("root"))
-    least = marks.groupBy("sid").agg(F.min("doc_id").alias("least")).join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    classes = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marks.select("doc_id", "sid").join(least.join(classes, "root").select("sid", "component_id"), "sid").select("doc_id", "component_id")
+    roots = components(links(docs, marks, similarity, shard_size)).select(F.col("a").alias("sid"), F.col("b").alias("root"))
+    nodes = marks.groupBy("sid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("fp").alias("fp")).join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    classes = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    nodes = nodes.join(classes, "root").select("sid", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
+    return marks.select("doc_id", "sid").join(nodes, "sid").select("doc_id", "fingerprint", "component_id", "copies")

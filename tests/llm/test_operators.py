@@ -69,11 +69,11 @@ def brute_components(prints):
     return [least[g] for g in group]
 
 
-@pytest.mark.parametrize("shard", [2048, 3])
-def test_simhash(docs, none, shard):
+@pytest.mark.parametrize("shard,trees", [(2048, 10_000), (2048, 0), (3, 0)])
+def test_simhash(docs, none, shard, trees):
     prints = [(d, brute_fingerprint(t)) for d, t in rows_of(docs)]
     expected = [(d, f"{f:016x}", c) for (d, f), c in zip(prints, brute_components(prints), strict=True)]
-    got = simhash.near_duplicates(docs, shard_size=shard)
+    got = simhash.near_duplicates(docs, shard_size=shard, most_trees=trees)
     assert same([(r["doc_id"], r["fingerprint"], r["component_id"]) for r in got.collect()], expected)
     assert simhash.near_duplicates(none).count() == 0
 
@@ -91,8 +91,8 @@ def test_links_within_the_radius(spark):
     prints = [(i, p) for i, p in enumerate(sorted(prints))]
     signed = lambda x: x - 2**64 if x >> 63 else x
     df = spark.createDataFrame([(signed(p),) for _, p in prints], "fp long")
-    for size in (2048, 4):
-        root = {r["a"] % 2**64: r["b"] % 2**64 for r in simhash.components(simhash.links(df, shard_size=size)).collect()}
+    for size, trees in ((2048, 10_000), (2048, 0), (4, 0)):
+        root = {r["a"] % 2**64: r["b"] % 2**64 for r in simhash.components(simhash.links(df, shard_size=size, most_trees=trees)).collect()}
         groups = {}
         for i, p in prints:
             groups.setdefault(root.get(p, p), []).append(i)
@@ -182,11 +182,13 @@ def test_decontaminate(spark, none):
     filler = lambda n: " ".join(word() for _ in range(n))
     rows = [(1, f"{filler(40)} {' '.join(item).upper()}. {filler(30)}"), (2, f"{filler(10)}\n{', '.join(edited)} {filler(9)}"), (3, filler(300)), (4, " ".join(item[:5]) + " " + filler(50)), (5, None), (6, ""), (None, " ".join(item)), (1, " ".join(item))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
-    bench = spark.createDataFrame([(7, " ".join(item)), (8, "too short"), (9, None), (10, "the the the the the")], "item_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "too short"), (9, None), (10, "the the the the the"), (11, "  "), (12, f"{item[3]}, {item[4]}"), (13, item[6])], "item_id long, text string")
     for blocks in (1000, 2):
         got = decontaminate.contaminated(docs, bench, rare_least=2, rare_share=0.0, block_items=blocks).collect()
-        assert same([(r["doc_id"], r["item_id"]) for r in got], [(1, 7), (2, 7), (None, 7)])
-    best = {r["doc_id"]: r for r in got}
+        # The first text, twice under one id, holds 7, 12 and 13; the edited one lacks the seventh word.
+        assert same([(r["doc_id"], r["item_id"]) for r in got], [(1, 7), (2, 7), (None, 7), (1, 12), (2, 12), (4, 12), (None, 12), (1, 13), (None, 13)])
+        assert all(r["score"] == 1.0 and r["end"] - r["start"] == 14 - r["item_id"] for r in got if r["item_id"] > 7)
+    best = {r["doc_id"]: r for r in got if r["item_id"] == 7}
     assert best[1]["score"] == 1.0 and 0.6 < best[2]["score"] < 1
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
@@ -195,11 +197,11 @@ def test_decontaminate(spark, none):
 def test_gradients_by_differences():
     net = langid.BiGRU(3, hidden=3, seed=1)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
-    x, y = np.array([[65, 66, 67], [97, 98, 65]], np.uint8), np.array([0, 2])
+    x, y = np.array([[65, 66, 67, 68], [97, 98, 65, langid.PAD]]).T, np.array([0, 2])
 
     def loss():
         logp, _ = net.forward(x)
-        return -logp[np.arange(2), :, y].mean()
+        return -logp[:, y, np.arange(2)].mean()
 
     logp, kept = net.forward(x, keep=True)
     for k, g in net.backward(logp, y, kept).items():
@@ -212,28 +214,88 @@ def test_gradients_by_differences():
             assert abs((up - down) / 2e-3 - g[at]) < 2e-3, (k, at)
 
 
+def brute_positions(net, data):
+    """Each byte's distribution by a plain loop: its window is read from either end, one byte and one unit at a time."""
+    w, h = {k: v.astype(float) for k, v in net.w.items()}, net.w["u"].shape[2]
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    out = []
+    for i in range(len(data)):
+        # The window that labels byte i.
+        if len(data) <= langid.WINDOW:
+            start = 0
+        else:
+            step = langid.WINDOW - 2 * langid.CONTEXT
+            start = max((k for k in range(0, len(data) - langid.WINDOW, step) if k == 0 or k + langid.CONTEXT <= i), default=0)
+            if i >= len(data) - langid.WINDOW + langid.CONTEXT:
+                start = len(data) - langid.WINDOW
+        part, logits = data[start : start + langid.WINDOW], w["c"][:, 0].copy()
+        for k, read in enumerate((part[: i - start + 1], part[: i - start - 1 if i > start else None : -1])):
+            s = np.zeros(h)
+            for byte in read:
+                a, u = w["x"][k][:, byte], w["u"][k] @ s
+                z, r = sigmoid(a[:h] + u[:h]), sigmoid(a[h : 2 * h] + u[h : 2 * h])
+                n = np.tanh(a[2 * h :] + r * u[2 * h :])
+                s = n + z * (s - n)
+            logits += w["v"][k] @ s
+        out.append(np.exp(logits) / np.exp(logits).sum())
+    return np.array(out)
+
+
+def test_every_byte_is_labelled():
+    net = langid.BiGRU(3, hidden=4, seed=2)
+    texts = ["a", "ab c", "der Hund läuft. " * 30, "日本 " * 57, ""]
+    label = langid.Labeller(net, 3, rows=3)
+    pooled = label.pooled(texts)
+    for t, p in zip(texts, pooled, strict=True):
+        data = t.encode()
+        assert [(a, b) for _, a, b in langid.windows(data)] == [(a, b) for _, a, b in langid.windows(data) if a < b]
+        own = label.positions(t)
+        assert own.shape == (len(data), 3)
+        if data:
+            brute = brute_positions(net, data)
+            assert np.allclose(own, brute, atol=1e-4) and np.allclose(p, brute.mean(axis=0), atol=1e-4)
+
+
 def test_langid(docs, none, spark):
     rng = random.Random(2)
     kinds = {"aa": ["tion", "ing", "th"], "bb": ["ñó", "ción", "rr"], "cc": ["sch", "keit", "ü"]}
     text = lambda k, n: " ".join("".join(rng.choices(kinds[k], k=rng.randint(1, 4))) for _ in range(n))
-    rows = [(i, text(k, rng.randint(2, 60)), k) for i, k in enumerate(rng.choices(list(kinds), k=240))]
+    rows = [(i, text(k, rng.randint(2, 60)), k) for i, k in enumerate(rng.choices(list(kinds), weights=[9, 9, 1], k=240))]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     net, names = langid.fit(df.filter("doc_id % 4 <> 0"))
+    assert names == sorted(kinds)
     got = langid.predict(df.filter("doc_id % 4 = 0"), net, names).join(df, "doc_id")
     assert got.filter("lang_pred = lang").count() / got.count() > 0.95
-    odd = langid.predict(docs, net, names)
-    assert odd.count() == docs.count()
+    odd = langid.predict(docs.unionByName(spark.createDataFrame([(900, "½ ² ٣"), (901, "½ a")], "doc_id long, text string"), allowMissingColumns=True), net, names)
+    assert odd.count() == docs.count() + 2
     und = {r["doc_id"] for r in odd.filter("lang_pred = 'und'").collect()}
-    assert und == {i for i, t in enumerate(TEXTS) if not t or not any(c.isalpha() for c in t)}
+    assert und == {i for i, t in enumerate(TEXTS) if not t or not any(c.isalpha() for c in t)} | {900}
     assert odd.filter("score < 0 or score > 1").count() == 0
     assert langid.predict(none, net, names).count() == 0
-    # Positions: one distribution for each byte of a segment.
-    (segment, p), *_ = langid.Labeller(net, len(names)).positions("schkeit")
-    assert p.shape == (len(segment), 3) and np.allclose(p.sum(axis=1), 1, atol=1e-4)
     empty, no = langid.fit(none)
     assert {r["lang_pred"] for r in langid.predict(docs, empty, no).collect()} == {"und"}
 
 
+def test_risk_and_its_gradient():
+    rng = np.random.default_rng(4)
+    xp, xu, w, prior = rng.normal(1, 1, (20, 4)), rng.normal(0, 1, (50, 4)), rng.normal(size=4), 0.2
+    for b, correct in ((-0.3, False), (-9.0, True)):
+        loss = lambda z: np.log(1 + np.exp(-z))
+        value = lambda v, c: (prior * loss(xp @ v + c).mean(), loss(-(xu @ v + c)).mean() - prior * loss(-(xp @ v + c)).mean())
+        own, rest = value(w, b)
+        if correct:  # unlabelled rows far from the positives: the estimate for negatives falls below zero
+            xu = xu * 0 - 5 * w / (w @ w)
+            own, rest = value(w, b)
+            assert rest < 0
+        got, gw, gb = toxicity.risk(w, b, xp, xu, prior)
+        assert np.isclose(got, own + max(0, rest))
+        target = (lambda v, c: -value(v, c)[1]) if correct else (lambda v, c: sum(value(v, c)))
+        for j in range(4):
+            e = np.eye(4)[j] * 1e-5
+            assert np.isclose((target(w + e, b) - target(w - e, b)) / 2e-5, gw[j], atol=1e-5)
+        assert np.isclose((target(w, b + 1e-5) - target(w, b - 1e-5)) / 2e-5, gb, atol=1e-5)
+
+
 def test_toxicity(docs, none, spark):
     rng = random.Random(6)
     clean = [f"w{i}" for i in range(300)]
@@ -309,6 +371,100 @@ def test_licences(docs, none, spark):
     assert licences.scan(none).count() == 0
 
 
+def brute_spans(text, texts, k=3, apart=3, close=0.7):
+    """Best score of each label whose template stands in the text, by loops over diagonals."""
+    w, out = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if x], {}
+    for label, templates in texts.items():
+        for t in map(str.split, templates):
+            lines = {}
+            for i in range(len(w) - k + 1):
+                for j in range(len(t) - k + 1):
+                    if w[i : i + k] == t[j : j + k]:
+                        lines.setdefault(i - j, set()).add(j)
+
+            def score(members):
+                places = {j for d in members for j in lines[d]}
+                low, high = min(d + min(lines[d]) for d in members), max(d + max(lines[d]) + k for d in members)
+                return len({x for j in places for x in range(j, j + k)}) / max(len(t), high - low)
+
+            for d in lines:
+                best = max(score([d]), score([e for e in lines if abs(e - d) <= apart]))
+                if best >= close:
+                    out[label] = max(out.get(label, 0), best)
+    return out
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_licence_spans_against_loops(spark, most):
+    rng = random.Random(4)
+    bsd, isc = licences.TEMPLATES["bsd"][0], licences.TEMPLATES["isc"][0]
+    texts = [f"{bsd} " + "conditions are met " * 30, "conditions are met " * 12 + bsd, f"{isc} {isc[40:]}", "licensed under cc by " + "nc 4 0 " * 12, bsd, "are met " * 40]
+    every = [t for x in licences.TEMPLATES.values() for t in x]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            w = rng.choice(every).split()
+            for _ in range(rng.choice([0, 0, 1, 2, 5])):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice([[], ["edit"], w[at : at + 1] * 2, [w[at], "more"]])
+                w = w or ["x"]
+            parts.append(" ".join(w * rng.choice([1, 1, 2])))
+        texts.append(" filler ".join(parts))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "row_key long, text string")
+    got = {}
+    for r in licences.spans(rows, most_grams=most).collect():
+        own = got.setdefault(r["row_key"], {})
+        own[r["label"]] = max(own.get(r["label"], 0), r["score"])
+        assert r["end_word"] - r["first_word"] <= max(map(len, map(str.split, every))) + 6
+    for i, t in enumerate(texts):
+        want = brute_spans(t, licences.TEMPLATES)
+        assert set(got.get(i, {})) == set(want) and all(abs(got[i][x] - want[x]) < 1e-9 for x in want), t
+    assert got[0]["bsd"] == got[1]["bsd"] == 1.0 and got[2]["isc"] == 1.0 and got[3]["cc-by-nc"] == 1.0 and 5 not in got
+
+
+#: Personal data outside the base patterns, and strings that only look like it.
+YES = {
+    "email": ["mail john.doe (at) example (dot) com now", "write to mary_k [at] mail7.example.org", "contact: ann.lee at uni-bonn dot de", "reach bob99 @ web.example.net please"],
+    "ip": ["host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 up", "login from fe80::1ff:fe23:4567:890a today", "server 00:1a:2b:3c:4d:5e answered"],
+    "card": ["pay by 378282246310005 today", "card 3782 822463 10005 was charged"],
+    "phone": ["call (030) 123 4567 now", "phone 030 1234 567", "tel 555-123-4567 or", "fax 0171/555 1234"],
+    "account": ["account 123456789012 is closed", "iban number 370400440532013000 noted"],
+    "secret": ['api key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', "token: AbCdEf0123456789GhIjKlMnOpQrStUv", "key=" + "a1b2c3d4" * 30],
+}
+NO = {
+    "email": ["look at example.com and", "we met at the station dot was there", "the dot at the end dot of it", "me at noon dot then"],
+    "ip": ["at 12:30:45:10 it stopped", "ratio 1:2:3:4 holds", "c:::: end"],
+    "card": ["order 1234567890123 shipped"],
+    "phone": ["on 2021-05-06 we", "from 1999-2003 it", "on 06/05/2021 they", "for $555 1234 only", "1 234 567 people"],
+    "account": ["about 123456 items", "000000000000 zeros"],
+    "secret": ["verheitschverheitenschungen 1", "12345678901234567890123 digits", "abcdefghijklmnopqrstuvwxyz letters"],
+}
+
+
+def test_added_spans_by_precision_and_recall(docs, spark):
+    """The classifier decides on candidates of every kind; learnt from unlabelled texts alone."""
+    rows = [(k, t, y) for y, own in ((1, YES), (0, NO)) for k, texts in own.items() for t in texts]
+    df = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.detect(df).collect()}
+    hit = {y: [(k, t) for i, (k, t, z) in enumerate(rows) if z == y and f"{k}:" in found[i]] for y in (0, 1)}
+    precision, recall = len(hit[1]) / (len(hit[0]) + len(hit[1])), len(hit[1]) / sum(map(len, YES.values()))
+    print(precision, recall, "wrong:", hit[0], "missed:", [(k, t) for k, x in YES.items() for t in x if (k, t) not in hit[1]])
+    assert precision >= 0.9 and recall >= 0.85
+    assert all(any(k == x for x, _ in hit[1]) for k in pii.MORE)
+
+
+def test_many_matches_in_one_text(spark):
+    """20,000 matches and more in one text: time in proportion."""
+    import time
+
+    text = " ".join(f"some words and more a{i}@b.com" for i in range(30_000))
+    df = spark.createDataFrame([(1, text + " ün😀d"), (2, "x")], "doc_id long, text string")
+    start = time.time()
+    assert {r["doc_id"]: r["n_email"] for r in pii.detect(df).collect()} == {1: 30_000, 2: 0}
+    assert pii.redact(df).orderBy("doc_id").first()["text"] == re.sub(r"a[0-9]+@b.com", "[EMAIL]", text) + " ün😀d"
+    assert time.time() - start < 40
+
+
 def brute_pii(text):
     own = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -362,6 +518,44 @@ def test_chat(spark):
     assert chat.preferences(turns.limit(0), chat.pair_neighbours(turns.limit(0))).count() == 0
 
 
+def test_chat_ids_and_long_conversations(spark):
+    big = 2**60
+    turns = [(big + i, 0, "user", f"q{i}") for i in (2, 3, 4, 5)] + [(c, n, "assistant" if n % 2 else "user", f"{c} {n}" if n else "same") for c in (10, 11) for n in range(3000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    pairs = chat.pair_neighbours(df).collect()
+    assert sorted(map(tuple, pairs)) == [(5, 10, 11), (big // 2 + 1, big + 2, big + 3), (big // 2 + 2, big + 4, big + 5)]
+    again = spark.createDataFrame([(1, 10, 11), (1, big + 2, big + 3), (1, big + 2, big + 3)], "pair_id long, chosen_id long, rejected_id long")
+    got = {r["prompt"] + r["chosen"][:12]: r for r in chat.preferences(df, again).collect()}
+    assert len(got) == 2
+    long = next(r for r in got.values() if r["n_prompt"])
+    spans = [tuple(map(int, x.split(":"))) for x in long["chosen_mask"].split(",")]
+    assert [long["chosen"][a:b] for a, b in spans] == [f"10 {n}<|end|>\n" for n in range(1, 3000, 2)]
+
+
+def test_edited_copies_are_found(spark):
+    """Every copy that truly aligns is found, at four rates of edited words, groups of copies among them."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=4))
+    items = [[word() for _ in range(rng.randint(8, 40))] for _ in range(60)]
+    rows, due = [], set()
+    for rate in (0.1, 0.2, 0.3, 0.35):
+        for i, item in enumerate(items):
+            copy = [word() if rng.random() < rate else w for w in item]
+            before, after = [word() for _ in range(30)], [word() for _ in range(30)]
+            (score, _, _), = decontaminate.align(np.array([hash(w) % 2**63 for w in item], np.uint64), [np.array([hash(w) % 2**63 for w in before + copy + after], np.uint64)])
+            for _ in range(30 if i == 0 else 1):
+                rows.append((len(rows), " ".join(before + copy + after)))
+                if score >= len(item):
+                    due.add((len(rows) - 1, i))
+    rows += [(10**6 + k, " ".join(word() for _ in range(80))) for k in range(200)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    missed = due - got
+    print(len(due), len(missed))
+    # A copy without three unedited words in a row has no seed.
+    assert len(due) > 150 and len(missed) <= 0.02 * len(due) and not [d for d in got if d[0] >= 10**6]
+
+
 def test_bounded_sample(spark):
     df = spark.range(5000).withColumnRenamed("id", "doc_id")
     got = bounded_sample(df, "doc_id", 100, 3)

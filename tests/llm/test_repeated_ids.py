@@ -9,6 +9,5 @@ def test_clean_text_under_a_repeated_id_stays(spark):
     rng = random.Random(5)
     a, b, c = (" ".join(f"w{rng.randrange(10**5)}" for _ in range(60)) for _ in range(3))
     docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, c), (3, c), (4, c)], "doc_id long, text string")
-    for stage in (dict(corpus_pipeline.STAGES)["near_duplicates"], corpus_pipeline.drop_near_duplicates):
-        got = stage(spark, docs, "").collect()
-        assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, a), (2, b), (3, c)]
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, a), (2, b), (3, c)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import BLOCK, let, running  # noqa: F401
+
 #: Fixed value: the code points that count as white space, as the inside of a character class.
 WS = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ZWSP = "\u200b"
@@ -115,37 +117,38 @@ def normalize_whitespace(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, "\n"), one), "\n")
 
 
-#: Elements that a fold over lines gathers before it adds them to its result.
-BLOCK = 128
-
-
 def unwrap_lines(c: Column) -> Column:
     """Lines that only the page's width broke are joined by a blank.
 
-    Only the raw line before and whether it was itself joined decide; so each line first gets its separator, by a fold
-    with a state of two values, and the text is then put together once. Pieces are gathered in blocks of BLOCK, since
-    each addition to an array copies it.
+    Whether a line is joined depends on the raw line before it and on whether that one was itself joined: it is a
+    function of one truth value. Each line's function is two bits (the result after "not joined" and after "joined");
+    running compositions of these give every line's answer, without a state that holds text.
     """
-    lines = F.split(c, "\n")
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(False).alias("joined"), F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("block"))
-
-    def step(s: Column, line: Column) -> Column:
-        last = F.coalesce(s["last"], F.lit(""))
-        lone = strip(last) == "-"
-        glue = (
-            s["last"].isNotNull()
-            & ~is_blank(last)
-            & ~is_blank(line)
-            & ((lone & ~s["joined"]) | ~line.rlike(NEW_ITEM))
-            & ~last.endswith(":")
-            & ~(lstrip(last).startswith("|") & ~s["joined"])
-        )
-        piece = F.when(s["last"].isNull(), line).when(glue, F.concat(F.lit(" "), lstrip(line))).otherwise(F.concat(F.lit("\n"), line))
-        block, full = F.concat(s["block"], F.array(piece)), F.size(s["block"]) >= BLOCK - 1
-        out = F.when(full, F.concat(s["out"], F.array(F.array_join(block, "")))).otherwise(s["out"])
-        return F.struct(line.alias("last"), glue.alias("joined"), out.alias("out"), F.when(full, F.array().cast("array<string>")).otherwise(block).alias("block"))
-
-    return F.aggregate(lines, start, step, lambda s: F.array_join(F.concat(s["out"], s["block"]), ""))
+
+    def seen(line: Column) -> Column:
+        return F.struct(line.alias("text"), is_blank(line).alias("blank"), (strip(line) == "-").alias("lone"), lstrip(line).startswith("|").alias("bar"), line.endswith(":").alias("colon"), line.rlike(NEW_ITEM).alias("new"))
+
+    def bits(lines: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            last = F.get(lines, i - 1)
+            may = last["text"].isNotNull() & ~last["blank"] & ~x["blank"] & ~last["colon"]
+            after_plain, after_joined = may & (last["lone"] | ~x["new"]) & ~last["bar"], may & ~x["new"]
+            return F.coalesce(after_plain, F.lit(False)).cast("int") + 2 * F.coalesce(after_joined, F.lit(False)).cast("int")
+
+        return F.transform(lines, one)
+
+    # First a, then b: b's bit after a's bit, for either start. 2 leaves a truth value as it is.
+    bit = lambda of, at: F.expr("1").bitwiseAND(F.call_function("shiftright", of, at))
+    then = lambda a, b: bit(b, bit(a, F.lit(0))) + 2 * bit(b, bit(a, F.lit(1)))
+
+    def joined(lines: Column, functions: Column, before: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            glue = bit(functions[i], bit(before[i], F.lit(0))) == 1
+            return F.when(i == 0, x["text"]).when(glue, F.concat(F.lit(" "), lstrip(x["text"]))).otherwise(F.concat(F.lit("\n"), x["text"]))
+
+        return F.array_join(F.transform(lines, piece), "")
+
+    return let(F.transform(F.split(c, "\n"), seen), lambda lines: let(bits(lines), lambda f: let(running(f, F.lit(2), then), lambda before: joined(lines, f, before))))
 
 
 def collapse_blank_lines(c: Column) -> Column:

@@ -7,10 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.arrays import let, upto
 from ..functions.text import lstrip, slug, strip
 from . import spans
 from .corpus import pages_for
 
+WINDOWS = "array<struct<start:int,end:int,text:string>>"
 UNITS = "array<struct<start:int,end:int,text:string,is_table:boolean,verbatim:boolean,section:string>>"
 _UNIT = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("is_table", pa.bool_()), ("verbatim", pa.bool_()), ("section", pa.string())]))
 _HEADS = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("end_full", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("breadcrumb", pa.string())]))
@@ -21,17 +23,26 @@ def windows(text: Column, size: int = S.CHUNK_SIZE, overlap: int = S.CHUNK_OVERL
     """Array of (start, end, text): overlapping windows up to the first that reaches the end, trimmed, without empty ones."""
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be from 0 to under the chunk size")
-    step, n = size - overlap, F.length(text)
-    count = F.when(n > 0, F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int"))
+    step = size - overlap
+    # The text in blocks of `step` signs: a window is made of the blocks that it touches, never cut from the whole text.
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
 
-    def window(i: Column) -> Column:
-        raw = F.substring(text, i * step + 1, F.lit(size))
-        lead = F.length(raw) - F.length(lstrip(raw))
-        body = strip(raw)
-        return F.struct((i * step + lead).alias("start"), (i * step + lead + F.length(body)).alias("end"), body.alias("text"))
+    def window(blocks: Column, i: Column) -> Column:
+        raw = F.left(F.array_join(F.slice(blocks, i + 1, F.lit(-(-size // step))), ""), F.lit(size))
 
-    made = F.transform(F.sequence(F.lit(0), F.coalesce(count, F.lit(0))), window)
-    return F.filter(made, lambda w: w["text"] != "")
+        def placed(raw: Column) -> Column:
+            start = i * step + F.length(raw) - F.length(lstrip(raw))
+            return let(strip(raw), lambda b: F.struct(start.alias("start"), (start + F.length(b)).alias("end"), b.alias("text")))
+
+        return let(raw, placed)
+
+    # The last window is the first that reaches the end.
+    def made(blocks: Column) -> Column:
+        n = (F.size(blocks) - 1) * step + F.length(F.element_at(blocks, -1))
+        return F.transform(upto(F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int") + 1), lambda i: window(blocks, i))
+
+    some = let(blocks, lambda b: F.when(F.size(b) > 0, made(b)))
+    return F.filter(F.coalesce(some, F.array().cast(WINDOWS)), lambda w: w["text"] != "")
 
 
 def with_outline(docs: DataFrame) -> DataFrame:
@@ -50,12 +61,6 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def section_at(doc: Column, sections: Column, offset: Column, content_start: Column, cover: Column) -> Column:
-    """Breadcrumb of the last heading at or before an offset."""
-    last = F.try_element_at(F.filter(sections, lambda s: s["start"] <= offset), F.lit(-1))
-    return F.when(cover.isNotNull() & (offset < content_start), F.concat(doc, F.lit(f" > {spans.COVER}"))).otherwise(F.coalesce(last["breadcrumb"], doc))
-
-
 def units(docs: DataFrame, strategy: str, chunk_size: int = S.CHUNK_SIZE, overlap: int = S.CHUNK_OVERLAP, section_most: int = S.SECTION_MOST, table_most: int = S.TABLE_MOST) -> DataFrame:
     """docs with `units`, by strategy: fixed, recursive or section."""
     if strategy not in S.STRATEGIES:

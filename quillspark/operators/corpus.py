@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BLOCK, lstrip, rstrip
+from ..functions.arrays import let, running, upto
+from ..functions.text import lstrip, rstrip
 from ..schemas import PAGE_GAP
 
-SPAN = "struct<page:int,start:int,end:int,page_type:string>"
-LINES = "array<struct<start:int,end:int,text:string>>"
-
 
 def stitch(pages: DataFrame) -> DataFrame:
     """(doc, text, pages, metadata, content_start, cover): pages (doc, page, text, metadata) in page order.
@@ -21,15 +19,16 @@ def stitch(pages: DataFrame) -> DataFrame:
     order = F.col("ordinal") if "ordinal" in pages.columns else F.lit(0)
     rows = pages.select("doc", F.struct(F.col("page").cast("int").alias("page"), order.alias("o"), F.coalesce("text", F.lit("")).alias("text"), meta.alias("m")).alias("p"))
     docs = rows.groupBy("doc").agg(F.array_sort(F.collect_list("p"), lambda a, b: F.when(a["page"] < b["page"], -1).when(a["page"] > b["page"], 1).otherwise((a["o"] > b["o"]).cast("int") - (a["o"] < b["o"]).cast("int"))).alias("ps"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    size = lambda p: F.length(p["text"])
+    # Once there is text, every further page has a gap before it.
+    first = F.array_position(F.transform("ps", lambda p: size(p) > 0), True).cast("int")
 
-    def step(s: Column, p: Column) -> Column:
-        begin = s["at"] + F.when(s["at"] > 0, len(PAGE_GAP)).otherwise(0)
-        end = begin + F.length(p["text"])
-        span = F.struct(p["page"].alias("page"), begin.alias("start"), end.alias("end"), p["m"]["page_type"].alias("page_type"))
-        return F.struct(end.alias("at"), F.concat(s["spans"], F.array(span)).alias("spans"))
+    def spans(at: Column, gaps) -> Column:
+        begin = lambda i: at[i] + gaps(i)
+        return F.transform("ps", lambda p, i: F.struct(p["page"].alias("page"), begin(i).alias("start"), (begin(i) + size(p)).alias("end"), p["m"]["page_type"].alias("page_type")))
 
-    docs = docs.withColumn("pages", F.aggregate("ps", start, step, lambda s: s["spans"]))
+    lead = F.when(first == 0, F.size("ps")).otherwise(first - 1)
+    docs = docs.withColumn("pages", let(running(F.transform("ps", size), F.lit(0)), lambda at: let(lead, lambda f: spans(at, lambda i: F.greatest(i - f, F.lit(0)) * len(PAGE_GAP)))))
     parts = F.zip_with("ps", "pages", lambda p, s: F.concat(F.when(s["start"] > 0, F.lit(PAGE_GAP)).otherwise(F.lit("")), p["text"]))
     docs = docs.withColumn("text", F.array_join(parts, "")).withColumn("metadata", F.col("ps")[0]["m"]).drop("ps")
     cover = F.get(F.filter("pages", lambda p: p["page_type"] == "cover"), F.lit(0))
@@ -47,30 +46,39 @@ def pages_for(pages: Column, start: Column, end: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Array of (start, end with the line end, text) of each line; a final line end opens no further line."""
-    parts = F.split(text, "\n")
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{LINES}>").alias("out"), F.array().cast(LINES).alias("block"))
-    size = F.length(text)
+    parts = let(F.split(text, "\n"), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
+
+    def lines(parts: Column, at: Column, size: Column) -> Column:
+        return F.transform(parts, lambda x, i: F.struct(at[i].alias("start"), F.least(at[i] + F.length(x) + 1, size).alias("end"), x.alias("text")))
+
+    return let(F.length(text), lambda n: let(parts, lambda p: let(running(F.transform(p, lambda x: F.length(x) + 1), F.lit(0)), lambda at: lines(p, at, n))))
+
+
+def regions_of(text: Column) -> Column:
+    """Array of (region, start, end, is_table, text): trimmed runs of table lines and of others, without empty ones."""
+    ended = lambda x: F.concat(x["text"], F.when(x["end"] - x["start"] > F.length(x["text"]), F.lit("\n")).otherwise(F.lit("")))
+    bar = lambda x: x["text"].startswith("|")
 
-    def step(s: Column, line: Column) -> Column:
-        end = F.least(s["at"] + F.length(line) + 1, size)
-        # In blocks, since each addition to an array copies it.
-        block, full = F.concat(s["block"], F.array(F.struct(s["at"].alias("start"), end.alias("end"), line.alias("text")))), F.size(s["block"]) >= BLOCK - 1
-        return F.struct(end.alias("at"), F.when(full, F.concat(s["out"], F.array(block))).otherwise(s["out"]).alias("out"), F.when(full, F.array().cast(LINES)).otherwise(block).alias("block"))
+    def runs(lines: Column, first: Column) -> Column:
+        def run(i: Column, k: Column) -> Column:
+            own = F.slice(lines, i + 1, F.coalesce(F.get(first, k + 1), F.size(lines)) - i)
 
-    return F.aggregate(parts, start, step, lambda s: F.flatten(F.concat(s["out"], F.array(s["block"]))))
+            def trimmed(whole: Column) -> Column:
+                start, body = lines[i]["start"] + F.length(whole) - F.length(lstrip(whole)), rstrip(lstrip(whole))
+                return let(body, lambda b: F.struct((k + 1).alias("region"), start.alias("start"), (start + F.length(b)).alias("end"), bar(lines[i]).alias("is_table"), b.alias("text")))
+
+            return let(F.array_join(F.transform(own, ended), ""), trimmed)
+
+        return F.filter(F.transform(first, run), lambda r: r["text"] != "")
+
+    # A run starts where a line differs from the one before it.
+    starts = lambda lines: F.filter(upto(F.size(lines)), lambda i: (i == 0) | (bar(lines[i]) != bar(F.get(lines, i - 1))))
+    return let(lines_of(text), lambda lines: let(starts(lines), lambda first: runs(lines, first)))
 
 
 def regions(docs: DataFrame, key: str = "doc") -> DataFrame:
-    """(doc, region, start, end, is_table, text): trimmed runs of table lines and of others (gaps and islands)."""
-    rows = docs.select(key, "text", F.posexplode(lines_of(F.col("text"))).alias("n", "line"))
-    rows = rows.select(key, "n", "line.start", "line.end", F.col("line.text").startswith("|").alias("is_table"), F.expr("substring(text, line.start + 1, line.end - line.start)").alias("whole"))
-    w = Window.partitionBy(key).orderBy("n")
-    rows = rows.withColumn("new", F.coalesce((F.col("is_table") != F.lag("is_table").over(w)).cast("int"), F.lit(1))).withColumn("region", F.sum("new").over(w))
-    runs = rows.groupBy(key, "region", "is_table").agg(F.min("start").alias("start"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "whole"))), lambda x: x["whole"]), "").alias("whole"))
-    lead = F.length("whole") - F.length(lstrip(F.col("whole")))
-    runs = runs.withColumn("start", F.col("start") + lead).withColumn("text", rstrip(lstrip(F.col("whole")))).filter("text <> ''")
-    return runs.select(key, F.col("region").cast("int"), "start", (F.col("start") + F.length("text")).alias("end"), "is_table", "text")
+    """(doc, region, start, end, is_table, text): a row for each region of a document's text. Narrow: no shuffle."""
+    return docs.select(key, F.explode(regions_of(F.col("text"))).alias("r")).select(key, "r.*")
 
 
 def plain_outline(docs: DataFrame, key: str = "doc") -> DataFrame:

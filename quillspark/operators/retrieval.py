@@ -6,6 +6,8 @@ else of the id.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -56,23 +58,81 @@ def search(vectors: DataFrame, query: list[float], k: int = 5, method: str = "co
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*_order(F.col("score"), larger, _tie(vectors, key)))))
 
 
-def search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, method: str = "cosine", key: str = "vec_id", most_queries: int = 10_000) -> DataFrame:
+#: Bytes of a block of query vectors that is sent to all tasks, and products that a task holds at a time.
+QUERY_BYTES, CELLS = 1 << 26, 4_000_000
+
+
+def _dense(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows as a matrix, and which of them are vectors of that length without nulls; others are zeros."""
+    flat, sizes = column.flatten(), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    if not flat.null_count and (sizes == dim).all():
+        return flat.to_numpy(zero_copy_only=False).reshape(-1, dim), np.ones(len(column), bool)
+    rows = [r if r is not None and len(r) == dim and None not in r else None for r in column.to_pylist()]
+    good = np.array([r is not None for r in rows], bool)
+    return np.array([r if r is not None else [0.0] * dim for r in rows]).reshape(-1, dim), good
+
+
+def _nearest(x: np.ndarray, good: np.ndarray, q: np.ndarray, k: int, method: str):
+    """(query, row, score) of the k nearest rows to each query, all that tie with the last one included.
+
+    A matrix product finds who can be among them; their scores are then summed pair by pair, so that copies of a vector
+    score alike to the last bit. The score is NaN where there is none.
+    """
+    xx, qq = (x * x).sum(axis=1), (q * q).sum(axis=1)
+    near = x @ q.T
+    if method == "cosine":
+        size = np.sqrt(xx)[:, None] * np.sqrt(qq)
+        near = np.where(size > 0, near / np.where(size > 0, size, 1), -np.inf)
+        slack = 1e-9
+    else:
+        near = 2 * near - xx[:, None] - qq
+        slack = 1e-9 * (1 + xx.max(initial=0) + qq.max(initial=0))
+    near[~good | np.isnan(near).any(axis=1)] = -np.inf
+    least = np.partition(near, -k, axis=0)[-k] if len(near) > k else np.full(len(q), -np.inf)
+    r, c = np.nonzero(near >= least - slack)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if method == "cosine":
+            score = (x[r] * q[c]).sum(axis=1) / (np.sqrt((x[r] * x[r]).sum(axis=1)) * np.sqrt((q[c] * q[c]).sum(axis=1)))
+        else:
+            score = np.sqrt(((x[r] - q[c]) ** 2).sum(axis=1))
+    return c, r, np.where(np.isfinite(near[r, c]), score, np.nan)
+
+
+def search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, method: str = "cosine", key: str = "vec_id", block_bytes: int = QUERY_BYTES) -> DataFrame:
     """The k nearest rows for each of a stated set of queries (query_id, q): query_id, rank, key, score.
 
-    The queries are broadcast after a count; more than `most_queries` go in blocks of that size.
+    Every query is compared with every row: exact, and a report. Queries go to the tasks in blocks of at most
+    `block_bytes`, one pass over the rows for each; a task keeps k rows a query of each batch of its rows.
     """
     check_top_k(k)
     check_method(method)
-    _, score, larger = METHODS[method]
-    n, out = queries.count(), None
-    blocks = max(1, -(-n // most_queries))
-    w = Window.partitionBy("query_id").orderBy(*_order(F.col("score"), larger, key))
+    larger = METHODS[method][2]
+    own = queries.select("query_id", F.col("q").cast("array<double>").alias("q"))
+    first = own.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q")).alias("dim")).first()
+    n, dim = first["n"], max(1, first["dim"] or 1)
+    blocks, out = max(1, -(-n * dim * 8 // block_bytes)), None
+    kinds = [f.dataType.simpleString() for f in (own.schema["query_id"], vectors.schema[key])]
+    rows = vectors.select(key, F.col("embedding").cast("array<double>").alias("embedding"))
     for b in range(blocks):
-        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = vectors.crossJoin(F.broadcast(own)).select("query_id", F.col(key), score(F.col("embedding"), F.col("q")).alias("score"))
-        top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        table = (own if blocks == 1 else own.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
+        ids = table["query_id"].combine_chunks()
+        matrix, known = _dense(table["q"].combine_chunks(), dim)
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, known))
+
+        def run(batches, shared=shared):
+            ids, q, known = shared.value
+            for batch in batches:
+                step = max(1, CELLS // max(1, batch.num_rows))
+                x, good = _dense(batch.column(1), dim)
+                for at in range(0, len(q) if batch.num_rows else 0, step):
+                    c, r, score = _nearest(x, good, q[at : at + step], k, method)
+                    score[~known[c + at]] = np.nan
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(c + at)), batch.column(0).take(pa.array(r)), pa.array(score, from_pandas=True)], names=["query_id", key, "score"])
+
+        top = rows.mapInArrow(run, f"query_id {kinds[0]}, `{key}` {kinds[1]}, score double")
         out = top if out is None else out.unionByName(top)
-    return out.select("query_id", "rank", key, "score")
+    w = Window.partitionBy("query_id").orderBy(*_order(F.col("score"), larger, key))
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
 
 def retrieve(vectors: DataFrame, question: str, embedder, k: int = 5, method: str = "cosine") -> DataFrame:
@@ -101,13 +161,28 @@ def _embedded(vectors: DataFrame, question: str, embedder) -> list[float]:
     return q
 
 
+def ranked(df: DataFrame, by: str, larger: bool, tie: str, name: str, buckets: int = 64) -> DataFrame:
+    """df with the place of each row in one order over all rows, found without bringing them together.
+
+    Quantiles of the column cut it into buckets; each bucket is ranked by itself, after the rows of those before it.
+    """
+    cuts = sorted(set(df.approxQuantile(by, [i / buckets for i in range(1, buckets)], 0.01)))
+    bucket = F.coalesce(sum(((F.col(by) >= c).cast("int") for c in cuts), F.lit(0)), F.lit(-1 if larger else len(cuts) + 1))
+    rows = df.withColumn("_b", -bucket if larger else bucket)
+    # One row for each bucket: small enough to broadcast.
+    before = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
+    w = Window.partitionBy("_b").orderBy(*_order(F.col(by), larger, tie))
+    return rows.withColumn("_n", F.row_number().over(w)).join(F.broadcast(before), "_b").withColumn(name, (F.col("_n") + F.col("_before")).cast("int")).drop("_b", "_n", "_before")
+
+
 def all_scores(vectors: DataFrame, query: list[float], key: str = "vec_id") -> DataFrame:
-    """Both scores and both ranks of every row, from one projection. Ranks need one order over all rows: for reports."""
+    """Both scores and both ranks of every row, from one projection."""
     spark = vectors.sparkSession
     q = spark.createDataFrame([([float(x) for x in query],)], "q array<double>")
     both = vectors.crossJoin(F.broadcast(q)).select(F.col(key), *(f(F.col("embedding"), F.col("q")).alias(m) for m, (_, f, _) in METHODS.items()))
     for m, (_, _, larger) in METHODS.items():
-        both = both.withColumn(f"rank_{m}", F.row_number().over(Window.orderBy(*_order(F.col(m), larger, key))))
+        both = ranked(both, m, larger, key, f"rank_{m}")
     return both
 
 
@@ -141,7 +216,8 @@ def compare_pair(vectors: DataFrame, a, b, key: str = "vec_id") -> DataFrame:
 def knn_graph(vectors: DataFrame, k: int = 3, key: str = "vec_id") -> DataFrame:
     """Undirected edges (src < dst) between each vector and its k nearest others by cosine.
 
-    A report on a stored collection, as every vector is compared with every other; blocks keep the broadcast side bounded.
+    A report on a stored collection, as every vector is compared with every other, in blocks of bounded size; for
+    collections of many millions use an approximate index.
     """
     q = vectors.select(F.col(key).alias("query_id"), F.col("embedding").alias("q"))
     near = search_many(vectors, q, k + 1, "cosine", key).filter(F.col(key) != F.col("query_id"))

@@ -41,10 +41,7 @@ SQL = {
     "topk_euclidean": _top(_EUC, "ASC", 10),
     "all_scores_ranked": f"""WITH s AS (SELECT b.vec_id, {_COS} AS c, {_EUC} AS e FROM embeddings a, embeddings b WHERE a.vec_id = 0)
 SELECT vec_id, round(c, 6) AS cosine, round(e, 6) AS euclidean, CAST(row_number() OVER (ORDER BY c DESC, vec_id) AS INTEGER) AS rank_cosine, CAST(row_number() OVER (ORDER BY e, vec_id) AS INTEGER) AS rank_euclidean FROM s""",
-    "multi_query_topk": f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
-SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5""",
-    "multi_query_topk_every20": f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
+    "multi_query_topk": f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5""",
     "knn_edges_k3": f"""WITH s AS (SELECT a.vec_id AS q, b.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),

@@ -22,18 +22,19 @@ class HashEmbedder:
     """Each token adds 1 or -1 to one of `dim` places, by its md5; vectors have unit length.
 
     A text without tokens gets 1 in the first place. Tokens are runs of anything but white space; two markers count too.
+    Like a model with a window, it sees the first `max_tokens` alone; None takes in whole texts.
     """
 
     name = "hash-stand-in"
 
-    def __init__(self, dim: int = 64, max_tokens: int = 256):
+    def __init__(self, dim: int = 64, max_tokens: int | None = 256):
         self.dim, self.max_tokens = dim, max_tokens
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
         for t in texts:
             v = [0.0] * self.dim
-            for token in TOKEN.findall(t)[: self.max_tokens - 2]:
+            for token in TOKEN.findall(t)[: self.max_tokens and self.max_tokens - 2]:
                 h = int(hashlib.md5(token.lower().encode()).hexdigest()[:8], 16)
                 v[h % self.dim] += 1 if (h >> 31) & 1 else -1
             n = math.sqrt(sum(x * x for x in v))
@@ -43,10 +44,41 @@ class HashEmbedder:
     def token_info(self, text: str) -> tuple[int, int, bool, int]:
         """Tokens with markers, the limit, whether the text is cut, and how many characters are seen."""
         tokens = list(TOKEN.finditer(text))
-        n, limit = len(tokens) + 2, self.max_tokens
+        n, limit = len(tokens) + 2, self.max_tokens or (1 << 31) - 1
         return n, limit, n > limit, tokens[limit - 3].end() if n > limit else len(text)
 
 
+class WorkerModel:
+    """An embedder whose model is made by `load()` once in each worker process, when it is first needed.
+
+    `load` gives an object with encode(texts) -> vectors and count(text) -> (tokens, characters that are seen). Only
+    `load` travels to the workers, never the model. A model of another dimension than `dim` is an error.
+    """
+
+    def __init__(self, name: str, dim: int, load, max_tokens: int = 256):
+        self.name, self.dim, self.load, self.max_tokens = name, dim, load, max_tokens
+
+    def _model(self):
+        import sys
+        import types
+
+        # In a module of its own, so that it outlives the task whatever this class was shipped as.
+        kept = sys.modules.setdefault("quillspark_models", types.ModuleType("quillspark_models")).__dict__
+        if self.name not in kept:
+            kept[self.name] = self.load()
+        return kept[self.name]
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        out = [[float(x) for x in v] for v in self._model().encode(texts)]
+        if any(len(v) != self.dim for v in out):
+            raise RetrievalError(f"the model {self.name} does not give {self.dim} dimensions")
+        return out
+
+    def token_info(self, text: str) -> tuple[int, int, bool, int]:
+        n, seen = self._model().count(text)
+        return n, self.max_tokens, n > self.max_tokens, seen
+
+
 def embed(df: DataFrame, embedder, text: str = "embedding_text", batch: int = 16) -> DataFrame:
     """df with embedding, embedding_model, embedding_dim and token_info. The embedder runs batch-wise in Python workers."""
     at = df.columns.index(text)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.text import count_lines
 from .chunking import context_line
+from .corpus import regions
 
 REQUIRED = ("chunk_id", "doc", "chunking_strategy", "section", "page_start", "page_end", "text", "embedding_text")
 
@@ -50,6 +51,12 @@ def check(chunks: DataFrame) -> DataFrame:
     return out.select(F.when(F.col("f.rule") == "document_fields", F.col("doc")).otherwise(F.coalesce("chunk_id", F.lit("?"))).alias("subject"), "f.rule", "f.severity")
 
 
+def dropped_tables(docs: DataFrame, table_most: int = S.TABLE_MOST) -> DataFrame:
+    """(subject, rule, severity) for tables that no chunk holds: larger than a chunk may be, and of two lines or fewer."""
+    lost = regions(docs).filter(F.col("is_table") & (F.length("text") > table_most) & (F.size(F.split("text", "\n")) <= 2))
+    return lost.select(F.concat("doc", F.lit(":"), "start").alias("subject"), F.lit("table_dropped").alias("rule"), F.lit("note").alias("severity"))
+
+
 def statistics(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """One row for each strategy. docs: stitched documents with sections, for the two flags about cuts."""
     n, a, b = F.col("metadata.char_count"), F.col("metadata.char_start"), F.col("metadata.char_end")

@@ -135,20 +135,25 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, method: str
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
 
-def retrieve(vectors: DataFrame, question: str, embedder, k: int = 5, method: str = "cosine") -> DataFrame:
+def retrieve(vectors: DataFrame, question: str, embedder, k: int = 5, method: str = "cosine", key: str = "chunk_id") -> DataFrame:
     """Embed the question once and search."""
     check_query(question)
     check_top_k(k)
     check_method(method)
-    return search(vectors, _embedded(vectors, question, embedder), k, method)
+    return search(vectors, _embedded(vectors, question, embedder), k, method, key)
 
 
-def retrieve_all_methods(vectors: DataFrame, question: str, embedder, k: int = 5) -> dict[str, DataFrame]:
+def report(found: DataFrame, key: str = "chunk_id", digits: int = 4) -> DataFrame:
+    """(rank, line): a search's rows as lines for people to read; at most k rows, so the caller may print them."""
+    return found.select("rank", F.concat(F.lpad(F.col("rank").cast("string"), 3, " "), F.lit("  "), F.format_string(f"%.{digits}f", F.col("score")), F.lit("  "), F.col(key).cast("string")).alias("line"))
+
+
+def retrieve_all_methods(vectors: DataFrame, question: str, embedder, k: int = 5, key: str = "chunk_id") -> dict[str, DataFrame]:
     """One embedding, one ranking for each method."""
     check_query(question)
     check_top_k(k)
     q = _embedded(vectors, question, embedder)
-    return {m: search(vectors, q, k, m) for m in METHODS}
+    return {m: search(vectors, q, k, m, key) for m in METHODS}
 
 
 def _embedded(vectors: DataFrame, question: str, embedder) -> list[float]:

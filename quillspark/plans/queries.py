@@ -3,7 +3,7 @@ documents that have them (see the functions at the top), in the same way as the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -183,7 +183,8 @@ def chunks_of(strategy):
 
 
 def outline_plain(spark, sf):
-    return corpus.plain_outline(corpus.stitch(conversation_pages(spark, sf))).filter("not is_part").select("doc", "label", F.col("start").cast("long").alias("start"))
+    docs = chunking.with_outline(corpus.stitch(conversation_pages(spark, sf)).withColumn("template", F.lit("plain")))
+    return docs.select("doc", F.explode("sections").alias("s")).select("doc", "s.label", F.col("s.start").cast("long").alias("start"))
 
 
 def outline_numbered(spark, sf):
@@ -254,10 +255,14 @@ def cover_pages(spark, sf):
 
 
 def hash_embed_topk(spark, sf):
-    model = embedding.HashEmbedder(64)
+    """The documents nearest to each benchmark item, by vectors of whole texts."""
+    model = embedding.HashEmbedder(64, max_tokens=None)
     docs = embedding.embed(read(spark, sf, "documents").select("doc_id", F.col("text").alias("embedding_text")), model).select(F.col("doc_id").alias("vec_id"), "embedding")
     questions = embedding.embed(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("embedding_text")), model).select("query_id", F.col("embedding").alias("q"))
-    return retrieval.search_many(docs, questions, 3).select("query_id", "rank", F.col("vec_id").alias("doc_id"), F.round("score", 5).alias("score"))
+    # Many texts tie but for the last bits of their sums, so ranks go by nine digits, then the id.
+    near = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "vec_id")
+    got = retrieval.search_many(docs, questions, 20).withColumn("rank", F.row_number().over(near).cast("int")).filter("rank <= 3")
+    return got.select("query_id", "rank", F.col("vec_id").alias("doc_id"), F.round("score", 5).alias("score"))
 
 
 def token_facts(spark, sf):

@@ -72,13 +72,19 @@ def vector_faults(lines: DataFrame, dim: int, model: str) -> DataFrame:
 
 
 def stored_vectors(spark: SparkSession, path: str, dim: int, model: str) -> DataFrame:
-    """Validated vector records of a JSON-lines file. The first faulty line, or no rows at all, is an error."""
-    text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.posexplode(F.split("value", "\n")).alias("n", "value")).select((F.col("n") + 1).alias("line"), "value").filter(F.trim("value") != "")
-    checked = vector_faults(lines, dim, model)
+    """Validated vector records of a JSON-lines file, read in splits. The first faulty line, or no rows at all, is an error.
+
+    `ordinal` (file, place of the split, row) has the order of the lines.
+    """
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select(block.alias("line"), "value")
+    checked = vector_faults(lines.filter(F.trim("value") != ""), dim, model)
     bad = checked.filter("fault is not null").orderBy("line").select("line", "fault").first()
     if bad:
-        raise RetrievalError(f"line {bad['line']}: the vector record fails the check {bad['fault']!r}")
+        # Its number is only counted now: rows of one file and block keep their order, whatever task reads them.
+        at = F.struct(F.lit(bad["line"]["file"]).alias("file"), F.lit(bad["line"]["block"]).alias("block"), F.lit(bad["line"]["row"]).alias("row"))
+        number = lines.filter((F.col("line.file") == bad["line"]["file"]) & (F.col("line") <= at)).count()
+        raise RetrievalError(f"line {number}: the vector record fails the check {bad['fault']!r}")
     rows = checked.select("line", F.from_json("value", S.VECTORS).alias("r"), "embedding")
     if rows.isEmpty():
         raise RetrievalError(f"{path} holds no vectors")
@@ -110,9 +116,28 @@ def write_vectors(vectors: DataFrame, path: str) -> DataFrame:
     return back
 
 
+def _pretty(batches):
+    import pyarrow as pa
+
+    first = True
+    yield pa.RecordBatch.from_pydict({"value": ["["]})
+    for b in batches:
+        rows = [json.dumps(json.loads(r), indent=2, ensure_ascii=False) for r in b.column(0).to_pylist()]
+        if rows:
+            yield pa.RecordBatch.from_pydict({"value": [(r if first and not i else "," + r) for i, r in enumerate(rows)]})
+            first = False
+    yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+
+def write_array(df: DataFrame, path: str) -> None:
+    """Document records as pretty JSON arrays, one in each part file, in parallel; json_array() reads the folder."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    rows.mapInArrow(_pretty, "value string").write.mode("overwrite").text(path)
+
+
 def document_array(df: DataFrame, most: int = 10_000) -> str:
-    """A pretty JSON array of at most `most` document records, for people to read."""
+    """One pretty JSON array of at most `most` document records as a text, for people to read; write_array() has no bound."""
     n = df.count()
     if n > most:
-        raise ValueError(f"{n} documents are too many for one text; write JSON lines")
+        raise ValueError(f"{n} documents are too many for one text; use write_array()")
     return json.dumps([json.loads(r) for r in df.toJSON().collect()], indent=2, ensure_ascii=False)

@@ -68,12 +68,10 @@ def test_numbered_outline():
     ]
 
 
-def test_plain_outline_both_ways(spark):
+def test_plain_outline():
     lines = ["Working Days", "", "text here.", "Part 1: Hours:", "more", "", "Extra Days", "", "Part 2 x", "lower case", "", "Ends with dot.", ""]
     got = heads(lines, "plain")
     assert got == ["D > Working Days", "D > Working Days > Part 1: Hours", "D > Extra Days", "D > Extra Days > Part 2 x"]
-    rows = corpus.plain_outline(stitched(spark, [("D", 1, "\n".join(lines), "content")])).orderBy("start").collect()
-    assert [r["label"] for r in rows] == [g.split(" > ")[-1] for g in got]
 
 
 def test_sections_and_their_records(spark):
@@ -102,3 +100,44 @@ def test_context_and_tables(spark):
     text = "x\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n| c |\nend"
     got = spark.createDataFrame([(text,)], "t string").select(chunking.table_info(F.col("t"), F.lit(False))).first()[0]
     assert [(t["columns"], t["rows"]) for t in got] == [(["a", "b"], 1), (["c"], 0)]
+
+
+def test_long_texts_take_linear_time(spark):
+    """One text of 10 MB: 20,000 lines and more, windows, regions, clean text and pages."""
+    import time
+
+    from quillspark.functions import text as X
+
+    line = "word " * 50
+    text = "\n".join(f"| {i} | {line} |" if i % 5 == 0 else f"{line}{i}." for i in range(40_000))
+    assert len(text) > 10_000_000
+    df = spark.createDataFrame([("d", 1, text), ("d", 2, None), ("e", 1, "")], "doc string, page int, text string")
+    took = {}
+    for name, rows in {
+        "regions": lambda: corpus.regions(df.filter("doc = 'd' and page = 1")).count(),
+        "windows": lambda: df.select(F.explode(chunking.windows(F.col("text"))).alias("w")).filter("length(w.text) > 0").count(),
+        "unwrap": lambda: df.select(F.length(X.unwrap_lines(F.col("text"))).alias("n")).filter("n > 1000000").count(),
+        "pages": lambda: corpus.stitch(df).filter("size(pages) > 0").count(),
+    }.items():
+        start = time.time()
+        assert rows() == {"regions": 16_000, "windows": -(-(len(text) - 500) // 450) + 1, "unwrap": 1, "pages": 2}[name], name
+        took[name] = time.time() - start
+    assert max(took.values()) < 20, took
+
+
+def test_many_pages(spark):
+    rows = [("d", i, "x" * (i % 7), "content") for i in range(5000)]
+    doc = stitched(spark, rows).first()
+    at, text = [], ""
+    for _, _, t, _ in rows:
+        text += "\n\n" if text else ""
+        at.append((len(text), len(text) + len(t)))
+        text += t
+    assert doc["text"] == text and [(p["start"], p["end"]) for p in doc["pages"]] == at
+
+
+def test_dropped_tables_are_noted(spark):
+    wide = "| " + "a" * 1200 + " |\n| --- |"
+    docs = stitched(spark, [("d", 1, f"text\n{wide}\nmore\n| a |\n| - |\n| 1 |", "content")])
+    assert [tuple(r) for r in quality.dropped_tables(docs).collect()] == [("d:5", "table_dropped", "note")]
+    assert all("aaa" not in r["text"] for r in chunking.chunk(docs, "section").collect())

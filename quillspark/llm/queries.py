@@ -90,6 +90,11 @@ QUERIES = {
 #: Words as the operator splits them: A-Z lower-cased, everything in ASCII but digits and letters is a gap.
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
+#: The templates as a table, and how much of a template (n words) its k-grams at `places` cover in a span.
+_TEMPLATES = ", ".join(f"({n}, '{label}', '{text}')" for n, (label, text) in enumerate((label, t) for label, texts in licences.TEMPLATES.items() for t in texts))
+_COVER = "len(list_distinct(flatten(list_transform({places}, lambda p: [p, p + 1, p + 2])))) / greatest(n, {high} - {low})"
+_PHRASES = ", ".join(f"('{phrase}', '{label}', {len(phrase.split())})" for phrase, label in licences.PHRASES.items())
+
 SQL = {
     "op3_lm_score": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -105,6 +110,23 @@ p AS (SELECT t.doc_id, t.i, c1.n / (SELECT count(*) FROM t) AS p1,
       LEFT JOIN c2 AS b2 ON t.a = b2.b AND t.b = b2.c LEFT JOIN c3 ON t.a = c3.a AND t.b = c3.b AND t.c = c3.c),
 s AS (SELECT doc_id, sum(ln(CASE WHEN i = 1 THEN p1 WHEN i = 2 THEN p2 ELSE coalesce(p3, 0.4 * p2) END)) AS l FROM p GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(l / len(w), 4) AS mean_log_score FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+""",
+    "op9_licences": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+phrases(phrase, label, n) AS (VALUES {_PHRASES}),
+base AS (SELECT r, i - 1 AS place, label FROM d, phrases, unnest(generate_series(1, len(w) - n + 1)) AS s(i) WHERE array_to_string(w[i:i + n - 1], ' ') = phrase),
+b AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY r),
+templates(t, label, body) AS (VALUES {_TEMPLATES}),
+tg AS (SELECT t, label, len(w) AS n, i - 1 AS at_, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM (SELECT *, string_split(body, ' ') AS w FROM templates), unnest(generate_series(1, len(w) - 2)) AS s(i)),
+g AS (SELECT r, i - 1 AS place, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM d, unnest(generate_series(1, len(w) - 2)) AS s(i)),
+v AS (SELECT r, t, label, n, place - at_ AS diagonal, list(DISTINCT at_) AS places, min(place) AS low, max(place) + 3 AS high FROM g JOIN tg USING (x, y, z) GROUP BY ALL),
+around AS (SELECT v.r, v.t, v.label, v.n, v.diagonal, any_value(v.places) AS places, any_value(v.low) AS low, any_value(v.high) AS high, list_distinct(flatten(list(o.places))) AS all_places, min(o.low) AS all_low, max(o.high) AS all_high
+  FROM v JOIN v AS o ON o.r = v.r AND o.t = v.t AND o.diagonal BETWEEN v.diagonal - 3 AND v.diagonal + 3 GROUP BY v.r, v.t, v.label, v.n, v.diagonal),
+scored AS (SELECT r, label, greatest({_COVER.format(places="places", high="high", low="low")}, {_COVER.format(places="all_places", high="all_high", low="all_low")}) AS score FROM around),
+m AS (SELECT r, list(DISTINCT label) AS more, max(score) AS best FROM scored WHERE score >= 0.7 GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(more, [])))), ','), '') AS labels, greatest(coalesce(best, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END) AS score
+FROM d LEFT JOIN b ON b.r = d.r LEFT JOIN m ON m.r = d.r
 """,
     "op6_chat": """
 WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import cut, tidy
 
 WINDOW, CONTEXT, HIDDEN, STEPS, ROWS, TRAIN_BYTES = 256, 32, 8, 400, 256, 64
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 2000
@@ -177,12 +177,16 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
     """Train on (doc_id, text, lang): rows with text and language, bounded as the module says."""
     n, text = F.length("text"), F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null and text <> ''")
-    names = max(1, rows.agg(F.count_distinct("lang")).first()[0])
     h = F.xxhash64(F.lit(5), "doc_id", "text")
+    # A language's hashes up to a bound that its count gives: partitions pass on little more than the sample.
+    counts = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c")))
+    own = max(1, sample_docs // max(1, counts.count()))
+    share = F.least(F.lit(1.0), F.lit(1.5 * own + 100) / F.col("c"))
+    rows = rows.join(F.broadcast(counts) if own > 1 else counts, "lang").filter(h / F.lit(2.0**64) + 0.5 <= share)
     start = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.greatest(n - sample_chars + 1, F.lit(1))).cast("int") + 1
     piece = rows.select("lang", h.alias("h"), F.substring("text", start, F.lit(sample_chars)).alias("piece"))
     order = Window.partitionBy("lang").orderBy("h", "piece")
-    got = piece.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max(1, sample_docs // names)).orderBy("lang", "n").collect()
+    got = piece.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= own).orderBy("lang", "n").collect()
     return train([r["piece"] for r in got], [r["lang"] for r in got])
 
 

@@ -81,8 +81,8 @@ def test_a_model_is_made_once_in_a_worker(spark, tmp_path):
     assert rows.filter("token_info.truncated").count() == 190
     import os
 
-    # As many workers as the session runs at a time, whatever the number of partitions and runs.
-    assert 1 <= len(os.listdir(folder)) <= 4
+    # 16 tasks so far; workers live on from task to task, and Spark starts a few more than run at a time.
+    assert 1 <= len(os.listdir(folder)) <= 8
     with pytest.raises(Exception, match="dimensions"):
         embedding.WorkerModel("n", 3, load).embed(["x"])
     with pytest.raises(RetrievalError):

@@ -95,7 +95,70 @@ _TEMPLATES = ", ".join(f"({n}, '{label}', '{text}')" for n, (label, text) in enu
 _COVER = "len(list_distinct(flatten(list_transform({places}, lambda p: [p, p + 1, p + 2])))) / greatest(n, {high} - {low})"
 _PHRASES = ", ".join(f"('{phrase}', '{label}', {len(phrase.split())})" for phrase, label in licences.PHRASES.items())
 
+#: XXH64 in SQL, in 128-bit numbers modulo 2^64. Its five primes.
+_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+_P1, _P2, _P3, _P4, _P5 = (f"{p}::UHUGEINT" for p in _PRIMES)
+_2_64 = f"{1 << 64}::UHUGEINT"
+
+
+def _times(a: str, b: str) -> str:
+    return f"(({a}) * {b} % {_2_64})"
+
+
+def _plus(a: str, b: str) -> str:
+    return f"((({a}) + ({b})) % {_2_64})"
+
+
+def _turn(x: str, n: int) -> str:
+    return f"((({x}) * {1 << n}::UHUGEINT % {_2_64}) + ({x}) // {1 << (64 - n)}::UHUGEINT)"
+
+
+def _little(hex_: str, at: str, n: int) -> str:
+    """n bytes from byte `at` (from 0) of a text in hex, least significant first."""
+    return "(" + " + ".join(f"('0x' || substring({hex_}, CAST(2 * ({at}) AS BIGINT) + {2 * i + 1}, 2))::UTINYINT::UHUGEINT * {1 << (8 * i)}::UHUGEINT" for i in range(n)) + ")"
+
+
+def _xxh64(source: str, seed: int = 42) -> str:
+    """CTEs that end in hashed (s, h): the hash of each distinct text s of `source`."""
+    lane = [(seed + _PRIMES[0] + _PRIMES[1]) % (1 << 64), (seed + _PRIMES[1]) % (1 << 64), seed, (seed - _PRIMES[0]) % (1 << 64)]
+    word = lambda v, x: f"list_transform([{_plus(v, _times(x, _P2))}], lambda r: {_times(_turn('r', 31), _P1)})[1]"
+    lanes = ", ".join(f"list_reduce(list_prepend({v}::UHUGEINT, list_transform(generate_series(0, n // 32 - 1), lambda j: {_little('x', f'j * 32 + {8 * k}', 8)})), lambda a, b: {word('a', 'b')}) AS v{k + 1}" for k, v in enumerate(lane))
+    merged = _plus(_plus(_turn("v1", 1), _turn("v2", 7)), _plus(_turn("v3", 12), _turn("v4", 18)))
+    for k in range(1, 5):
+        merged = f"list_transform([{merged}], lambda m: {_plus(_times(f'xor(m, {word("0::UHUGEINT", f"v{k}")})', _P1), _P4)})[1]"
+    steps = [
+        f"list_transform(generate_series(0, n % 32 // 8 - 1), lambda j: {{'k': 8, 'w': {_little('x', 'n - n % 32 + 8 * j', 8)}}})",
+        f"list_transform(generate_series(0, n % 8 // 4 - 1), lambda j: {{'k': 4, 'w': {_little('x', 'n - n % 8', 4)}}})",
+        f"list_transform(generate_series(0, n % 4 - 1), lambda j: {{'k': 1, 'w': {_little('x', 'n - n % 4 + j', 1)}}})",
+    ]
+    eight = _plus(_times(_turn(f"xor(a.w, {word('0::UHUGEINT', 'b.w')})", 27), _P1), _P4)
+    four = _plus(_times(_turn(f"xor(a.w, {_times('b.w', _P1)})", 23), _P2), _P3)
+    one = _times(_turn(f"xor(a.w, {_times('b.w', _P5)})", 11), _P1)
+    tail = f"list_reduce(list_prepend({{'k': 0, 'w': h0}}, list_concat(list_concat({steps[0]}, {steps[1]}), {steps[2]})), lambda a, b: {{'k': 0, 'w': CASE b.k WHEN 8 THEN {eight} WHEN 4 THEN {four} ELSE {one} END}}).w"
+    return f"""x0 AS (SELECT DISTINCT s, lower(hex(encode(s))) AS x, CAST(octet_length(encode(s)) AS BIGINT) AS n FROM {source}),
+x1 AS (SELECT *, {lanes} FROM x0 WHERE n >= 32),
+x2 AS (SELECT s, x, n, {_plus(merged, "n::UHUGEINT")} AS h0 FROM x1 UNION ALL SELECT s, x, n, {_plus(f"{seed}::UHUGEINT", _P5)} + n::UHUGEINT FROM x0 WHERE n < 32),
+x3 AS (SELECT s, {tail} AS h FROM x2),
+x4 AS (SELECT s, {_times(f"xor(h, h // {1 << 33}::UHUGEINT)", _P2)} AS h FROM x3), x5 AS (SELECT s, {_times(f"xor(h, h // {1 << 29}::UHUGEINT)", _P3)} AS h FROM x4),
+hashed AS (SELECT s, CAST(xor(h, h // {1 << 32}::UHUGEINT) AS UBIGINT) AS h FROM x5)"""
+
+
+#: Words as the contract of operator 2 has them.
+_BLANKS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
 SQL = {
+    "op2_simhash": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_BLANKS} AS w FROM documents),
+sh AS (SELECT r, array_to_string(w[i:i + 2], ' ') AS s FROM d, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS g(i) WHERE len(w) > 0),
+{_xxh64("sh")},
+bits AS (SELECT r, count(*) AS n, list_value({", ".join(f"count(*) FILTER ((h >> {b}) & 1 = 1)" for b in range(64))}) AS ones FROM sh JOIN hashed ON hashed.s = sh.s GROUP BY r),
+fp AS (SELECT d.r, d.doc_id, CASE WHEN bits.r IS NULL THEN 0::UBIGINT ELSE CAST(list_sum(list_transform(generate_series(1, 64), lambda b: CASE WHEN 2 * ones[b] > n THEN 1::HUGEINT << CAST(b - 1 AS HUGEINT) ELSE 0::HUGEINT END)) AS UBIGINT) END AS f FROM d LEFT JOIN bits ON bits.r = d.r),
+nodes AS (SELECT f, count(*) AS copies, min(doc_id) AS least FROM fp GROUP BY f),
+edges AS (SELECT a.f AS a, b.f AS b FROM nodes a, nodes b WHERE a.f <> b.f AND bit_count(CAST(xor(a.f, b.f) AS BIT)) <= 3),
+walk(a, b) AS (SELECT f, f FROM nodes UNION SELECT walk.a, edges.b FROM walk JOIN edges ON edges.a = walk.b),
+comp AS (SELECT a AS f, min(least) AS component_id FROM walk JOIN nodes ON nodes.f = walk.b GROUP BY a)
+SELECT doc_id, lower(lpad(hex(fp.f), 16, '0')) AS fingerprint, component_id, copies FROM fp JOIN nodes ON nodes.f = fp.f JOIN comp ON comp.f = fp.f
+""",
     "op3_lm_score": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 t AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a

@@ -1,5 +1,6 @@
 """The operators against brute force on small tables that hold nulls, empty and very long texts, ties, repeats and clashing columns."""
 
+import os
 import random
 import re
 import zlib
@@ -91,8 +92,8 @@ def test_links_within_the_radius(spark):
     prints = [(i, p) for i, p in enumerate(sorted(prints))]
     signed = lambda x: x - 2**64 if x >> 63 else x
     df = spark.createDataFrame([(signed(p),) for _, p in prints], "fp long")
-    for size, trees in ((2048, 10_000), (2048, 0), (4, 0)):
-        root = {r["a"] % 2**64: r["b"] % 2**64 for r in simhash.components(simhash.links(df, shard_size=size, most_trees=trees)).collect()}
+    for size, trees, edges in ((2048, 10_000, 10_000), (2048, 0, 0), (4, 0, 10_000)):
+        root = {r["a"] % 2**64: r["b"] % 2**64 for r in simhash.components(simhash.links(df, shard_size=size, most_trees=trees), edges).collect()}
         groups = {}
         for i, p in prints:
             groups.setdefault(root.get(p, p), []).append(i)
@@ -142,6 +143,43 @@ def test_ann(spark):
     assert ann.search(df.filter("vec_id < 2"), df.filter("vec_id = 0")).count() == 1
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_ann_recall_on_the_tables(spark, sf):
+    """At least 0.9 of the five nearest rows by brute force, with the query's own parameters."""
+    from quillspark.llm import queries
+
+    if not os.path.isdir(f"/root/testdata/{sf}"):
+        pytest.skip("no tables")
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()}
+    ids = np.array(sorted(rows))
+    x = ann.unit(np.stack([rows[i] for i in ids]))
+    hits, found = 0, {}
+    for r in queries.op1_ann(spark, f"/root/testdata/{sf}").collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(found) == {i for i in rows if i % 50 == 0}
+    for q, got in found.items():
+        order = [int(i) for i in ids[np.argsort(-(x @ x[np.searchsorted(ids, q)]), kind="stable")] if i != q]
+        hits += len(got & set(order[:5]))
+    assert hits >= 0.9 * 5 * len(found)
+
+
+def test_ann_takes_hot_copies_and_queries_of_one_id(spark):
+    """A vector that a third of the rows hold costs no square; of two vectors of one query id the smaller is searched."""
+    rng = np.random.default_rng(8)
+    hot, other = rng.normal(size=16).tolist(), rng.normal(size=16).tolist()
+    rows = [(i, hot if i % 3 == 0 else rng.normal(size=16).tolist()) for i in range(600)] + [(3, hot)] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    asked = spark.createDataFrame([(0, hot), (3, hot), (7, max(hot, other)), (7, min(hot, other))], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, asked, k=4, lists=4, probe_share=1.0).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got[0] == [3, 3, 3, 3] and got[3] == [0, 6, 9, 12] and len(got[7]) == 4
+    x = ann.unit(np.array([v for _, v in rows]))
+    q = ann.unit(np.array([min(hot, other)]))[0]
+    best = sorted((-round(float(s), 12), i) for s, (i, _) in zip(x @ q, rows) if i != 7)[:4]
+    assert got[7] == [i for _, i in best]
+
+
 def test_lm(docs, none):
     own = [(d, [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) if w]) for d, t in rows_of(docs)]
     count, total = {}, sum(len(w) for _, w in own)

@@ -8,13 +8,15 @@ its shingles' hashes each; sets with an equal key share a shard, its tree finds
 similarity of the whole sets decides on each pair that a tree finds; none is estimated.
 
 Two approximations, both computed for a similarity of exactly 0.8: a pair shares no key with probability
-(1 - 0.8^ROWS)^BANDS = 0.00007 (at 0.9: 10^-9), and its fingerprints are more than RADIUS bits apart, five standard
-deviations from the mean, with less than 0.00001.
-
-A shard is searched in two rounds, so that a large group of copies makes no square of pairs: first each set is compared
-with the smallest of its shard, then, in shards that this left in several components, the tree is searched for sets of
-other components. A pair within a component can be left out: it changes no component. A shard beyond `shard_size` is
-cut into shards of that size of which every pair meets.
+(1 - 0.8^ROWS)^BANDS = 0.00007 (at 0.9: 10^-9), and its fingerprints are more than RADIUS bits apart, more than four
+standard deviations from the mean, with some 0.00002.
+
+Large groups of near copies must not make a square of rows. First each set is compared with one other, the smallest
+among those it shares a shard with; a pair within a component changes no component and is left out from then on. Shards
+that hold several components still are searched in full: the whole sets meet in the shard's task, its tree finds who is
+near, and sets that are linked already, through whatever others, are not compared again. Only links leave the task, at
+most one for each set. A shard beyond `shard_size` sets or SHINGLES shingles is cut into shards of that size of which every pair meets. A pair that
+shares several shards is compared in the one with the smallest key.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import MOST_KEYS, WordHashes, cut, tidy
-from .simhash import _MASK, BKTree, components
+from .simhash import _MASK, BKTree, Groups, components
 
 WIDTH = 5
-BANDS, ROWS, RADIUS = 24, 5, 24
+BANDS, ROWS, RADIUS = 24, 5, 22
+#: Shingles of a shard's sets together, from which on the shard is cut: some 16 MB.
+SHINGLES = 2_000_000
 #: Odd factors: each orders the hashes of shingles anew.
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -127,46 +131,87 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return cut(both.filter(near).select("a", "b"))
 
 
-def _searched(rows: DataFrame, similarity: float, shard_size: int) -> DataFrame:
-    """(a, b): pairs of different components that the trees of the shards find; rows are (key, sid, fp, c, n)."""
-    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / shard_size).cast("int").alias("shards"))
-    dealt = rows.join(sizes, "key").withColumn("s", F.expr("int(pmod(xxhash64(sid), shards))")).withColumn("t", F.explode(F.expr("sequence(0, shards - 1)")))
-    one = F.struct("fp", "sid", "c", "n")
-    dealt = dealt.select("key", F.least("s", "t").alias("p"), F.greatest("s", "t").alias("q"), F.when(F.col("s") <= F.col("t"), one).alias("near"), F.when(F.col("s") > F.col("t"), one).alias("away"))
+class Shard:
+    """The members of one side of a shard, and where each shingle occurs among them."""
+
+    def __init__(self, members: pa.StructArray):
+        get = lambda name: members.field(members.type.get_field_index(name))
+        self.fp, self.c = [x & _MASK for x in get("fp").to_pylist()], get("c").to_pylist()
+        self.keys = [frozenset(k) for k in get("keys").to_pylist()]
+        sets = get("set")
+        self.flat, offsets = sets.values.to_numpy(), sets.offsets.to_numpy()
+        self.starts, self.sizes = offsets[:-1], np.diff(offsets)
+        spread = np.concatenate([self.flat[a : a + n] for a, n in zip(self.starts, self.sizes)]) if len(self.c) else self.flat[:0]
+        order = np.argsort(spread, kind="stable")
+        self.sorted, self.owner = spread[order], np.repeat(np.arange(len(self.c)), self.sizes)[order]
+
+    def set(self, i: int) -> np.ndarray:
+        return self.flat[self.starts[i] : self.starts[i] + self.sizes[i]]
+
+    def shared(self, other: np.ndarray) -> np.ndarray:
+        """How many shingles of a set each member shares with it: exact, by the places of those shingles."""
+        low, high = np.searchsorted(self.sorted, other, "left"), np.searchsorted(self.sorted, other, "right")
+        n = high - low
+        places = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.bincount(self.owner[places], minlength=len(self.c))
+
+
+def _links(key: int, tree_side: Shard, asked: Shard, within: bool, least: int):
+    """(larger, smaller) components that a pair of similar sets links: a forest, so at most one link for each."""
+    tree, at, own = BKTree(), {}, Groups()
+    for i, f in enumerate(tree_side.fp):
+        tree.add(f)
+        at.setdefault(f, []).append(i)
+    for i, f in enumerate(asked.fp):
+        n, c = int(asked.sizes[i]), asked.c[i]
+        near = [
+            j for g in tree.within(f, RADIUS) for j in at[g]
+            if c != tree_side.c[j] and (not within or j < i) and min(n, m := int(tree_side.sizes[j])) * 1000 >= max(n, m) * least and own.find(c) != own.find(tree_side.c[j]) and min(asked.keys[i] & tree_side.keys[j]) == key
+        ]
+        shared = tree_side.shared(asked.set(i)) if near else ()
+        for j in near:
+            both = int(shared[j])
+            if both * 1000 >= (n + int(tree_side.sizes[j]) - both) * least and own.find(c) != own.find(tree_side.c[j]):
+                own.join(c, tree_side.c[j])
+                yield max(c, tree_side.c[j]), min(c, tree_side.c[j])
+
+
+def _searched(rows: DataFrame, sets: DataFrame, similarity: float, shard_size: int) -> DataFrame:
+    """(a, b): links between different components that the trees of the shards find; rows are (key, sid, fp, c, keys)."""
+    rows = rows.join(sets.select("sid", F.size("set").alias("n")), "sid")
+    parts = F.greatest(F.count(F.lit(1)) / shard_size, F.sum("n") / SHINGLES)
+    dealt = rows.join(rows.groupBy("key").agg(F.ceil(parts).cast("int").alias("shards")), "key")
+    dealt = dealt.withColumn("s", F.expr("int(pmod(xxhash64(sid), shards))")).withColumn("t", F.explode(F.expr("sequence(0, shards - 1)")))
+    one = F.struct("fp", "c", "keys", "set")
+    dealt = dealt.join(sets, "sid").select("key", F.least("s", "t").alias("p"), F.greatest("s", "t").alias("q"), F.when(F.col("s") <= F.col("t"), one).alias("near"), F.when(F.col("s") > F.col("t"), one).alias("away"))
     groups = dealt.groupBy("key", "p", "q").agg(F.collect_list("near").alias("near"), F.collect_list("away").alias("away"))
+    least = round(1000 * similarity)
 
     def run(batches):
         for b in batches:
-            a, o = [], []
-            for p, q, near, away in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                tree, own = BKTree(), {}
-                for x in near:
-                    tree.add(x["fp"] & _MASK)
-                    own.setdefault(x["fp"] & _MASK, []).append(x)
-                for x in near if p == q else away:
-                    for f in tree.within(x["fp"] & _MASK, RADIUS):
-                        for y in own[f]:
-                            if x["c"] != y["c"] and min(x["n"], y["n"]) >= similarity * max(x["n"], y["n"]) - 1e-9 and (p != q or x["sid"] > y["sid"]):
-                                a.append(max(x["sid"], y["sid"]))
-                                o.append(min(x["sid"], y["sid"]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(o, pa.int64())], names=["a", "b"])
-
-    return groups.select("p", "q", "near", "away").mapInArrow(tidy(run), "a long, b long").distinct()
+            for i in range(b.num_rows):
+                # One shard at a time, so that a task holds one shard's places.
+                key, p, q = (b.column(c)[i].as_py() for c in range(3))
+                near = Shard(b.column(3)[i].values)
+                pairs = list(_links(key, near, near if p == q else Shard(b.column(4)[i].values), p == q, least))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
+
+    return groups.select("key", "p", "q", "near", "away").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def links(docs: DataFrame, marks: DataFrame, similarity: float, shard_size: int) -> DataFrame:
     """(a, b) of sids that connect all similar sets that meet; marks are signed(docs)."""
-    rows = marks.select("sid", "fp", F.explode("keys").alias("key"))
-    lead = cut(rows.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("most")).filter("lead < most").select("key", "lead"))
-    rows = cut(rows.join(lead, "key").distinct())
+    rows = marks.select("sid", "fp", F.explode("keys").alias("key")).distinct()
+    lead = rows.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("most")).filter("lead < most").select("key", "lead")
+    rows = cut(rows.join(lead, "key"))
     sets = _sets(docs, marks, rows.select("sid").distinct())
-    first = _verified(rows.filter("sid <> lead").select(F.col("sid").alias("a"), F.col("lead").alias("b")).distinct(), sets, similarity)
-    whole = components(first)
-    rows = rows.join(whole.withColumnRenamed("a", "sid"), "sid", "left").select("key", "sid", "fp", "lead", F.coalesce("b", "sid").alias("c"))
+    first = rows.filter("sid <> lead").groupBy("sid").agg(F.min("lead").alias("b")).select(F.col("sid").alias("a"), "b")
+    whole = components(_verified(first, sets, similarity))
+    rows = rows.join(whole.select(F.col("a").alias("sid"), F.col("b").alias("c")), "sid", "left").withColumn("c", F.coalesce("c", "sid"))
     split = rows.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("key")
-    sizes = sets.select("sid", F.size("set").alias("n"))
-    rows = cut(rows.filter("sid <> lead").join(cut(split), "key", "left_semi").join(sizes, "sid").select("key", "sid", "fp", "c", "n"))
-    return whole.select("a", "b").union(_verified(_searched(rows, similarity, shard_size), sets, similarity))
+    rows = cut(rows.join(split, "key", "left_semi").select("key", "sid", "fp", "c"))
+    keys = rows.groupBy("sid").agg(F.collect_set("key").alias("keys"))
+    return whole.select("a", "b").union(_searched(rows.join(keys, "sid"), sets, similarity, shard_size))
 
 
 def near_duplicates(docs: DataFrame, similarity: float, shard_size: int) -> DataFrame:

@@ -12,8 +12,8 @@ the fingerprints of its own rows. Beyond that bound, as trees grow with the corp
 meets in one task, and one beyond `shard_size` is cut into shards of that size of which every pair meets (tree of the
 one, queries from the other), so nothing is dropped. Both ways give the same links.
 
-Each shard emits only a star for each group that it finds, never all pairs. Components over the stars are found by
-alternating large and small stars, with reliable checkpoints.
+Each shard emits only a star for each group that it finds, never all pairs. At most MOST_EDGES links, counted first, are
+joined to components in one task; more by alternating large and small stars, with reliable checkpoints.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ RADIUS = 3
 SHARD_SIZE = 2048
 #: The most fingerprints in shard trees that are broadcast: some 16 MB as trees in each process.
 MOST_TREES = 100_000
+#: The most links that one task joins: some 100 MB as disjoint sets.
+MOST_EDGES = 200_000
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -208,11 +210,23 @@ def _routed(rows: DataFrame, radius: int, shard_size: int) -> DataFrame:
     return groups.select("p", "q", "near", "away").mapInArrow(tidy(run), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
     """(a, b): each node of the edges but the smallest of its component, with that smallest node."""
     state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     edges = cut(edges.filter("a <> b"))
     now = state(edges)
+    if now[0] <= most_edges:
+
+        def run(batches):
+            groups = Groups()
+            for b in batches:
+                for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    groups.join(x, y)
+            found = groups.stars()
+            for i in range(0, len(found), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found[i : i + 100_000])], schema=EDGES)
+
+        return cut(edges.select("a", "b").repartition(1).mapInArrow(tidy(run), "a long, b long"))
     while now[0]:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

@@ -41,6 +41,39 @@ def byte_signs() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Odd(ValueError):
+    """A part that can't be encoded by itself."""
+
+
+class _Words(dict):
+    """Ids of parts, remembered up to `most`: each is encoded after `lead`, unless it starts with a line end.
+
+    When half of `most` is new, the older half goes, but for what was asked for again.
+    """
+
+    def __init__(self, encode, lead: str, most: int):
+        super().__init__()
+        self.encode, self.lead, self.most, self.old = encode, lead, most, {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.fresh(part)
+        if len(self) >= self.most // 2:
+            self.old = dict(self)
+            self.clear()
+        self[part] = ids
+        return ids
+
+    def fresh(self, part: str) -> bytes:
+        line = part[:1] == "\n"
+        core = part[1:] if line else part
+        # Long parts, and white space inside that isn't a blank or a line end.
+        if len(part) > 64 or core.split() != [core]:
+            raise _Odd
+        return array("I", self.encode(part if line else self.lead + part)).tobytes()
+
+
 class Encoder:
     """Texts to little-endian 32-bit ids followed by the end id; words are remembered up to `most`.
 
@@ -61,46 +94,35 @@ class Encoder:
         if self.plain:
             signs, own = byte_signs(), set(self.added)
             ranks = {bytes(signs[c] for c in token): i for token, i in model["vocab"].items() if token not in own}
-            self.word = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.end, self.most, self.memo = np.array([end], "<u4").tobytes(), most, {}
+            word = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.words, self.heads = _Words(word, " ", most), _Words(word, "", most // 5)
+        self.end = np.array([end], "<u4").tobytes()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def words(self, words: list[str]) -> list[bytes]:
-        return [array("I", self.word(w)).tobytes() for w in words]
-
     def units(self, text: str) -> list[str] | None:
-        """Parts that can be encoded by themselves, or None: white space other than single blanks and line ends, long parts or added tokens."""
+        """Parts for the words' path, or None: white space other than single blanks and line ends, or added tokens."""
         if not self.plain or any(t in text for t in self.added):
             return None
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n" or not text:
             return None
-        words = text.replace("\n", " \n").split(" ")
-        return words if max(map(len, words)) <= 64 else None
+        return text.replace("\n", " \n").split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        parts = [self.units(t) for t in texts]
-        new = {w for p in parts if p for w in p if w not in memo}
-        odd = [w for w in new if any(c.isspace() for c in w[1:]) or (w[0].isspace() and w[0] != "\n")]
-        strange = set(odd)
-        new = [w for w in new if w not in strange]
-        memo.update(zip(new, self.words([w if w[0] == "\n" else " " + w for w in new]), strict=True))
-        heads = list({p[0] for p in parts if p})
-        head = dict(zip(heads, self.words(heads), strict=True))
         out: list[bytes | None] = [None] * len(texts)
         rest = []
-        for k, p in enumerate(parts):
-            if p is None or (strange and not strange.isdisjoint(p)):
+        for k, text in enumerate(texts):
+            parts = self.units(text)
+            try:
+                if parts is None:
+                    raise _Odd
+                out[k] = b"".join([self.heads[parts[0]], *map(self.words.__getitem__, parts[1:]), self.end])
+            except _Odd:
                 rest.append(k)
-            else:
-                out[k] = b"".join([head[p[0]], *map(memo.__getitem__, p[1:])])
         for k, ids in zip(rest, self.whole([texts[k] for k in rest]), strict=True):
-            out[k] = ids
-        return [x + self.end for x in out]
+            out[k] = ids + self.end
+        return out
 
 
 class Packer:

@@ -107,7 +107,28 @@ _PAGE_TEXT = "'1. ' || s_name || chr(10) || chr(10) || '| a | b |' || chr(10) ||
 #: Label, start, end, end of all below it, heading above it; by hand from the lines' lengths.
 _OUTLINE = [("1.0 SCOPE", 6, 17, 42, ""), ("a. First", 17, 32, 32, "1.0 SCOPE > "), ("b. Second", 32, 42, 42, "1.0 SCOPE > "), ("2. Next", 42, 50, 83, ""), ("2.1 Sub", 50, 65, 65, "2. Next > "), ("2.2 Other", 65, 83, 83, "2. Next > "), ("3. End", 83, 89, 89, "")]
 
+
+def _power(name: str, matrix: str, squarings: int = 14) -> str:
+    """name(v): the first eigenvector of a symmetric matrix (one row, column m), from a high power of it by squaring."""
+    product = "list_transform(b, lambda p: list_transform(b, lambda q: list_dot_product(p, q)))"
+    trace = "list_sum(list_transform(generate_series(1, len(m)), lambda i: m[i][i]))"
+    return f"""{name}_p(k, m) AS (SELECT 0, m FROM {matrix} UNION ALL SELECT k + 1, {product} FROM (SELECT k, list_transform(m, lambda r: list_transform(r, lambda x: x / {trace})) AS b FROM {name}_p WHERE k < {squarings})),
+{name} AS (SELECT list_transform(m[1], lambda x: x / sqrt(list_dot_product(m[1], m[1]))) AS v FROM {name}_p WHERE k = {squarings})"""
+
+
+_VALUE = "list_dot_product({v}, list_transform({m}, lambda r: list_dot_product(r, {v})))"
+_PCA = f"""WITH RECURSIVE x AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, unnest(generate_series(1, len(embedding))) AS s(i)),
+mean AS (SELECT i, avg(x) AS mu FROM x GROUP BY i), c AS (SELECT vec_id, x.i, x - mu AS x FROM x JOIN mean ON mean.i = x.i),
+cells AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS s FROM c a JOIN c b ON a.vec_id = b.vec_id GROUP BY a.i, b.i),
+cov AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS r FROM cells GROUP BY i)), {_power("one", "cov")},
+rest AS (SELECT list_transform(generate_series(1, len(m)), lambda i: list_transform(generate_series(1, len(m)), lambda j: m[i][j] - l * v[i] * v[j])) AS m, l FROM (SELECT m, v, {_VALUE.format(v="v", m="m")} AS l FROM cov, one)), {_power("two", "(SELECT m FROM rest)")},
+kept AS (SELECT 100 * (l + {_VALUE.format(v="two.v", m="rest.m")}) / list_sum(list_transform(generate_series(1, len(cov.m)), lambda i: cov.m[i][i])) AS kept FROM cov, rest, two),
+p AS (SELECT vec_id, list_dot_product(list(x ORDER BY i), any_value(one.v)) AS x, list_dot_product(list(x ORDER BY i), any_value(two.v)) AS y FROM c, one, two GROUP BY vec_id),
+z AS (SELECT CASE WHEN x < 0 THEN -1 ELSE 1 END AS sx, CASE WHEN y < 0 THEN -1 ELSE 1 END AS sy FROM p WHERE vec_id = 0)
+SELECT vec_id, round(x * sx, 4) + 0.0 AS x, round(y * sy, 4) + 0.0 AS y, round(kept, 4) AS variance_kept FROM p, z, kept"""
+
 SQL = {
+    "pca_points": _PCA,
     "unwrap_lines": f"WITH {_NOISY} SELECT doc_id, {_unwrap('text')} AS text FROM noisy",
     "clean_text": f"""WITH {_NOISY}, b AS (SELECT doc_id, {_body("normalize_bullets")} AS text FROM noisy), c AS (SELECT doc_id, {_body("normalize_characters")} AS text FROM b), w AS (SELECT doc_id, {_body("normalize_whitespace")} AS text FROM c),
 u AS (SELECT doc_id, {_unwrap('text')} AS text FROM w) SELECT doc_id, {_body("collapse_blank_lines")} AS text FROM u""",

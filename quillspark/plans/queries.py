@@ -124,8 +124,11 @@ def indexed_search(spark, sf):
 
 
 def pca_points(spark, sf):
+    """The projection, each axis turned so that vector zero lies on its positive side, as signs are arbitrary."""
     points, kept = retrieval.project_2d(vectors(spark, sf))
-    return points.withColumn("variance_kept", F.lit(kept))
+    zero = points.filter("vec_id = 0").agg(*(F.when(F.min(c) < 0, -1.0).otherwise(1.0).alias(f"s{c}") for c in "xy"))
+    turned = points.crossJoin(F.broadcast(zero))
+    return turned.select("vec_id", *((F.round(F.col(c) * F.col(f"s{c}"), 4) + F.lit(0.0)).alias(c) for c in "xy"), F.lit(round(kept, 4)).alias("variance_kept"))
 
 
 def on_noisy(function):

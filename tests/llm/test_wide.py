@@ -6,6 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from quillspark.llm import simhash
 from quillspark.llm.simhash import fingerprint
 
 SF = "/root/testdata/sf0.01"
@@ -64,6 +65,32 @@ def test_stage_drops_edited_copies(spark):
     assert {r["doc_id"] for r in got.collect()} == expected
 
 
+@pytest.mark.parametrize("size", [2048, 2])
+def test_shards_that_are_cut_link_alike(spark, size):
+    """A dense group of near copies, in whole shards and in shards of two sets of which every pair meets."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(40):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randint(1, 5)):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    rows += [(100 + k, " ".join(rng.choices(base, k=60))) for k in range(10)] + [(200, rows[3][1]), (None, "")]
+    sets = {d: shingles(t) for d, t in rows if d is not None}
+    root = {d: d for d in sets}
+    for _ in sets:
+        for d in sets:
+            for e in sets:
+                if jaccard(sets[d], sets[e]) >= 0.8:
+                    root[d] = root[e] = min(root[d], root[e])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8, shard_size=size).collect()}
+    assert got.pop(None) is None and got == root
+    pairs = [jaccard(sets[d], sets[e]) for d in range(40) for e in range(d)]
+    assert min(pairs) < 0.8 <= max(pairs)
+    assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), similarity=0.8).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_stage_on_all_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

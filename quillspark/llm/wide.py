@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,8 +135,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 class Shard:
     """The members of one side of a shard, and where each shingle occurs among them."""
 
-    def __init__(self, members: pa.StructArray):
-        get = lambda name: members.field(members.type.get_field_index(name))
+    def __init__(self, members: pa.Table):
+        get = lambda name: members[name].combine_chunks()
         self.fp, self.c = [x & _MASK for x in get("fp").to_pylist()], get("c").to_pylist()
         self.keys = [frozenset(k) for k in get("keys").to_pylist()]
         sets = get("set")
@@ -182,21 +183,17 @@ def _searched(rows: DataFrame, sets: DataFrame, similarity: float, shard_size: i
     parts = F.greatest(F.count(F.lit(1)) / shard_size, F.sum("n") / SHINGLES)
     dealt = rows.join(rows.groupBy("key").agg(F.ceil(parts).cast("int").alias("shards")), "key")
     dealt = dealt.withColumn("s", F.expr("int(pmod(xxhash64(sid), shards))")).withColumn("t", F.explode(F.expr("sequence(0, shards - 1)")))
-    one = F.struct("fp", "c", "keys", "set")
-    dealt = dealt.join(sets, "sid").select("key", F.least("s", "t").alias("p"), F.greatest("s", "t").alias("q"), F.when(F.col("s") <= F.col("t"), one).alias("near"), F.when(F.col("s") > F.col("t"), one).alias("away"))
-    groups = dealt.groupBy("key", "p", "q").agg(F.collect_list("near").alias("near"), F.collect_list("away").alias("away"))
+    dealt = dealt.join(sets, "sid").select("key", F.least("s", "t").alias("p"), F.greatest("s", "t").alias("q"), (F.col("s") > F.col("t")).alias("far"), "fp", "c", "keys", "set")
     least = round(1000 * similarity)
 
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                # One shard at a time, so that a task holds one shard's places.
-                key, p, q = (b.column(c)[i].as_py() for c in range(3))
-                near = Shard(b.column(3)[i].values)
-                pairs = list(_links(key, near, near if p == q else Shard(b.column(4)[i].values), p == q, least))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
-
-    return groups.select("key", "p", "q", "near", "away").mapInArrow(tidy(run), "a long, b long").distinct()
+    def run(group, rows):
+        # One shard, or one pair of shards, at a time: what a task holds has their bound.
+        key, p, q = (x.as_py() for x in group)
+        near = Shard(rows.filter(pc.invert(rows["far"])))
+        pairs = list(_links(key, near, near if p == q else Shard(rows.filter(rows["far"])), p == q, least))
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+
+    return dealt.groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, marks: DataFrame, similarity: float, shard_size: int) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, licences, lm, packing, pii, simhash, toxicity
+from . import ann, chat, decontaminate, intervals, langid, lempel_ziv, licences, lm, packing, pii, simhash, toxicity, whitening
 from .common import fold, read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,6 +67,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read(spark, sf_dir, "documents"))
 
 
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lempel_ziv.with_edited(read(spark, sf_dir, "documents"))
+
+
+def op12_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.sales_by_sessions(*(read(spark, sf_dir, t) for t in ("sales", "sale_lines", "clicks")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # try_cast: a deviation beyond a long, which takes millions of rows, is null here; the operator has it as a decimal.
+    return whitening.whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +97,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_licences": op9_licences,
     "op10_pii": op10_pii,
+    "op11_fingerprint": op11_fingerprint,
+    "op12_intervals": op12_intervals,
+    "op13_whitening": op13_whitening,
     "pipeline": pipeline,
 }
 
@@ -146,7 +162,29 @@ hashed AS (SELECT s, CAST(xor(h, h // {1 << 32}::UHUGEINT) AS UBIGINT) AS h FROM
 #: Words as the contract of operator 2 has them.
 _BLANKS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
+def _crc32(x: str) -> str:
+    """CRC-32 of an ASCII text by the 256 numbers `tab` of crc_table."""
+    codes = f"list_transform(generate_series(1, length({x})), lambda i: CAST(ascii(substring({x}, CAST(i AS INTEGER), 1)) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, tab[CAST((xor(c, b) & 255) + 1 AS INTEGER)])), 4294967295::BIGINT)"
+
+#: Whole microseconds since 1970, slots of six hours, and CRC-32 by its reversed polynomial.
+_OP12 = f"""WITH crc_table AS (SELECT list(list_reduce(list_prepend(v::BIGINT, list_transform(generate_series(1, 8), lambda k: 0::BIGINT)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY v) AS tab FROM generate_series(0, 255) AS g(v)),
+t AS (SELECT client_id, epoch_us(ts) AS at_, kind IS NOT DISTINCT FROM 'error' AS bad FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+f AS (SELECT *, CASE WHEN at_ - lag(at_) OVER w <= 900000000 THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY client_id ORDER BY at_)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY client_id ORDER BY at_ RANGE UNBOUNDED PRECEDING) AS run FROM f),
+x AS (SELECT client_id, min(at_) AS first, max(at_) AS last, max(struct_pack(a := at_, b := bad)).b AS open FROM g GROUP BY client_id, run),
+s AS (SELECT client_id, first // 21600000000 AS a, CASE WHEN NOT open THEN last // 21600000000 END AS b, {_crc32("CAST(first AS VARCHAR)")} AS crc FROM x, crc_table),
+l AS (SELECT sale_id, max(epoch_us(shipped_at)) AS shipped FROM sale_lines GROUP BY sale_id),
+o AS (SELECT sales.sale_id, client_id, epoch_us(sold_at) // 21600000000 AS a, CASE WHEN status IS DISTINCT FROM 'open' THEN greatest(epoch_us(sold_at), coalesce(shipped, epoch_us(sold_at))) // 21600000000 END AS b
+  FROM sales LEFT JOIN l ON l.sale_id = sales.sale_id WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+p AS (SELECT o.sale_id, sign(o.a - s.a) AS at_start, CASE WHEN o.b IS NULL AND s.b IS NULL THEN 0 WHEN o.b IS NULL THEN 1 WHEN s.b IS NULL THEN -1 ELSE sign(o.b - s.b) END AS at_end, least(o.b, s.b) - greatest(o.a, s.a) + 1 AS slots, crc
+  FROM o JOIN s ON s.client_id = o.client_id AND (s.b IS NULL OR o.a <= s.b) AND (o.b IS NULL OR s.a <= o.b)),
+r AS (SELECT *, CASE at_start WHEN -1 THEN CASE at_end WHEN 1 THEN 'contains' WHEN 0 THEN 'finished_by' ELSE 'overlaps' END WHEN 0 THEN CASE at_end WHEN 1 THEN 'started_by' WHEN 0 THEN 'equals' ELSE 'starts' END ELSE CASE at_end WHEN 1 THEN 'overlapped_by' WHEN 0 THEN 'finishes' ELSE 'during' END END AS relation FROM p)
+SELECT sale_id, relation, count(*) AS n_pairs, CAST(sum(slots) AS BIGINT) AS overlap_slots, CAST(sum(crc) AS BIGINT) AS sessions_crc FROM r GROUP BY sale_id, relation
+"""
+
 SQL = {
+    "op12_intervals": _OP12,
     "op2_simhash": f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_BLANKS} AS w FROM documents),
 sh AS (SELECT r, array_to_string(w[i:i + 2], ' ') AS s FROM d, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS g(i) WHERE len(w) > 0),

@@ -8,7 +8,8 @@ and where the second part is negative, the step goes up its gradient (Kiryo et a
 number of words and SMOOTH more, so that in a very short text one word isn't everything; training and scoring take the
 same features. So a document's score is the sum of one number for each word, which a task remembers.
 
-Bounds: `positives` and `unlabelled` documents (the smallest hashes of their ids) of at most `sample_chars` characters;
+Bounds: `positives` and `unlabelled` documents (the smallest hashes of their ids), whatever their length; of a text longer than
+`sample_chars` characters, PIECES pieces evenly spread over the whole of it, together as long (excerpt());
 FEATURES features: those that at least LEAST positives hold, LIFT times as often as unlabelled documents and SURPRISE
 standard deviations more often, the most surprising first.
 """
@@ -17,12 +18,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, tidy, words_of
 
 POSITIVES, UNLABELLED, SAMPLE_CHARS, FEATURES, LEAST, LIFT, SURPRISE, PREFIXES, SCALE, SMOOTH = 2500, 5000, 10_000, 1000, 5, 3.0, 4.0, range(3, 8), 100, 5
+#: Pieces of a long text that training takes.
+PIECES = 20
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -134,20 +137,28 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
     return Model({names[j]: float(c) for j, c in zip(chosen, w, strict=True) if c}, float(b))
 
 
+def excerpt(text: Column, chars: int = SAMPLE_CHARS, pieces: int = PIECES) -> Column:
+    """A text of at most `chars` characters whole; of a longer one, pieces from its start to its end, without words cut in two."""
+    n, size = F.length(text), chars // pieces
+    start = lambda i: F.floor((n - size) * i / (pieces - 1)).cast("int") + 1
+    bare = lambda p: F.regexp_replace(p, r"^\S*\s|\s\S*$", "")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: bare(F.substring(text, start(i), F.lit(size))))
+    return F.when(n > chars, F.array_join(spread, " ")).otherwise(text)
+
+
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Train on docs (doc_id, text) and labels (doc_id, toxic); the class prior is the share of 1 among their labels.
 
     Rows with a null id, text or mark are no labels. Repeated labels of a document count as toxic if any is.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null").withColumn("text", excerpt(F.col("text"), sample_chars))
     marks = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = marks.join(docs.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
     prior = own.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    short = texts.filter(f"length(text) <= {sample_chars}")
     # At most `positives` ids: a bounded table to broadcast.
     chosen = bounded_sample(own.filter("toxic = 1").select("doc_id"), "doc_id", 2 * positives, salt=7)
-    pos = bounded_sample(short.join(F.broadcast(chosen), "doc_id", "left_semi"), "doc_id", positives, salt=7).collect()
-    un = bounded_sample(short, "doc_id", unlabelled, salt=8).collect()
+    pos = bounded_sample(texts.join(F.broadcast(chosen), "doc_id", "left_semi"), "doc_id", positives, salt=7).collect()
+    un = bounded_sample(texts, "doc_id", unlabelled, salt=8).collect()
     return train([r["text"] for r in pos], [r["text"] for r in un], float(prior))
 
 

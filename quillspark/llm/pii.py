@@ -297,10 +297,11 @@ def detect(docs: DataFrame, model: Aggregator | None = None) -> DataFrame:
     voted = cut(_voted(own, "doc_id"))
     found = _accepted(voted, model or _learn(voted))
     base = F.concat(*(_listed(k, F.col(f"base_{k}")) for k in KINDS))
-    # By kind as listed, then start: the base's spans first, then what the method adds.
-    more = F.concat(*(_listed(k, F.col(f"more_{k}")) for k in MORE))
+    # By kind as listed (the method's own kinds after the base's), then start, then end.
+    bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    every = F.concat(*(_listed(k, F.array_sort(F.concat(*(bare(f"{c}_{k}") for c in ("base", "more") if c == "more" or k in KINDS)))) for k in MORE))
     counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, more), ",").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(every, ",").alias("spans"))
 
 
 def redact(docs: DataFrame, model: Aggregator | None = None) -> DataFrame:

@@ -1,39 +1,37 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Every word trigram of the test items is a seed. One pass over the corpus finds all places of all seeds and emits,
-for each document and item, windows of word hashes around them. A window with STRONG different seeds of its item is
-aligned in any case. Windows with fewer show how often a seed turns up by chance: a seed is rare if at most
-`rare_share` of the documents (and `rare_least` of them at any size) hold it in such windows of different words, so
-copies of a document, or a leak that is itself frequent, don't make their seeds common. Weak windows are aligned if they hold a rare seed; an item without any
-rare seed uses all its seeds, so no item is lost.
+Every word trigram of the test items is a seed. A first pass over the corpus counts in how many different contexts (CONTEXT
+words on both sides) each seed stands, without looking at items, so what it emits has a bound whatever items share; copies of a
+document, or a leak that is itself frequent, count once. A seed is rare if it has at most `rare_share` of the
+documents' number of contexts, or `rare_least` of them at any size. Seeds that are neither rare nor in at most SHARED items say nothing of an
+item and are passed over, but for items that have no other seeds, which use all of theirs.
+A second pass aligns, for each document and item, windows of words around the seeds that hold a rare one or STRONG
+different ones, or are of an item with common seeds alone or one of so few words that one seed reaches the threshold. So a phrase that all documents and items share makes no window.
 A document is contaminated by an item when the best local alignment of words (match 2, mismatch -1, gap -1)
 reaches `threshold` of what the whole item would score against itself.
 
 Items of fewer than three words have no seeds; they are found where their words stand in that order, whole, with a score
-of 1. Items without words take no part. Test items are taken to the tasks in blocks of at most `block_items`
-items, one pass over the corpus for each block, so what a task holds has a bound whatever the number of items.
+of 1. Items without words take no part; items of the same words are looked for once. Test items are taken to the tasks in blocks of at most `block_items`
+items, two passes over the corpus for each block, so what a task holds has a bound whatever the number of items.
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, tidy, words_of
+from .common import WordHashes, tidy, words_of
 
 N = 3
 BLOCK_ITEMS = 20_000
 RARE_SHARE, RARE_LEAST = 0.002, 20
 THRESHOLD = 0.5
 STRONG = 3
-#: The most seeds of a block that are broadcast when their frequencies are joined.
-MOST_SEEDS = 400_000
+#: Words on each side of a seed that tell its contexts apart; items that may share a common seed that still counts.
+CONTEXT, SHARED = 4, 16
 MATCH, MISMATCH, GAP = 2, -1, -1
-HITS = pa.schema([("doc_row", pa.int64()), ("doc_id", pa.int64()), ("item_no", pa.int32()), ("start", pa.int32()), ("seeds", pa.list_(pa.int32())), ("window", pa.binary())])
 FOUND = pa.schema([("doc_row", pa.int64()), ("doc_id", pa.int64()), ("item_no", pa.int32()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -62,6 +60,32 @@ class Seeds:
         self.first = np.searchsorted(number[order], np.arange(len(self.hashes) + 1))
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.mix = np.cumprod(np.full(2 * CONTEXT + N, _MIX[0] | np.uint64(1), np.uint64), dtype=np.uint64)
+
+    def contexts(self, h: np.ndarray):
+        """(seed number, hash of the words around it) of each place of a seed."""
+        pos, no = self.places(ngrams(h))
+        padded = np.concatenate([np.zeros(CONTEXT, np.uint64), h, np.zeros(CONTEXT, np.uint64)])
+        return no, (padded[pos[:, None] + np.arange(2 * CONTEXT + N)] * self.mix).sum(axis=1, dtype=np.uint64)
+
+    def choose(self, common: np.ndarray, threshold: float) -> None:
+        """Keep what may tell of an item, given the numbers of the seeds that are not rare. Of items so short that one seed
+        reaches the threshold, every seed tells."""
+        self.rare = np.ones(len(self.hashes), bool)
+        self.rare[common] = False
+        times = np.diff(self.first)
+        seed = np.repeat(np.arange(len(self.hashes)), times)
+        brief = threshold * self.lengths <= N
+        telling = (self.rare | (times <= SHARED))[seed] | brief[self.item]
+        own = np.bincount(self.item[self.rare[seed]], minlength=len(self.items)) > 0
+        #: Items of which every seed is enough: those with common seeds alone, and brief ones.
+        self.plain = ~own | brief
+        keep = telling | (np.bincount(self.item[telling], minlength=len(self.items)) == 0)[self.item]
+        left = np.flatnonzero(np.bincount(seed[keep], minlength=len(self.hashes)))
+        self.item, self.at, self.hashes, self.rare = self.item[keep], self.at[keep], self.hashes[left], self.rare[left]
+        self.first = np.searchsorted(seed[keep], np.append(left, seed[-1] + 1 if len(seed) else 0))
+        self.bits[:] = False
+        self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
     def places(self, g: np.ndarray):
         """(position, seed number) of each seed among the trigrams."""
@@ -73,7 +97,7 @@ class Seeds:
         return pos[hit], no[hit]
 
     def windows(self, h: np.ndarray):
-        """(item, start, seeds, window) for each run of hits of an item whose windows overlap."""
+        """(item, start, window) for each run of hits of an item whose windows overlap, and which choose() lets tell of it."""
         pos, no = self.places(ngrams(h))
         if not len(pos):
             return
@@ -93,9 +117,10 @@ class Seeds:
                 j += 1
             # A phrase that repeats makes a long run. An alignment with a score above zero spans at most
             # three times the item's words, so pieces that overlap by as much lose none, and keep memory bounded.
-            found, n = np.unique(s[i:j]).tolist(), int(self.lengths[item[i]])
-            for at in range(lo[i], max(lo[i] + 1, end - 3 * n), 5 * n):
-                yield int(item[i]), int(at), found, h[at : min(end, at + 8 * n)]
+            found, n = np.unique(s[i:j]), int(self.lengths[item[i]])
+            if len(found) >= STRONG or self.rare[found].any() or self.plain[item[i]]:
+                for at in range(lo[i], max(lo[i] + 1, end - 3 * n), 5 * n):
+                    yield int(item[i]), int(at), h[at : min(end, at + 8 * n)]
             i = j
 
     def whole(self, h: np.ndarray):
@@ -138,50 +163,68 @@ def align(item: np.ndarray, windows: list[np.ndarray]) -> list[tuple[float, int,
     return [(float(b), int(s), int(e)) for b, (s, e) in zip(best, where, strict=True)]
 
 
-def _hits(docs: DataFrame, items: list[list[bytes]], batch: int = 200) -> DataFrame:
-    hashes = WordHashes()
-    shared = docs.sparkSession.sparkContext.broadcast([hashes.array(w) for w in items])
+def _common(docs: DataFrame, shared, most: int) -> np.ndarray:
+    """Numbers of the seeds that stand in more than `most` different contexts: no more than there are seeds in the block."""
 
     def run(batches):
         seeds, memo = Seeds(shared.value), WordHashes()
         for b in batches:
-            rows = []
-            for row, doc, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                h = memo.array(words_of(text))
-                hits = ((item, start, None, h[start : start + len(seeds.items[item])]) for item, start in seeds.whole(h))
-                for item, start, found, window in chain(seeds.windows(h), hits):
-                    rows.append((row, doc, item, start, found, window.tobytes()))
-                    if len(rows) >= 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), HITS, strict=True)], schema=HITS)
-                        rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), HITS, strict=True)], schema=HITS)
+            found = [seeds.contexts(memo.array(words_of(t.as_py()))) for t in b.column(0)]
+            no, context = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.uint64))
+            pairs = np.unique(np.stack([no.astype(np.int64), context.view(np.int64)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0].astype(np.int32)), pa.array(pairs[1])], names=["seed", "context"])
 
-    return cut(docs.mapInArrow(tidy(run), "doc_row long, doc_id long, item_no int, start int, seeds array<int>, window binary").withColumn("hit", F.monotonically_increasing_id()))
+    places = docs.select("text").mapInArrow(tidy(run), "seed int, context long")
+    often = places.distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    return np.array([r["seed"] for r in often.select("seed").collect()], np.int64)
 
 
-def _aligned(hits: DataFrame, items: list[list[bytes]], threshold: float, batch: int = 256) -> DataFrame:
-    hashes = WordHashes()
-    shared = hits.sparkSession.sparkContext.broadcast([hashes.array(w) for w in items])
+def _aligned(docs: DataFrame, shared, common: np.ndarray, threshold: float, batch: int = 256, most_words: int = 1_000_000) -> DataFrame:
+    """(doc_row, doc_id, item_no, score, start, end) of each window that aligns well enough, and of each short item."""
+    told = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        for b in batches:
-            rows = sorted(zip(*(b.column(i).to_pylist() for i in range(5)), strict=True), key=lambda r: (r[2], len(r[4])))
-            out, i = [], 0
+        seeds, memo, items = Seeds(shared.value), WordHashes(), shared.value
+        seeds.choose(told.value, threshold)
+        out: list[tuple] = []
+        waiting: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}  # places of each different item and window
+        held = 0
+
+        def settle() -> None:
+            rows = sorted(waiting, key=lambda r: (r[0], len(r[1])))
+            i = 0
             while i < len(rows):
-                j, item = i + 1, shared.value[rows[i][2]]
-                while j < len(rows) and rows[j][2] == rows[i][2] and j - i < batch and (j - i) * len(rows[j][4]) < 4_000_000:
+                j, item = i + 1, items[rows[i][0]]
+                while j < len(rows) and rows[j][0] == rows[i][0] and j - i < batch and (j - i) * len(rows[j][1]) < 4_000_000:
                     j += 1
-                got = align(item, [np.frombuffer(r[4], np.uint64) for r in rows[i:j]])
-                for (row, doc, no, start, _), (score, s, e) in zip(rows[i:j], got, strict=True):
+                got = align(item, [np.frombuffer(w, np.uint64) for _, w in rows[i:j]])
+                for key, (score, s, e) in zip(rows[i:j], got, strict=True):
                     if score >= threshold * MATCH * len(item):
-                        out.append((row, doc, no, score / (MATCH * len(item)), start + s, start + e))
+                        out.extend((row, doc, key[0], score / (MATCH * len(item)), start + s, start + e) for row, doc, start in waiting[key])
                 i = j
-            columns = zip(*out) if out else [[]] * len(FOUND)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, FOUND, strict=True)], schema=FOUND)
+            waiting.clear()
+
+        def ready() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * len(FOUND), FOUND, strict=True)], schema=FOUND)
+            out.clear()
+            return made
 
-    schema = "doc_row long, doc_id long, item_no int, score double, start int, end int"
-    return hits.select("doc_row", "doc_id", "item_no", "start", "window").mapInArrow(tidy(run), schema)
+        for b in batches:
+            for row, doc, text in zip(*(b.column(i) for i in range(3)), strict=True):
+                row, doc, h = row.as_py(), doc.as_py(), memo.array(words_of(text.as_py()))
+                out.extend((row, doc, item, 1.0, start, start + len(items[item])) for item, start in seeds.whole(h))
+                for item, start, window in seeds.windows(h):
+                    places = waiting.setdefault((item, window.tobytes()), [])
+                    held += 1 if places else 1 + len(window)
+                    places.append((row, doc, start))
+                if held > most_words:
+                    settle()
+                    held = 0
+                    yield ready()
+        settle()
+        yield ready()
+
+    return docs.mapInArrow(tidy(run), "doc_row long, doc_id long, item_no int, score double, start int, end int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, rare_share: float = RARE_SHARE, rare_least: int = RARE_LEAST, block_items: int = BLOCK_ITEMS, row: str = "doc_id") -> DataFrame:
@@ -198,21 +241,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     most = max(rare_least, int(rare_share * n_docs))
     for k in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        got = [(i, w) for i, t in own.collect() if (w := words_of(t))]
-        words = [w for _, w in got]
-        hits = _hits(docs, words)
-        weak = hits.filter(F.size("seeds") < STRONG).select("hit", F.xxhash64("window").alias("window"), "item_no", F.explode("seeds").alias("seed"))
-        often = weak.select("window", "seed").distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > most)
-        often = F.broadcast(often) if sum(len(w) for w in words) <= MOST_SEEDS else often
-        rare_hits = weak.join(often, "seed", "left_anti").select("hit", "item_no")
-        strong = hits.filter(F.col("seeds").isNull() | (F.size("seeds") >= STRONG)).select("hit", "item_no")
-        having = rare_hits.select("item_no").union(strong.select("item_no")).distinct()
-        having = F.broadcast(having) if len(words) <= MOST_SEEDS else having
-        common = weak.join(having, "item_no", "left_anti").select("hit")
-        wanted = rare_hits.select("hit").union(common).union(strong.select("hit")).distinct()
-        chosen = hits.join(wanted, "hit", "left_semi")
-        numbers = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(got)], "item_no int, item_id long")
-        found = _aligned(chosen, words, threshold).join(F.broadcast(numbers), "item_no")
+        ids: dict[tuple[bytes, ...], list[int | None]] = {}
+        for i, t in own.collect():
+            if w := words_of(t):
+                ids.setdefault(tuple(w), []).append(i)
+        hashes = WordHashes()
+        shared = spark.sparkContext.broadcast([hashes.array(list(w)) for w in ids])
+        numbers = spark.createDataFrame([(k, i) for k, own_ids in enumerate(ids.values()) for i in own_ids], "item_no int, item_id long")
+        found = _aligned(docs, shared, _common(docs, shared, most), threshold).join(F.broadcast(numbers), "item_no")
         out = found if out is None else out.union(found)
     best = out.groupBy("doc_row", "doc_id", "item_id").agg(F.max_by(F.struct("score", "start", "end"), F.struct("score", -F.col("start"))).alias("best"))
     return best.select("doc_row", "doc_id", "item_id", "best.score", "best.start", "best.end")

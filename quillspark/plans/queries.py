@@ -263,8 +263,7 @@ def hash_embed_topk(spark, sf):
     docs = embedding.embed(read(spark, sf, "documents").select("doc_id", F.col("text").alias("embedding_text")), model).select(F.col("doc_id").alias("vec_id"), "embedding")
     questions = embedding.embed(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("embedding_text")), model).select("query_id", F.col("embedding").alias("q"))
     # Many texts tie but for the last bits of their sums, so ranks go by nine digits, then the id.
-    near = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "vec_id")
-    got = retrieval.search_many(docs, questions, 20).withColumn("rank", F.row_number().over(near).cast("int")).filter("rank <= 3")
+    got = retrieval.search_many(docs, questions, 3, digits=9)
     return got.select("query_id", "rank", F.col("vec_id").alias("doc_id"), F.round("score", 5).alias("score"))
 
 

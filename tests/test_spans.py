@@ -58,8 +58,8 @@ def test_stitch_and_pages(spark):
     assert [list(x) for x in got] == [[1], [1, 2], [2], [2]]
 
 
-def heads(lines, template="sop"):
-    return [s.breadcrumb for s in spans.outline("D", "\n".join(lines), 0, template)]
+def heads(lines):
+    return [s.breadcrumb for s in spans.outline("D", "\n".join(lines), 0)]
 
 
 def test_numbered_outline():
@@ -68,9 +68,10 @@ def test_numbered_outline():
     ]
 
 
-def test_plain_outline():
+def test_plain_outline(spark):
     lines = ["Working Days", "", "text here.", "Part 1: Hours:", "more", "", "Extra Days", "", "Part 2 x", "lower case", "", "Ends with dot.", ""]
-    got = heads(lines, "plain")
+    found = chunking.with_outline(stitched(spark, [("D", 1, "\n".join(lines), "content")]).withColumn("template", F.lit("plain"))).first()["sections"]
+    got = [s["breadcrumb"] for s in found]
     assert got == ["D > Working Days", "D > Working Days > Part 1: Hours", "D > Extra Days", "D > Extra Days > Part 2 x"]
 
 

@@ -1,18 +1,19 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Every word trigram of the test items is a seed. A first pass over the corpus counts in how many different contexts (CONTEXT
+Every word trigram of the test items is a seed. A first step counts in how many different contexts (CONTEXT
 words on both sides) each seed stands, without looking at items, so what it emits has a bound whatever items share; copies of a
 document, or a leak that is itself frequent, count once. A seed is rare if it has at most `rare_share` of the
 documents' number of contexts, or `rare_least` of them at any size. Seeds that are neither rare nor in at most SHARED items say nothing of an
 item and are passed over, but for items that have no other seeds, which use all of theirs.
-A second pass aligns, for each document and item, windows of words around the seeds that hold a rare one or STRONG
+A second one aligns, for each document and item, windows of words around the seeds that hold a rare one or STRONG
 different ones, or are of an item with common seeds alone or one of so few words that one seed reaches the threshold. So a phrase that all documents and items share makes no window.
 A document is contaminated by an item when the best local alignment of words (match 2, mismatch -1, gap -1)
 reaches `threshold` of what the whole item would score against itself.
 
 Items of fewer than three words have no seeds; they are found where their words stand in that order, whole, with a score
 of 1. Items without words take no part; items of the same words are looked for once. Test items are taken to the tasks in blocks of at most `block_items`
-items, two passes over the corpus for each block, so what a task holds has a bound whatever the number of items.
+items, one pass over the corpus for each block, so what a task holds has a bound whatever the number of items. That pass writes
+the pieces of documents that lie as near to a seed as an item can reach, as word hashes; all else works on these.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, tidy, words_of
+from .common import WordHashes, cut, tidy, words_of
 
 N = 3
 BLOCK_ITEMS = 20_000
@@ -32,6 +33,7 @@ STRONG = 3
 #: Words on each side of a seed that tell its contexts apart; items that may share a common seed that still counts.
 CONTEXT, SHARED = 4, 16
 MATCH, MISMATCH, GAP = 2, -1, -1
+NEAR = pa.schema([("doc_row", pa.int64()), ("doc_id", pa.int64()), ("item", pa.int32()), ("start", pa.int32()), ("words", pa.binary())])
 FOUND = pa.schema([("doc_row", pa.int64()), ("doc_id", pa.int64()), ("item_no", pa.int32()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -60,8 +62,24 @@ class Seeds:
         self.first = np.searchsorted(number[order], np.arange(len(self.hashes) + 1))
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        # From a seed's place to both ends of the widest window that it can be in, and beyond its context.
+        far = np.zeros(len(self.hashes), np.int64)
+        np.maximum.at(far, number[order], self.lengths[self.item] + self.lengths[self.item] // 4)
+        self.reach = far + 2 * CONTEXT + N + 4
         self.mix = np.cumprod(np.full(2 * CONTEXT + N, _MIX[0] | np.uint64(1), np.uint64), dtype=np.uint64)
 
+    def pieces(self, h: np.ndarray):
+        """(start, end) of the stretches of a document that hold all windows and contexts of its seeds."""
+        pos, no = self.places(ngrams(h))
+        if not len(pos):
+            return
+        lo = np.maximum(0, pos - self.reach[no])
+        hi = np.minimum(len(h), pos + self.reach[no])
+        order = np.argsort(lo, kind="stable")
+        lo, top = lo[order], np.maximum.accumulate(hi[order])
+        cuts = np.flatnonzero(lo[1:] > top[:-1]) + 1
+        yield from zip(lo[np.append(0, cuts)].tolist(), top[np.append(cuts - 1, len(top) - 1)].tolist())
+
     def contexts(self, h: np.ndarray):
         """(seed number, hash of the words around it) of each place of a seed."""
         pos, no = self.places(ngrams(h))
@@ -163,28 +181,44 @@ def align(item: np.ndarray, windows: list[np.ndarray]) -> list[tuple[float, int,
     return [(float(b), int(s), int(e)) for b, (s, e) in zip(best, where, strict=True)]
 
 
-def _common(docs: DataFrame, shared, most: int) -> np.ndarray:
+def _near(docs: DataFrame, shared) -> DataFrame:
+    """(doc_row, doc_id, item, start, words): pieces of documents near seeds (item -1), and places of items without seeds."""
+
+    def run(batches):
+        seeds, memo, items = Seeds(shared.value), WordHashes(), shared.value
+        for b in batches:
+            rows: list[tuple] = []
+            for row, doc, text in zip(*(b.column(i) for i in range(3)), strict=True):
+                h, key = memo.array(words_of(text.as_py())), (row.as_py(), doc.as_py())
+                rows += [(*key, item, start, None) for item, start in seeds.whole(h)]
+                rows += [(*key, -1, lo, h[lo:hi].tobytes()) for lo, hi in seeds.pieces(h)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(NEAR), NEAR, strict=True)], schema=NEAR)
+
+    return cut(docs.mapInArrow(tidy(run), "doc_row long, doc_id long, item int, start int, words binary"))
+
+
+def _common(near: DataFrame, shared, most: int) -> np.ndarray:
     """Numbers of the seeds that stand in more than `most` different contexts: no more than there are seeds in the block."""
 
     def run(batches):
-        seeds, memo = Seeds(shared.value), WordHashes()
+        seeds = Seeds(shared.value)
         for b in batches:
-            found = [seeds.contexts(memo.array(words_of(t.as_py()))) for t in b.column(0)]
+            found = [seeds.contexts(np.frombuffer(w.as_py(), np.uint64)) for w in b.column(0)]
             no, context = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.uint64))
             pairs = np.unique(np.stack([no.astype(np.int64), context.view(np.int64)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0].astype(np.int32)), pa.array(pairs[1])], names=["seed", "context"])
 
-    places = docs.select("text").mapInArrow(tidy(run), "seed int, context long")
+    places = near.filter("item = -1").select("words").mapInArrow(tidy(run), "seed int, context long")
     often = places.distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
     return np.array([r["seed"] for r in often.select("seed").collect()], np.int64)
 
 
-def _aligned(docs: DataFrame, shared, common: np.ndarray, threshold: float, batch: int = 256, most_words: int = 1_000_000) -> DataFrame:
+def _aligned(near: DataFrame, shared, common: np.ndarray, threshold: float, batch: int = 256, most_words: int = 1_000_000) -> DataFrame:
     """(doc_row, doc_id, item_no, score, start, end) of each window that aligns well enough, and of each short item."""
-    told = docs.sparkSession.sparkContext.broadcast(common)
+    told = near.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        seeds, memo, items = Seeds(shared.value), WordHashes(), shared.value
+        seeds, items = Seeds(shared.value), shared.value
         seeds.choose(told.value, threshold)
         out: list[tuple] = []
         waiting: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}  # places of each different item and window
@@ -210,13 +244,14 @@ def _aligned(docs: DataFrame, shared, common: np.ndarray, threshold: float, batc
             return made
 
         for b in batches:
-            for row, doc, text in zip(*(b.column(i) for i in range(3)), strict=True):
-                row, doc, h = row.as_py(), doc.as_py(), memo.array(words_of(text.as_py()))
-                out.extend((row, doc, item, 1.0, start, start + len(items[item])) for item, start in seeds.whole(h))
-                for item, start, window in seeds.windows(h):
-                    places = waiting.setdefault((item, window.tobytes()), [])
+            for row, doc, item, at, words in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if words is None:
+                    out.append((row, doc, item, 1.0, at, at + len(items[item])))
+                    continue
+                for no, start, window in seeds.windows(np.frombuffer(words, np.uint64)):
+                    places = waiting.setdefault((no, window.tobytes()), [])
                     held += 1 if places else 1 + len(window)
-                    places.append((row, doc, start))
+                    places.append((row, doc, at + start))
                 if held > most_words:
                     settle()
                     held = 0
@@ -224,7 +259,7 @@ def _aligned(docs: DataFrame, shared, common: np.ndarray, threshold: float, batc
         settle()
         yield ready()
 
-    return docs.mapInArrow(tidy(run), "doc_row long, doc_id long, item_no int, score double, start int, end int")
+    return near.mapInArrow(tidy(run), "doc_row long, doc_id long, item_no int, score double, start int, end int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, rare_share: float = RARE_SHARE, rare_least: int = RARE_LEAST, block_items: int = BLOCK_ITEMS, row: str = "doc_id") -> DataFrame:
@@ -248,7 +283,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         hashes = WordHashes()
         shared = spark.sparkContext.broadcast([hashes.array(list(w)) for w in ids])
         numbers = spark.createDataFrame([(k, i) for k, own_ids in enumerate(ids.values()) for i in own_ids], "item_no int, item_id long")
-        found = _aligned(docs, shared, _common(docs, shared, most), threshold).join(F.broadcast(numbers), "item_no")
+        near = _near(docs, shared)
+        found = _aligned(near, shared, _common(near, shared, most), threshold).join(F.broadcast(numbers), "item_no")
         out = found if out is None else out.union(found)
     best = out.groupBy("doc_row", "doc_id", "item_id").agg(F.max_by(F.struct("score", "start", "end"), F.struct("score", -F.col("start"))).alias("best"))
     return best.select("doc_row", "doc_id", "item_id", "best.score", "best.start", "best.end")

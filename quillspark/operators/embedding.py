@@ -9,6 +9,7 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +80,69 @@ class WorkerModel:
         return n, self.max_tokens, n > self.max_tokens, seen
 
 
+def pooled(states: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Means of each text's own token vectors, of unit length: states are (texts, places, dim), of which the first `sizes` are a text's.
+
+    Each sum runs over a text's own places alone, so the padding of a batch changes nothing, not even the last bit. Vectors without
+    a direction stay zero.
+    """
+    mean = np.stack([s[:n].astype(np.float64).sum(axis=0) / max(n, 1) for s, n in zip(states, sizes, strict=True)])
+    size = np.sqrt((mean * mean).sum(axis=1, keepdims=True))
+    return np.divide(mean, size, out=np.zeros_like(mean), where=size > 0)
+
+
+class TokenModel(WorkerModel):
+    """A model that gives a vector for each token; texts are batched by their number of tokens, and token vectors pooled here.
+
+    `load` gives an object with tokens(text) -> (ids, ends: the character after each token; markers end at 0 or at the last one) and
+    states(ids, mask) -> (texts, places, dim) for a padded matrix. A text is cut to `max_tokens` ids, its last one kept as the
+    closing marker. Batches hold texts of like length and at most `batch_tokens` places, padding included.
+    """
+
+    def __init__(self, name: str, dim: int, load, max_tokens: int = 256, batch_tokens: int = 4096):
+        super().__init__(name, dim, load, max_tokens)
+        self.batch_tokens = batch_tokens
+
+    def _ids(self, text: str) -> list[int]:
+        ids = self._model().tokens(text)[0]
+        return ids if len(ids) <= self.max_tokens else [*ids[: self.max_tokens - 1], ids[-1]]
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        ids = [self._ids(t) for t in texts]
+        order, out, at = sorted(range(len(texts)), key=lambda i: len(ids[i])), [[]] * len(texts), 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and len(ids[order[end]]) * (end + 1 - at) <= self.batch_tokens:
+                end += 1
+            own = [ids[i] for i in order[at:end]]
+            sizes, width = [len(x) for x in own], max(map(len, own))
+            matrix = np.array([x + [0] * (width - len(x)) for x in own], np.int64).reshape(len(own), width)
+            states = np.asarray(self._model().states(matrix, np.arange(width) < np.array(sizes)[:, None]))
+            if states.shape != (*matrix.shape, self.dim):
+                raise RetrievalError(f"the model {self.name} does not give {self.dim} dimensions")
+            for i, v in zip(order[at:end], pooled(states, sizes).tolist(), strict=True):
+                out[i] = v
+            at = end
+        return out
+
+    def token_info(self, text: str) -> tuple[int, int, bool, int]:
+        ids, ends = self._model().tokens(text)
+        cut = len(ids) > self.max_tokens
+        return len(ids), self.max_tokens, cut, ends[self.max_tokens - 2] if cut else len(text)
+
+
+class HashStates:
+    """A stand-in for a token model: four numbers from each token's md5; a marker on both sides, number 0."""
+
+    def tokens(self, text: str) -> tuple[list[int], list[int]]:
+        found = list(TOKEN.finditer(text))
+        ids = [int(hashlib.md5(m[0].lower().encode()).hexdigest()[:8], 16) for m in found]
+        return [0, *ids, 0], [0, *(m.end() for m in found), len(text)]
+
+    def states(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        return (ids[:, :, None] >> np.array([24, 16, 8, 0]) & 255) / 255 - 0.5
+
+
 def embed(df: DataFrame, embedder, text: str = "embedding_text", batch: int = 16) -> DataFrame:
     """df with embedding, embedding_model, embedding_dim and token_info. The embedder runs batch-wise in Python workers."""
     at = df.columns.index(text)
@@ -87,7 +151,9 @@ def embed(df: DataFrame, embedder, text: str = "embedding_text", batch: int = 16
     def run(batches):
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
-            vectors = [v for i in range(0, len(texts), batch) for v in embedder.embed(texts[i : i + batch])]
+            # A token model forms batches itself, by length.
+            step = len(texts) or 1 if isinstance(embedder, TokenModel) else batch
+            vectors = [v for i in range(0, len(texts), step) for v in embedder.embed(texts[i : i + step])]
             if any(len(v) != embedder.dim for v in vectors):
                 raise RetrievalError(f"the model's vectors do not have {embedder.dim} dimensions")
             infos = [dict(zip(("token_count", "max_seq_length", "truncated", "embedded_chars"), embedder.token_info(t), strict=True)) for t in texts]

@@ -1,10 +1,11 @@
-"""A collection of vectors: a Parquet folder and a properties file, opened through Spark's file systems.
+"""A collection of vectors: a Parquet folder, bucketed by id, and a properties file, opened through Spark's file systems.
 
 Appends are not transactions; there is one writer at a time. A path that is being read is never overwritten.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass
 
@@ -15,6 +16,8 @@ from ..durable import cut
 from ..errors import StorageError
 from .index import GraphIndex
 
+#: Buckets of a collection's rows, by the hash of their id.
+BUCKETS = 16
 #: Metadata fields that a flat store keeps as JSON text.
 NESTED = ("token_info", "tables", "params")
 
@@ -52,8 +55,23 @@ class Collection:
     def _data(self) -> str:
         return f"{self.path}/data"
 
+    @property
+    def _table(self) -> str:
+        return f"quillspark_{hashlib.md5(self.path.encode()).hexdigest()}"
+
+    def _opened(self, ddl: str) -> str:
+        """The name of the stored rows as a table of this session, bucketed by the key, so that joins on it need no exchange of them."""
+        if not self.spark.catalog.tableExists(self._table):
+            place = self._data.replace("'", "\\'")
+            self.spark.sql(f"CREATE TABLE {self._table} ({ddl}) USING parquet CLUSTERED BY (`{self.key}`) INTO {BUCKETS} BUCKETS LOCATION '{place}'")
+        return self._table
+
     def rows(self) -> DataFrame | None:
-        return self.spark.read.parquet(self._data) if self._fs.exists(self._path(f"{self._data}/_SUCCESS")) else None
+        if not self._fs.exists(self._path(f"{self._data}/_SUCCESS")):
+            return None
+        name = self._opened(self.spark.read.parquet(self._data).schema.toDDL())
+        self.spark.catalog.refreshTable(name)
+        return self.spark.table(name)
 
     def count(self) -> int:
         rows = self.rows()
@@ -61,7 +79,12 @@ class Collection:
 
     def existing(self, ids: DataFrame) -> DataFrame:
         rows = self.rows()
-        return ids.limit(0) if rows is None else ids.join(rows.select(self.key), self.key, "left_semi")
+        return ids.limit(0) if rows is None else ids.join(rows.select(self.key).hint("merge"), self.key, "left_semi")
+
+    def fresh(self, records: DataFrame) -> DataFrame:
+        """The records whose id is not stored: they are dealt by the buckets of the stored rows, which stay where they are."""
+        rows = self.rows()
+        return records if rows is None else records.join(rows.select(self.key).hint("merge"), self.key, "left_anti").select(*records.columns)
 
     def ingest(self, records: DataFrame) -> IngestReport:
         """Add the records whose id is new. Ids that repeat among the records are an error. The records are evaluated once."""
@@ -69,16 +92,18 @@ class Collection:
         loaded, different = records.agg(F.count(F.lit(1)), F.count_distinct(F.struct(self.key))).first()
         if different != loaded:
             raise StorageError("ids repeat among the records")
-        before = self.rows()
-        have = before.count() if before is not None else 0
-        new = records if before is None else cut(records.join(before.select(self.key), self.key, "left_anti").select(*records.columns))
-        new.write.mode("append").parquet(self._data)
+        have = self.count()
+        new = cut(self.fresh(records))
+        name = self._opened(records.schema.toDDL())
+        # One file for each bucket: what is written is dealt as the buckets are.
+        new.repartition(BUCKETS, self.key).write.insertInto(name)
         if self.index is not None:
             self.index.add(new)
         after = self.count()
         return IngestReport(loaded, after - have, loaded - (after - have), after)
 
     def reset(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table}")
         for part in (self._data, f"{self.path}/index"):
             self._fs.delete(self._path(part), True)
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking, corpus, outline, quality, ranges
+from ..operators import chunking, corpus, embedding, outline, quality, ranges
 from .further_oracle import _CONV, _THREE
-from .oracle import _PAGES
+from .oracle import _PAGES, _WS
 from .oracle import SQL as BASE
-from .queries import _three, conversation_pages
+from .queries import _three, conversation_pages, read
 
 
 def placed(spark, sf):
@@ -47,9 +47,16 @@ def content_overlaps(spark, sf):
     return quality.content_overlaps(_three(spark, sf)[1])
 
 
+def pooled_vectors(spark, sf):
+    """Token vectors of the first 256 tokens of each document, batched by length, averaged and brought to unit length."""
+    docs = read(spark, sf, "documents").select("doc_id", F.col("text").alias("embedding_text"))
+    got = embedding.embed(docs, embedding.TokenModel("hash-states", 4, embedding.HashStates))
+    return got.select("doc_id", F.col("token_info.token_count").cast("long").alias("tokens"), *(F.round(F.col("embedding")[i].cast("double"), 4).alias(f"e{i}") for i in range(4)))
+
+
 _OWN_DOCS = "docs AS (SELECT doc, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM pages_ GROUP BY doc)"
 
-QUERIES = {"page_places": page_places, "line_places": line_places, "span_pages": span_pages, "offset_sections": offset_sections, "content_overlaps": content_overlaps}
+QUERIES = {"page_places": page_places, "line_places": line_places, "span_pages": span_pages, "offset_sections": offset_sections, "content_overlaps": content_overlaps, "pooled_vectors": pooled_vectors}
 
 SQL = {
     "page_places": BASE["page_spans"],
@@ -60,4 +67,9 @@ SELECT doc, CAST(start AS BIGINT) AS start, CAST(least(start + length(line) + 1,
     "offset_sections": f"WITH {_CONV} SELECT doc, start, section FROM asof_",
     "content_overlaps": f"""WITH {_THREE}
 SELECT c.doc, c.doc AS section, c.s AS chunking_strategy, count(*) AS n, count(*) FILTER (c.a < t.a) AS starts_before, count(*) FILTER (c.b > t.b) AS runs_past FROM three t JOIN three c ON c.doc = t.doc AND c.a < t.b AND t.a < c.b WHERE t.s = 'section' GROUP BY c.doc, c.s""",
+    "pooled_vectors": f"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^{_WS}]+') AS w FROM documents),
+h AS (SELECT doc_id, md5(lower(x)) AS h FROM (SELECT doc_id, unnest(w[1:254]) AS x FROM t)),
+s AS (SELECT doc_id, {", ".join(f"sum(CAST('0x' || substring(h, {2 * i + 1}, 2) AS INTEGER) / 255.0::DOUBLE - 0.5) AS s{i}" for i in range(4))}, count(*) AS n FROM h GROUP BY doc_id),
+m AS (SELECT t.doc_id, len(w) + 2 AS tokens, {", ".join(f"(coalesce(s{i}, 0) - 1) / (coalesce(n, 0) + 2) AS m{i}" for i in range(4))} FROM t LEFT JOIN s ON s.doc_id = t.doc_id)
+SELECT doc_id, CAST(tokens AS BIGINT) AS tokens, {", ".join(f"round(m{i} / sqrt(m0 * m0 + m1 * m1 + m2 * m2 + m3 * m3), 4) + 0.0 AS e{i}" for i in range(4))} FROM m""",
 }

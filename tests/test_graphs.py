@@ -136,3 +136,20 @@ def test_many_headings(spark):
     heads = [spans.Section(f"h{i}", 10 * i, 10 * i + 10, 10 * i + 10, -1, 1, f"D > h{i}") for i in range(40_000)]
     starts, begin = [h.start for h in heads], time.time()
     assert all(spans.section_at("D", starts, heads, 10 * i + 3, 0, False) == f"D > h{i}" for i in range(40_000)) and time.time() - begin < 5
+
+
+def test_ingest_leaves_stored_rows_in_place(spark, tmp_path):
+    """The plan of an ingest has no exchange of the stored side; another session's view of the folder has the same rows."""
+    v = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("chunk_id"), F.array(F.col("id").cast("float")).alias("embedding"))
+    store = Collection(spark, str(tmp_path / "c"))
+    store.ingest(v.limit(2000))
+    plan = store.fresh(v)._jdf.queryExecution().executedPlan().toString()
+    stored = plan[plan.index("SortMergeJoin") :]
+    sides = [line for line in stored.splitlines() if "Exchange" in line or "Scan parquet" in line]
+    assert "LeftAnti" in stored and sum("Exchange" in s for s in sides) == 1 and "Bucketed: true" in stored, stored
+    report = store.ingest(v)
+    assert (report.loaded, report.inserted, report.skipped, report.count_after) == (3000, 1000, 2000, 3000)
+    other = Collection(spark.newSession(), str(tmp_path / "c"))
+    assert other.count() == 3000 and other.ingest(v.limit(10)).inserted == 0
+    store.reset()
+    assert store.count() == 0 and store.ingest(v).inserted == 3000

@@ -11,7 +11,7 @@ from ..functions.arrays import between, let, parts_of
 from ..functions.text import count_lines
 from .chunking import context_line
 from .corpus import regions
-from .ranges import as_of, overlap_counts
+from .ranges import as_of, medians, overlap_counts
 
 REQUIRED = ("chunk_id", "doc", "chunking_strategy", "section", "page_start", "page_end", "text", "embedding_text")
 
@@ -76,10 +76,13 @@ def statistics(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     flagged = rows.join(ends.select("doc", "e.b", "e.inside"), ["doc", "b"], "left")
     # The last heading before a chunk's end lies behind its start.
     flagged = as_of(flagged.withColumn("start", F.col("b") - 1), top, ["doc"], "start", ["_top"])
-    return flagged.groupBy("chunking_strategy").agg(
-        F.count(F.lit(1)).alias("chunks"), F.bround(F.avg("n")).cast("long").alias("avg"), F.bround(F.percentile("n", F.lit(0.5))).cast("long").alias("median"), F.min("n").alias("min"), F.max("n").alias("max"),
+    middle = medians(rows, ["chunking_strategy"], "n")
+    sums = flagged.groupBy("chunking_strategy").agg(
+        F.count(F.lit(1)).alias("chunks"), F.bround(F.avg("n")).cast("long").alias("avg"), F.min("n").alias("min"), F.max("n").alias("max"),
         F.count_if("cross").alias("cross_page"), F.count_if("tab").alias("with_table"), F.count_if(F.col("n") < S.SHORT).alias("short"), F.count_if("inside").alias("mid_word_end"), F.count_if(F.col("_top") > F.col("a")).alias("mixes_top"),
     )
+    order = ("chunking_strategy", "chunks", "avg", F.bround("median").cast("long").alias("median"), "min", "max", "cross_page", "with_table", "short", "mid_word_end", "mixes_top")
+    return sums.join(middle, "chunking_strategy", "left").select(*order)
 
 
 def table_check(chunks: DataFrame, row: str, header: str, line_start: str, intro: str) -> DataFrame:

@@ -115,3 +115,35 @@ def overlap_counts(spans: DataFrame, ranges: DataFrame, keys: list[str], by: str
     at = lambda low, c: F.max(F.when(F.col("_low") == low, F.col(c)))
     found = seen.groupBy(*keys, by, "id").agg(at(True, "_begun").alias("a"), at(True, "_ended").alias("b"), at(False, "_begun").alias("c"), at(False, "_ended").alias("d"))
     return found.select(*keys, "id", by, (F.col("c") - F.col("b")).alias("n"), (F.col("a") - F.col("b")).alias("starts_before"), (F.col("c") - F.col("d")).alias("runs_past")).filter("n > 0")
+
+
+#: Bins of a histogram that looks for a rank.
+BINS = 1024
+
+
+def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median): the exact median of whole numbers for each key, null for keys without values.
+
+    Both middle ranks are looked for in a histogram of BINS bins over the values' range, then in one of the bin that holds the
+    rank, until bins are single numbers: no task or group holds more than BINS rows for each key and rank, whatever the values are.
+    """
+    rows = df.select(*keys, F.col(value).cast("long").alias("_v")).filter("_v is not null")
+    facts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    ranks = F.explode(F.array(F.call_function("div", F.col("_n") - 1, F.lit(2)), F.call_function("div", F.col("_n"), F.lit(2))))
+    wide = lambda n: F.call_function("div", n + (BINS - 1), F.lit(BINS))
+    state = cut(facts.withColumn("_width", wide(F.col("_high") - F.col("_low") + 1)).select(*keys, "_low", "_width", ranks.alias("_left")).withColumn("_r", F.monotonically_increasing_id()))
+    most = state.agg(F.max("_width")).first()[0]
+    while most:
+        bin_ = F.call_function("div", F.col("_v") - F.col("_low"), F.col("_width"))
+        same = [F.col(f"_s.{k}").eqNullSafe(F.col(f"_d.{k}")) for k in keys]
+        inside = (F.col("_v") >= F.col("_low")) & (F.col("_v") < F.col("_low") + F.col("_width") * BINS)
+        met = rows.alias("_d").join(state.alias("_s"), [*same, inside] if keys else inside)
+        counts = met.groupBy("_r", bin_.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+        w = Window.partitionBy("_r").orderBy("_b")
+        held = counts.withColumn("_to", F.sum("_c").over(w)).join(state, "_r").filter((F.col("_left") < F.col("_to")) & (F.col("_left") >= F.col("_to") - F.col("_c")))
+        low, left = F.col("_low") + F.col("_b") * F.col("_width"), F.col("_left") - (F.col("_to") - F.col("_c"))
+        # A bin of one number is found; its width stays one and its place is its own first bin.
+        state = cut(held.select(*keys, low.alias("_low"), wide(F.col("_width")).alias("_width"), left.alias("_left"), "_r"))
+        most = most // BINS + (most % BINS > 0) if most > 1 else 0
+    found = state.groupBy(*keys).agg(F.avg("_low").alias("median"))
+    return df.select(*keys).distinct().join(found, keys, "left") if keys else found

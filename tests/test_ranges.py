@@ -128,3 +128,13 @@ def test_headings_at(spark):
             continue
         i = bisect_right(starts, x["start"]) - 1
         assert x["section"] == ("D > Document Information" if x["start"] < doc["content_start"] else heads[i]["breadcrumb"] if i >= 0 else "D")
+
+
+def test_medians(spark):
+    r = random.Random(8)
+    own = {"a": [r.randint(0, 9) for _ in range(501)], "b": [r.randint(-(10**12), 10**12) for _ in range(400)], "c": [7] * 9, "d": [1, 2], "e": [None]}
+    df = spark.createDataFrame([(k, v) for k, vs in own.items() for v in vs], "k string, v long").repartition(3)
+    got = dict(ranges.medians(df, ["k"], "v").collect())
+    middle = lambda vs: (sorted(vs)[(len(vs) - 1) // 2] + sorted(vs)[len(vs) // 2]) / 2
+    assert got == {k: middle(vs) if vs != [None] else None for k, vs in own.items()}
+    assert ranges.medians(df.filter("k = 'a'"), [], "v").first()[0] == middle(own["a"])

@@ -28,7 +28,7 @@ from .common import cut, in_pieces, tidy
 
 SIGNS, DIGITS = 128, 12
 #: Characters of a range of ids, and the most ranges: what a task sorts and streams.
-RANGE_CHARS, MOST_RANGES = 16_000_000, 10_000
+RANGE_CHARS, MOST_RANGES = 2_000_000, 10_000
 _BASE, _MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _powers = np.array([1], np.uint64)
 

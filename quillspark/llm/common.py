@@ -130,3 +130,16 @@ def without(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """docs whose `key` is not among keys. Few keys are broadcast, after counting them; more are joined by a shuffle."""
     keys = cut(keys.select(key).distinct())
     return docs.join(F.broadcast(keys) if keys.count() <= MOST_KEYS else keys, key, "left_anti")
+
+
+def join_copies(rows: DataFrame, facts: DataFrame, key: str, copies: str = "copies", least: int = 10_000) -> DataFrame:
+    """rows joined to facts, which has one row for each key and the number of rows that share it.
+
+    Keys with more than `least` rows, and more than a ten thousandth of all, are at most 10,000: their facts are broadcast and their rows
+    stay where they are. Only the others are dealt by key, so no key brings many rows into one task.
+    """
+    facts = cut(facts)
+    most = max(least, (facts.agg(F.sum(copies)).first()[0] or 0) // 10_000)
+    often = F.broadcast(facts.filter(F.col(copies) > most))
+    rest = rows.join(often, key, "left_anti").join(facts.filter(F.col(copies) <= most), key)
+    return rows.join(often, key).unionByName(rest)

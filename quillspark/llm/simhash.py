@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, tidy
+from .common import cut, join_copies, tidy
 
 RADIUS = 3
 SHARD_SIZE = 2048
@@ -258,4 +258,4 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_size: int = SHA
     nodes = nodes.join(star.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(classes, "root").select("fp", "component_id", "copies")
-    return fp.join(nodes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
+    return join_copies(fp, nodes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")

@@ -108,3 +108,15 @@ def test_shared_phrase_makes_no_windows(spark, monkeypatch):
     hashes = decontaminate.WordHashes()
     made = sum(1 for t in docs for _ in seeds.windows(hashes.array([w.encode() for w in t])))
     assert len(common) == 1 and made == 12 and r
+
+
+def test_frequent_keys_stay_in_place(spark):
+    """Keys of many rows and of few are joined alike."""
+    from quillspark.llm.common import join_copies
+
+    rows = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(300)], "n long, k long")
+    facts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("copies"))
+    want = sorted(map(tuple, rows.join(facts, "k").select("n", "k", "copies").collect()))
+    for least in (5, 1000):
+        assert sorted(map(tuple, join_copies(rows, facts, "k", least=least).select("n", "k", "copies").collect())) == want
+    assert join_copies(rows.limit(0), facts.limit(0), "k").count() == 0

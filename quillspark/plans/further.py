@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..durable import cut, scratch, workspace
+from ..durable import cut, workspace
 from ..errors import RetrievalError, StorageError
 from ..functions import text as X
 from ..operators import chunking, corpus, embedding, layout, quality, retrieval
@@ -33,43 +33,46 @@ def topk_both(spark, sf):
 
 def ingest_idempotent(spark, sf):
     """What ingesting the even ids, then all, then all again reports, and what a reset leaves."""
-    path, v = scratch(spark), vectors(spark, sf)
+    v = vectors(spark, sf)
     out = []
-    for step, rows in enumerate((v.filter("vec_id % 2 = 0"), v, v), 1):
-        r = Collection(spark, path, key="vec_id").ingest(rows)
-        out.append((step, r.loaded, r.inserted, r.skipped, r.count_after))
-    store = Collection(spark, path, key="vec_id")
-    out.append((4, store.existing(v.filter("vec_id < 7").select("vec_id")).count(), store.rows().count(), 0, store.count()))
-    store.reset()
-    return spark.createDataFrame([*out, (5, 0, 0, 0, Collection(spark, path, key="vec_id").count())], "step int, loaded long, inserted long, skipped long, count_after long")
+    with workspace(spark) as path:
+        for step, rows in enumerate((v.filter("vec_id % 2 = 0"), v, v), 1):
+            r = Collection(spark, path, key="vec_id").ingest(rows)
+            out.append((step, r.loaded, r.inserted, r.skipped, r.count_after))
+        store = Collection(spark, path, key="vec_id")
+        out.append((4, store.existing(v.filter("vec_id < 7").select("vec_id")).count(), store.rows().count(), 0, store.count()))
+        store.reset()
+        left = Collection(spark, path, key="vec_id").count()
+    return spark.createDataFrame([*out, (5, 0, 0, 0, left)], "step int, loaded long, inserted long, skipped long, count_after long")
 
 
 def refused(spark, sf):
     """Calls that must be refused, and whether each was."""
-    path, v = scratch(spark), vectors(spark, sf)
+    v = vectors(spark, sf)
     model, none = embedding.HashEmbedder(64), v.limit(0)
-    Collection(spark, path, key="vec_id")
-    calls = {
-        "top_k_zero": lambda: retrieval.search(v, [1.0], 0),
-        "top_k_text": lambda: retrieval.search(v, [1.0], "5"),
-        "method": lambda: retrieval.search(v, [1.0], 5, "dot"),
-        "empty_question": lambda: retrieval.retrieve(v, "  ", model),
-        "empty_store": lambda: retrieval.retrieve(none, "q", model),
-        "dimensions": lambda: retrieval.retrieve(v, "q", embedding.HashEmbedder(8)),
-        "unknown_id": lambda: retrieval.compare_pair(v, 0, -1),
-        "metric": lambda: Collection(spark, path, "euclidean", key="vec_id"),
-        "repeated_ids": lambda: Collection(spark, path, key="vec_id").ingest(v.union(v)),
-        "strategy": lambda: chunking.units(None, "other"),
-        "overlap": lambda: chunking.windows(F.lit("x"), 50, 50),
-        "no_pdf_files": lambda: files.pdf_files(spark, sf),
-    }
-    rows = []
-    for name, call in calls.items():
-        try:
-            call()
-            rows.append((name, "accepted"))
-        except (RetrievalError, StorageError, ValueError, FileNotFoundError) as e:
-            rows.append((name, type(e).__name__))
+    with workspace(spark) as path:
+        Collection(spark, path, key="vec_id")
+        calls = {
+            "top_k_zero": lambda: retrieval.search(v, [1.0], 0),
+            "top_k_text": lambda: retrieval.search(v, [1.0], "5"),
+            "method": lambda: retrieval.search(v, [1.0], 5, "dot"),
+            "empty_question": lambda: retrieval.retrieve(v, "  ", model),
+            "empty_store": lambda: retrieval.retrieve(none, "q", model),
+            "dimensions": lambda: retrieval.retrieve(v, "q", embedding.HashEmbedder(8)),
+            "unknown_id": lambda: retrieval.compare_pair(v, 0, -1),
+            "metric": lambda: Collection(spark, path, "euclidean", key="vec_id"),
+            "repeated_ids": lambda: Collection(spark, path, key="vec_id").ingest(v.union(v)),
+            "strategy": lambda: chunking.units(None, "other"),
+            "overlap": lambda: chunking.windows(F.lit("x"), 50, 50),
+            "no_pdf_files": lambda: files.pdf_files(spark, sf),
+        }
+        rows = []
+        for name, call in calls.items():
+            try:
+                call()
+                rows.append((name, "accepted"))
+            except (RetrievalError, StorageError, ValueError, FileNotFoundError) as e:
+                rows.append((name, type(e).__name__))
     return spark.createDataFrame(rows, "call string, outcome string")
 
 
@@ -118,39 +121,41 @@ def table_check(spark, sf):
 
 def chunks_written(spark, sf):
     """Chunks written as one folder for each strategy and read again by it."""
-    path = scratch(spark)
-    files.write_chunks(_three(spark, sf)[1], path)
-    back = files.jsonl(spark, path, S.CHUNKS)
-    some = chunking.select_chunks(back, chunk_id="section-o1-001").unionByName(chunking.select_chunks(back, "fixed", doc="o2"))
-    return some.select("chunk_id", "chunking_strategy", F.md5("text").alias("md5"))
+    with workspace(spark) as path:
+        files.write_chunks(_three(spark, sf)[1], path)
+        back = files.jsonl(spark, path, S.CHUNKS)
+        some = chunking.select_chunks(back, chunk_id="section-o1-001").unionByName(chunking.select_chunks(back, "fixed", doc="o2"))
+        return cut(some.select("chunk_id", "chunking_strategy", F.md5("text").alias("md5")))
 
 
 def pages_written(spark, sf):
     """Pages written as JSON lines, read again, and matched by name."""
-    path = scratch(spark)
-    files.write_jsonl(conversation_pages(spark, sf).select("doc", "page", "text"), path)
-    back = files.jsonl(spark, path, "doc string, page int, text string")
-    return corpus.matching(back, "C1", "doc").select("doc", "page", F.length("text").cast("long").alias("chars"))
+    with workspace(spark) as path:
+        files.write_jsonl(conversation_pages(spark, sf).select("doc", "page", "text"), path)
+        back = files.jsonl(spark, path, "doc string, page int, text string")
+        return cut(corpus.matching(back, "C1", "doc").select("doc", "page", F.length("text").cast("long").alias("chars")))
 
 
 def vectors_written(spark, sf):
     """Vector records written as JSON lines, an id twice, read with all checks; the last record of an id stays."""
-    path, v = scratch(spark), vectors(spark, sf)
+    v = vectors(spark, sf)
     record = lambda sign: v.select(F.concat(F.lit("v"), "vec_id").alias("chunk_id"), F.transform("embedding", lambda x: sign * x.cast("double")).alias("embedding"), F.lit("m").alias("embedding_model"), "vec_id")
-    both = record(1).unionByName(record(-1).filter("vec_id % 4 = 0")).coalesce(1)
-    files.write_jsonl(both.drop("vec_id"), path)
-    kept = files.latest(files.stored_vectors(spark, path, 64, "m"))
-    back = files.write_vectors(kept.select("chunk_id", "embedding"), scratch(spark))
-    return back.select("chunk_id", F.round(F.col("embedding")[0], 6).alias("first"))
+    # Part files are numbered in the order of the union's sides, and read in the order of their names.
+    both = record(1).unionByName(record(-1).filter("vec_id % 4 = 0"))
+    with workspace(spark) as path, workspace(spark) as other:
+        files.write_jsonl(both.drop("vec_id"), path)
+        kept = files.latest(files.stored_vectors(spark, path, 64, "m"))
+        back = files.write_vectors(kept.select("chunk_id", "embedding"), other)
+        return cut(back.select("chunk_id", F.round(F.col("embedding")[0], 6).alias("first")))
 
 
 def documents_written(spark, sf):
     """Document records as a pretty JSON array, read again."""
-    path = scratch(spark)
     rows = read(spark, sf, "nation").select(F.col("n_name").alias("doc"), F.lit("a.pdf").alias("source_file"), F.col("n_nationkey").cast("int").alias("total_pages"))
-    files.write_array(rows, path)
-    back = files.json_array(spark, path, "doc string, source_file string, total_pages int")
-    return back.select("doc", "source_file", "total_pages")
+    with workspace(spark) as path:
+        files.write_array(rows, path)
+        back = files.json_array(spark, path, "doc string, source_file string, total_pages int")
+        return cut(back.select("doc", "source_file", "total_pages"))
 
 
 def registry_join(spark, sf):
@@ -242,6 +247,7 @@ def indexed_recall(spark, sf):
             Collection(spark, path, key="vec_id", indexed=True).ingest(rows)
         store = Collection(spark, path, key="vec_id", indexed=True)
         found = cut(store.index.search(asked, 5))
+        store.reset()
     exact = retrieval.search_many(v, asked, 5).select("query_id", "vec_id")
     hits = found.join(exact, ["query_id", "vec_id"], "left_semi").agg(F.count(F.lit(1)).alias("hits"))
     facts = found.filter("rank = 1").agg(F.avg("scored").alias("scored"), F.count(F.lit(1)).alias("asked"))

@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..durable import cut, workspace
 from ..functions import text as X
 from ..operators import chunking, corpus, embedding, layout, quality, retrieval
-from ..operators.store import flatten_metadata, rebuild_metadata
+from ..operators.store import Collection, flatten_metadata, rebuild_metadata
 from ..sources import files
 
 Z, NB = "\u200b", "\xa0"
@@ -110,7 +111,12 @@ def vector_validation(spark, sf):
 def ingest_new(spark, sf):
     """Rows that an ingest of all vectors adds where the even ones are stored already."""
     v = vectors(spark, sf)
-    return v.join(v.filter("vec_id % 2 = 0").select("vec_id"), "vec_id", "left_anti").agg(F.count(F.lit(1)).alias("inserted"), F.sum("vec_id").alias("ids"))
+    with workspace(spark) as path:
+        store = Collection(spark, path, key="vec_id")
+        store.ingest(v.filter("vec_id % 2 = 0"))
+        got = cut(store.fresh(v).agg(F.count(F.lit(1)).alias("inserted"), F.sum("vec_id").alias("ids")))
+        store.reset()
+        return got
 
 
 def metadata_roundtrip(spark, sf):

@@ -9,9 +9,9 @@ from .. import schemas as S
 from ..durable import cut
 from ..functions.arrays import between, let, parts_of
 from ..functions.text import count_lines
-from .chunking import context_line
+from .chunking import context_line, windows
 from .corpus import regions
-from .ranges import as_of, medians, overlap_counts
+from .ranges import as_of, medians, overlap_counts, overlap_join
 
 REQUIRED = ("chunk_id", "doc", "chunking_strategy", "section", "page_start", "page_end", "text", "embedding_text")
 
@@ -91,6 +91,16 @@ def table_check(chunks: DataFrame, row: str, header: str, line_start: str, intro
     return chunks.filter(t.contains(row)).select("chunking_strategy", "chunk_id", t.contains(header).alias("has_header"), count_lines(t, line_start).alias("model_rows"), t.contains(intro).alias("has_intro"))
 
 
+def windows_through_tables(docs: DataFrame, size: int = S.CHUNK_SIZE, overlap: int = S.CHUNK_OVERLAP) -> DataFrame:
+    """(doc, start, end, text, whole): fixed windows over whole texts (doc, text), tables and all, that touch a table; `whole` tells whether the
+    window holds all of it. Where it does not, rows are cut or parted from their header, which fixed chunks avoid.
+    """
+    tables = regions(docs).filter("is_table").select("doc", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    spans = docs.select("doc", F.explode(windows(F.col("text"), size, overlap)).alias("w")).select("doc", F.col("w.start").cast("long").alias("start"), F.col("w.end").cast("long").alias("end"), "w.text")
+    met = overlap_join(spans, tables, ["doc"])
+    return met.select("doc", "start", "end", "text", ((F.col("start") <= F.col("r_start")) & (F.col("r_end") <= F.col("end"))).alias("whole"))
+
+
 def same_content(chunks: DataFrame, doc: str, section: str) -> DataFrame:
     """Chunks of every strategy that overlap the range of the section chunks that match, with flags for what sticks out."""
     a, b = F.col("metadata.char_start"), F.col("metadata.char_end")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking, corpus, embedding, outline, quality, ranges
 from .further_oracle import _CONV, _THREE
-from .oracle import _PAGES, _WS
+from .oracle import _PAGES, _SPANS, _WS
 from .oracle import SQL as BASE
-from .queries import _three, conversation_pages, read
+from .oracle import _windows
+from .queries import _three, conversation_pages, order_documents, read
 
 
 def placed(spark, sf):
@@ -47,6 +48,19 @@ def content_overlaps(spark, sf):
     return quality.content_overlaps(_three(spark, sf)[1])
 
 
+def windows_through_tables(spark, sf):
+    """Windows of orders that cut a table, as they would without protection of tables."""
+    got = quality.windows_through_tables(order_documents(spark, sf), 100, 10)
+    return got.select("doc", "start", "end", "whole", F.md5("text").alias("md5"))
+
+
+def cover_spans(spark, sf):
+    """Documents whose first page is a cover: its place, and where the content starts."""
+    kind = F.struct(F.when(F.col("page") == 1, "cover").otherwise("content").alias("page_type"))
+    docs = corpus.stitch(conversation_pages(spark, sf).withColumn("metadata", kind))
+    return docs.select("doc", *(F.col(f"cover.{c}").cast("long").alias(f"cover_{c}") for c in ("start", "end")), F.col("content_start").cast("long").alias("content_start"))
+
+
 def pooled_vectors(spark, sf):
     """Token vectors of the first 256 tokens of each document, batched by length, averaged and brought to unit length."""
     docs = read(spark, sf, "documents").select("doc_id", F.col("text").alias("embedding_text"))
@@ -56,7 +70,7 @@ def pooled_vectors(spark, sf):
 
 _OWN_DOCS = "docs AS (SELECT doc, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM pages_ GROUP BY doc)"
 
-QUERIES = {"page_places": page_places, "line_places": line_places, "span_pages": span_pages, "offset_sections": offset_sections, "content_overlaps": content_overlaps, "pooled_vectors": pooled_vectors}
+QUERIES = {"page_places": page_places, "line_places": line_places, "span_pages": span_pages, "offset_sections": offset_sections, "content_overlaps": content_overlaps, "pooled_vectors": pooled_vectors, "windows_through_tables": windows_through_tables, "cover_spans": cover_spans}
 
 SQL = {
     "page_places": BASE["page_spans"],
@@ -72,4 +86,8 @@ h AS (SELECT doc_id, md5(lower(x)) AS h FROM (SELECT doc_id, unnest(w[1:254]) AS
 s AS (SELECT doc_id, {", ".join(f"sum(CAST('0x' || substring(h, {2 * i + 1}, 2) AS INTEGER) / 255.0::DOUBLE - 0.5) AS s{i}" for i in range(4))}, count(*) AS n FROM h GROUP BY doc_id),
 m AS (SELECT t.doc_id, len(w) + 2 AS tokens, {", ".join(f"(coalesce(s{i}, 0) - 1) / (coalesce(n, 0) + 2) AS m{i}" for i in range(4))} FROM t LEFT JOIN s ON s.doc_id = t.doc_id)
 SELECT doc_id, CAST(tokens AS BIGINT) AS tokens, {", ".join(f"round(m{i} / sqrt(m0 * m0 + m1 * m1 + m2 * m2 + m3 * m3), 4) + 0.0 AS e{i}" for i in range(4))} FROM m""",
+    "windows_through_tables": f"""WITH {_THREE}, {_windows("doc", "parts", 100, 90)}
+SELECT w.doc, w.start, w.start + length(body) AS "end", w.start <= t.a AND t.b <= w.start + length(body) AS whole, md5(body) AS md5 FROM windows w JOIN three t ON t.doc = w.doc AND t.s = 'fixed' AND t.tab WHERE body <> '' AND w.start < t.b AND t.a < w.start + length(body)""",
+    "cover_spans": f"""WITH {_SPANS} SELECT doc, CAST(max(CASE WHEN page = 1 THEN start END) AS BIGINT) AS cover_start, CAST(max(CASE WHEN page = 1 THEN start + length(text) END) AS BIGINT) AS cover_end,
+CAST(coalesce(min(CASE WHEN page <> 1 THEN start END), max(start + length(text))) AS BIGINT) AS content_start FROM spans GROUP BY doc""",
 }

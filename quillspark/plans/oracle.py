@@ -14,9 +14,9 @@ _ORDERS = """orders_ AS (SELECT 'o' || l_orderkey AS doc, '1. Summary:' || chr(1
   || chr(10) || '3. Notes:' || chr(10) || 'None.' AS text, count(*) AS n FROM lineitem GROUP BY l_orderkey)"""
 
 
-def _windows(key: str, source: str) -> str:
-    return f"""cuts AS (SELECT {key}, text, i * 450 AS at_ FROM {source}, unnest(generate_series(0, greatest(0, CAST(ceil((length(text) - 500) / 450.0) AS BIGINT)))) AS s(i) WHERE length(text) > 0),
-raw AS (SELECT {key}, at_, substring(text, CAST(at_ + 1 AS BIGINT), 500) AS body FROM cuts),
+def _windows(key: str, source: str, size: int = 500, step: int = 450) -> str:
+    return f"""cuts AS (SELECT {key}, text, i * {step} AS at_ FROM {source}, unnest(generate_series(0, greatest(0, CAST(ceil((length(text) - {size}) / {step}.0) AS BIGINT)))) AS s(i) WHERE length(text) > 0),
+raw AS (SELECT {key}, at_, substring(text, CAST(at_ + 1 AS BIGINT), {size}) AS body FROM cuts),
 windows AS (SELECT {key}, CAST(at_ + length(body) - length(regexp_replace(body, '^[{_WS}]+', '')) AS BIGINT) AS start, regexp_replace(body, '^[{_WS}]+|[{_WS}]+$', '', 'g') AS body FROM raw)"""
 
 

@@ -95,8 +95,13 @@ class Collection:
         have = self.count()
         new = cut(self.fresh(records))
         name = self._opened(records.schema.toDDL())
+        # Rows are inserted by place, so columns come in the order of the stored ones; what a record lacks is null.
+        stored = self.spark.table(name).schema
+        if other := set(records.columns) - set(stored.names):
+            raise StorageError(f"the collection has no columns {', '.join(sorted(other))}")
+        placed = [F.col(f"`{f.name}`") if f.name in records.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in stored]
         # One file for each bucket: what is written is dealt as the buckets are.
-        new.repartition(BUCKETS, self.key).write.insertInto(name)
+        new.select(*placed).repartition(BUCKETS, self.key).write.insertInto(name)
         if self.index is not None:
             self.index.add(new)
         after = self.count()

@@ -153,3 +153,14 @@ def test_ingest_leaves_stored_rows_in_place(spark, tmp_path):
     assert other.count() == 3000 and other.ingest(v.limit(10)).inserted == 0
     store.reset()
     assert store.count() == 0 and store.ingest(v).inserted == 3000
+
+
+def test_columns_of_a_collection(spark, tmp_path):
+    """Records may come with their columns in another order, or without some; unknown ones are refused."""
+    store = Collection(spark, str(tmp_path / "c"))
+    store.ingest(spark.createDataFrame([("a", 1, "x")], "chunk_id string, n int, t string"))
+    store.ingest(spark.createDataFrame([("y", "b", 2)], "t string, chunk_id string, n int"))
+    store.ingest(spark.createDataFrame([("c",)], "chunk_id string"))
+    assert sorted(map(tuple, store.rows().select("chunk_id", "n", "t").collect())) == [("a", 1, "x"), ("b", 2, "y"), ("c", None, None)]
+    with pytest.raises(StorageError):
+        store.ingest(spark.createDataFrame([("d", 1)], "chunk_id string, other int"))

@@ -68,6 +68,11 @@ def _compare(spark, a):
     _show(quality.statistics(chunks, _stitched(spark, a)), "Strategies")
     if a.doc and a.section:
         _show(quality.same_content(chunks, a.doc, a.section), "The same content")
+    if a.overlaps:
+        _show(quality.content_overlaps(chunks).orderBy("doc", "section", "chunking_strategy"), "Chunks that overlap each section")
+    if a.unprotected:
+        cut = quality.windows_through_tables(_stitched(spark, a)).groupBy("whole").agg(F.count(F.lit(1)).alias("windows"))
+        _show(cut, "Windows over tables, without protection")
     if a.row:
         _show(quality.table_check(chunks, a.row, a.header, a.line_start, a.intro).groupBy("chunking_strategy", "has_header", "has_intro").agg(F.count(F.lit(1)).alias("n"), F.max("model_rows").alias("model_rows")), f"Chunks with {a.row!r}")
 
@@ -79,7 +84,7 @@ def _embed(spark, a):
 
 
 def _ingest(spark, a):
-    store = Collection(spark, a.store)
+    store = Collection(spark, a.store, indexed=a.indexed)
     if a.reset:
         store.reset()
     r = store.ingest(spark.read.parquet(a.vectors))
@@ -91,6 +96,14 @@ def _search(spark, a):
     if rows is None:
         raise RetrievalError("there are no stored vectors")
     dim = rows.select(F.size("embedding").alias("n")).first()["n"]
+    if a.indexed:
+        retrieval.check_query(" ".join(a.question))
+        q = embedding.HashEmbedder(dim).embed([" ".join(a.question)])[0]
+        found = retrieval.indexed_search(rows, q, a.top_k, "chunk_id", Collection(spark, a.store, indexed=True).index)
+        print("Cosine distance, by the index")
+        for r in retrieval.report(found.withColumnRenamed("distance", "score")).orderBy("rank").collect():
+            print(r["line"])
+        return
     for m in retrieval.METHODS if a.method == "both" else [a.method]:
         found = retrieval.retrieve(rows, " ".join(a.question), embedding.HashEmbedder(dim), a.top_k, m)
         print(retrieval.METHODS[m][0])
@@ -124,10 +137,10 @@ def parser() -> argparse.ArgumentParser:
     c = command("chunk", _chunk, "pages", "out", template="plain", chunk_size=S.CHUNK_SIZE, overlap=S.CHUNK_OVERLAP, section_most=S.SECTION_MOST, table_most=S.TABLE_MOST)
     c.add_argument("--strategies", nargs="+", choices=S.STRATEGIES, default=list(S.STRATEGIES))
     command("check", _check, "chunks", strategy=None, pages=None, template="plain")
-    command("compare", _compare, "chunks", "pages", template="plain", doc=None, section=None, row=None, header="", line_start="| ", intro="")
+    command("compare", _compare, "chunks", "pages", template="plain", doc=None, section=None, overlaps=False, unprotected=False, row=None, header="", line_start="| ", intro="")
     command("embed", _embed, "chunks", "out", strategy=S.PRIMARY, dim=64)
-    command("ingest", _ingest, "vectors", "store", reset=False)
-    c = command("search", _search, "store", method="cosine", top_k=S.TOP_K)
+    command("ingest", _ingest, "vectors", "store", reset=False, indexed=False)
+    c = command("search", _search, "store", method="cosine", top_k=S.TOP_K, indexed=False)
     c.add_argument("question", nargs="+")
     command("graph", _graph, "store", "out", k=3)
     return p

@@ -27,9 +27,12 @@ def test_from_layouts_to_a_search(spark, tmp_path, capsys):
     assert run("search", at("store"), "words") == 2
     assert run("ingest", at("vectors"), at("store")) == 0 and run("ingest", at("vectors"), at("store")) == 0
     assert run("search", at("store"), "allowance", "words", "--method", "both", "--top-k", "2") == 0
+    assert run("compare", at("chunks"), at("pages"), "--overlaps", "--unprotected") == 0
+    assert run("ingest", at("vectors"), at("indexed"), "--indexed") == 0 and run("search", at("indexed"), "allowance", "words", "--indexed") == 0
     assert run("graph", at("store"), at("graph"), "--k", "1") == 0
     out = capsys.readouterr().out
     assert "documents=1" in out and "skipped 2" in out and "section-night-shift-00" in out and "of the variance kept" in out
+    assert "Chunks that overlap each section" in out and "Windows over tables" in out and "Cosine distance, by the index" in out
     assert "chunking_strategy=section" in out and "has_header=True" in out
     assert spark.read.parquet(at("graph/edges")).count() == 1
 

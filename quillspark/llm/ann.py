@@ -2,14 +2,14 @@
 
 Fit (bounded): centroids by spherical k-means and codebooks of the residuals on at most `sample_rows` vectors.
 Index (all rows): each vector goes to its nearest centroid and its residual is coded in `parts` bytes.
-Search: asymmetric distance tables (exact query part by codeword) score every coded row of the `probe_share` lists
-that are nearest to a query. Of these the `rerank` best by that score go on, all that tie with the last one included,
-and only these are compared exactly, by the cosine of the original vectors. So there are two approximations, each with
-a parameter: the share of lists visited and the number reranked. Codes and ids alone pass through the search; original
-vectors are joined for the short lists.
-
-A row that can't be among a query's `rerank` best is left out early: the sample's rows, scored by the same tables,
-give each query a floor that at least `rerank` rows of its visited lists reach.
+Search: asymmetric distance tables (exact query part by codeword) score coded rows of the lists that a query visits, and
+those that may be among its nearest are compared exactly, by the cosine of the original vectors.
+
+What may be among them is bounded, not guessed: a code keeps how far its row lies from what it stands for, so a row's
+cosine is its coded score give or take that distance, and none of a list's is above the centre's by more than the
+list's farthest row lies from it. The sample's rows give each query a floor that its k-th nearest reaches, and each
+slice of a list raises it. So the search is exact (as far as sums in another order go), and the index saves what its bounds let it save.
+With exact=False it stops at guesses instead: the `probe_share` lists nearest to a query, and of each slice the `rerank` best codes.
 Lists are cut into slices of at most `slice_rows` rows, queries of a list into blocks of `block_rows`, so a hot list is
 many tasks. Vectors without any cluster structure need a large share; where lists are far apart, a small one does.
 """
@@ -29,6 +29,8 @@ from .common import bounded_sample, cut, tidy
 
 SAMPLE_ROWS, SAMPLE_BYTES, PART_WIDTH, PROBE_SHARE, RERANK, MOST_LISTS = 16_384, 1 << 25, 2, 0.8, 200, 4096
 SLICE_ROWS, BLOCK_ROWS = 16_384, 4096
+#: What sums of single precision may be off by, and pairs that are compared exactly at a time.
+SLACK, PAIRS = 2e-5, 65_536
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -70,10 +72,13 @@ class Index:
         return np.pad(x, ((0, 0), (0, self.padded - self.dim))).reshape(len(x), self.books.shape[0], -1)
 
     def encode(self, x: np.ndarray):
-        """List and code of unit vectors."""
+        """List and code of unit vectors, their distance from what the code stands for, and from the list's centre."""
         own = nearest(x, self.centres)
         rest = self.split(x - self.centres[own])
-        return own, np.stack([nearest(rest[:, p], book) for p, book in enumerate(self.books)], axis=1).astype(np.uint8)
+        codes = np.stack([nearest(rest[:, p], book) for p, book in enumerate(self.books)], axis=1).astype(np.uint8)
+        lost = rest - self.books[np.arange(codes.shape[1]), codes]
+        size = lambda r: np.sqrt((r * r).sum(axis=(1, 2)))
+        return own, codes, size(lost), size(rest)
 
     def probes(self, q: np.ndarray, share: float) -> np.ndarray:
         """The lists to visit for each query, nearest first."""
@@ -129,7 +134,7 @@ def _blob(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int = SAMPLE_ROWS, lists: int | None = None, parts: int | None = None, probe_share: float = PROBE_SHARE, rerank: int = RERANK, slice_rows: int = SLICE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int = SAMPLE_ROWS, lists: int | None = None, parts: int | None = None, probe_share: float = PROBE_SHARE, rerank: int = RERANK, slice_rows: int = SLICE_ROWS, block_rows: int = BLOCK_ROWS, exact: bool = True) -> DataFrame:
     """The k nearest rows of `vectors` (vec_id, embedding) to each row of `queries`, its own vec_id excepted.
 
     Returns query_id, rank (from 1), vec_id, score (cosine in double precision on the original vectors), ties to the
@@ -149,14 +154,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int
     sample = bounded_sample(rows, "vec_id", sample_rows).select("vec_id", "embedding", "n").toPandas()
     x = unit(np.stack(sample["embedding"].to_numpy()))
     index = fit(x, lists or min(MOST_LISTS, max(1, math.isqrt(int(sample["n"][0])))), parts)
-    known, (known_list, known_code) = sample["vec_id"].to_numpy(), index.encode(x)
+    known = sample["vec_id"].to_numpy()
 
     def encode(batches):
         for b in batches:
             if b.num_rows:
                 raw = _matrix(b.column(1))
-                own, codes = index.encode(unit(raw))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), b.column(0), _blob(codes), _blob(raw)], names=["list", "vec_id", "code", "raw"])
+                own, codes, lost, far = index.encode(unit(raw))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), b.column(0), _blob(codes), _blob(raw), pa.array(lost), pa.array(far)], names=["list", "vec_id", "code", "raw", "lost", "far"])
+
+    # Of equal vectors only the k + 1 smallest ids, and of equal rows only k, can be among a query's k nearest.
+    same = Window.partitionBy("embedding", "vec_id").orderBy("n"), Window.partitionBy("embedding").orderBy("vec_id")
+    rows = rows.withColumn("i", F.row_number().over(same[0])).filter(F.col("i") <= k).withColumn("i", F.dense_rank().over(same[1])).filter(F.col("i") <= k + 1)
+    coded = cut(rows.select("vec_id", "embedding").mapInArrow(tidy(encode), "list int, vec_id long, code binary, raw binary, lost double, far double").withColumn("row", F.monotonically_increasing_id()))
+    # One number for each list.
+    reach = np.full(len(index.centres), -np.inf)
+    for r in coded.groupBy("list").agg(F.max("far").alias("far")).collect():
+        reach[r["list"]] = r["far"]
 
     def probe(batches):
         for b in batches:
@@ -164,56 +178,48 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int
                 some = b.slice(at, 512)
                 raw, ids = _matrix(some.column(1)), some.column(0).to_numpy(zero_copy_only=False)
                 q = unit(raw)
-                found = index.probes(q, probe_share)
-                visited = np.zeros((len(index.centres), len(q)), bool)
-                visited[found.T, np.arange(len(q))] = True
-                near = np.where(visited[known_list] & (known[:, None] != ids), index.similarity(index.tables(q), q, known_list, known_code), -np.inf)
-                # Slack for sums in another order.
-                floor = (_best(near, rerank) - 1e-4).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([some.column(0), _blob(raw), pa.array(floor), pa.array(found.tolist(), pa.list_(pa.int32()))], names=["query_id", "raw", "floor", "lists"])
+                if exact:
+                    floor = _best(np.where(known[:, None] != ids, x @ q.T, -np.inf), k) - SLACK
+                    found = [np.flatnonzero(v) for v in q @ index.centres.T + reach >= floor[:, None]]
+                else:
+                    floor, found = np.full(len(q), -np.inf), index.probes(q, probe_share)
+                yield pa.RecordBatch.from_arrays([some.column(0), _blob(raw), pa.array(floor), pa.array([v.tolist() for v in found], pa.list_(pa.int32()))], names=["query_id", "raw", "floor", "lists"])
 
-    # Of equal vectors only the k + 1 smallest ids, and of equal rows only k, can be among a query's k nearest.
-    same = Window.partitionBy("embedding", "vec_id").orderBy("n"), Window.partitionBy("embedding").orderBy("vec_id")
-    rows = rows.withColumn("i", F.row_number().over(same[0])).filter(F.col("i") <= k).withColumn("i", F.dense_rank().over(same[1])).filter(F.col("i") <= k + 1)
-    coded = cut(rows.select("vec_id", "embedding").mapInArrow(tidy(encode), "list int, vec_id long, code binary, raw binary").withColumn("row", F.monotonically_increasing_id()))
     asked = valid(queries).filter(F.size("embedding") == index.dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = cut(asked.mapInArrow(tidy(probe), "query_id long, raw binary, floor float, lists array<int>"))
+    asked = cut(asked.mapInArrow(tidy(probe), "query_id long, raw binary, floor double, lists array<int>"))
     probed = asked.select("query_id", "raw", "floor", F.explode("lists").alias("list"))
     # One row for each list, of which there are at most MOST_LISTS: small enough to broadcast.
     parts_of = lambda df, most, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
     cuts = F.broadcast(parts_of(coded, slice_rows, "slices").join(parts_of(probed, block_rows, "blocks"), "list"))
-    left = coded.join(cuts, "list").select("list", F.expr("int(pmod(xxhash64(row), slices))").alias("slice"), F.expr("explode(sequence(0, blocks - 1))").alias("block"), "vec_id", "row", "code")
+    left = coded.join(cuts, "list").select("list", F.expr("int(pmod(xxhash64(row), slices))").alias("slice"), F.expr("explode(sequence(0, blocks - 1))").alias("block"), "vec_id", "code", "raw", "lost")
     right = probed.join(cuts, "list").select("list", F.expr("explode(sequence(0, slices - 1))").alias("slice"), F.expr("int(pmod(xxhash64(query_id), blocks))").alias("block"), "query_id", "raw", "floor")
 
     def rank(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(rows) and len(asked):
             own = np.full(len(rows), int(rows["list"].iloc[0]))
-            ids, numbers, codes = rows["vec_id"].to_numpy(), rows["row"].to_numpy(), np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-            step = max(1, 4_000_000 // len(rows))
+            ids, codes, lost = rows["vec_id"].to_numpy(), np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1), rows["lost"].to_numpy()[:, None] + SLACK
+            own_x = unit(np.frombuffer(b"".join(rows["raw"])).reshape(len(rows), -1))
+            step = max(1, 2_000_000 // len(rows))
             for at in range(0, len(asked), step):
                 some = asked.iloc[at : at + step]
                 qids = some["query_id"].to_numpy()
                 q = unit(np.frombuffer(b"".join(some["raw"])).reshape(len(qids), -1))
                 near = index.similarity(index.tables(q), q, own, codes)
                 near[ids[:, None] == qids[None, :]] = -np.inf
-                least = np.maximum(_best(near, rerank), some["floor"].to_numpy())
-                r, c = np.nonzero((near >= least) & (near > -np.inf))
-                parts.append(pd.DataFrame({"query_id": qids[c], "row": numbers[r], "near": near[r, c]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "row": [], "near": []})
-
-    found = left.groupBy("list", "slice", "block").cogroup(right.groupBy("list", "slice", "block")).applyInPandas(rank, "query_id long, row long, near float")
-    # RANK, not ROW_NUMBER: rows whose code ties with the last one are reranked too.
-    short = found.withColumn("n", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("near")))).filter(F.col("n") <= rerank).select("query_id", "row")
-    pairs = short.join(coded.select("row", "vec_id", "raw"), "row").join(asked.select("query_id", F.col("raw").alias("q")), "query_id")
-
-    def exact(batches):
-        for b in batches:
-            if b.num_rows:
-                x, q = (unit(np.frombuffer(b"".join(b.column(c).to_pylist())).reshape(b.num_rows, -1)) for c in (2, 3))
+                if exact:
+                    keep = near + lost >= np.maximum(_best(near - lost, k), some["floor"].to_numpy())
+                else:
+                    keep = near >= _best(near, rerank)
+                r, c = np.nonzero(keep & (near > -np.inf))
                 # Row by row in one order, so that copies of a vector score alike to the last bit.
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x * q).sum(axis=1))], names=["query_id", "vec_id", "score"])
-
-    scored = pairs.select("query_id", "vec_id", "raw", "q").mapInArrow(tidy(exact), "query_id long, vec_id long, score double")
+                score = np.concatenate([np.zeros(0), *((own_x[r[i : i + PAIRS]] * q[c[i : i + PAIRS]]).sum(axis=1) for i in range(0, len(r), PAIRS))])
+                order = np.lexsort((ids[r], -score, c))
+                place = np.arange(len(order)) - np.searchsorted(c[order], c[order])
+                best = order[place < k]
+                parts.append(pd.DataFrame({"query_id": qids[c[best]], "vec_id": ids[r[best]], "score": score[best]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+    scored = left.groupBy("list", "slice", "block").cogroup(right.groupBy("list", "slice", "block")).applyInPandas(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

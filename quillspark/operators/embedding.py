@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import RetrievalError
+from .batches import slices
 
 TOKEN = re.compile(r"\S+")
 
@@ -149,7 +150,7 @@ def embed(df: DataFrame, embedder, text: str = "embedding_text", batch: int = 16
     info = "struct<token_count:int,max_seq_length:int,truncated:boolean,embedded_chars:int>"
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, text):
             texts = [t or "" for t in b.column(at).to_pylist()]
             # A token model forms batches itself, by length.
             step = len(texts) or 1 if isinstance(embedder, TokenModel) else batch

@@ -86,7 +86,7 @@ def section_asof(spark, sf):
 def table_row_split(spark, sf):
     """Tables of the orders cut into groups of rows under their first two lines."""
     docs = as_documents(order_documents(spark, sf), "doc", "sop")
-    got = chunking.units(chunking.with_outline(docs), "fixed", table_most=80).select("doc", F.explode("units").alias("u")).filter("u.is_table")
+    got = chunking.pieces(docs, ("fixed",), table_most=80).filter("u.is_table")
     return got.select("doc", F.col("u.start").cast("long").alias("start"), F.col("u.verbatim").alias("whole"), F.md5("u.text").alias("md5"))
 
 

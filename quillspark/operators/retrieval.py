@@ -91,12 +91,13 @@ def _scores(x: np.ndarray, q: np.ndarray, method: str) -> np.ndarray:
     return np.sqrt(((x - q) ** 2).sum(axis=1))
 
 
-def _nearest(x: np.ndarray, good: np.ndarray, q: np.ndarray, known: np.ndarray, k: int, method: str, digits: int | None = None):
+def _nearest(x: np.ndarray, good: np.ndarray, q: np.ndarray, known: np.ndarray, k: int, method: str, digits: int | None = None, floor: np.ndarray | None = None):
     """(query, row, score): for each query at least its k nearest rows and at most 4 k; rows are in the order that breaks ties.
 
     A matrix product finds who can be among them; only their scores are summed. Where more than 4 k come too near each other, all of these
     are scored and k kept, by `digits` decimal places if given. Rows without a score (null, not finite, or zero for the
-    cosine) come last, with NaN.
+    cosine) come last, with NaN. floor holds for each query what the k nearest of a task's earlier rows reach; rows below it are left
+    out, and it is raised here.
     """
     cosine, step = method == "cosine", 0.0 if digits is None else 10.0**-digits
     fine = good & np.isfinite(x).all(axis=1) & ((x != 0).any(axis=1) | (not cosine))
@@ -114,15 +115,22 @@ def _nearest(x: np.ndarray, good: np.ndarray, q: np.ndarray, known: np.ndarray,
     if len(rows) and len(queries):
         p = q[queries]
         xx, qq = (own * own).sum(axis=1), (p * p).sum(axis=1)
-        near = own @ p.T
         if cosine:
-            near /= np.sqrt(xx)[:, None] * np.sqrt(qq)
+            near = (own / np.sqrt(xx)[:, None]) @ (p / np.sqrt(qq)[:, None]).T
             slack = 1e-9 + step
         else:
-            near = 2 * near - xx[:, None] - qq
+            near = 2 * (own @ p.T) - xx[:, None] - qq
             size = 1 + xx.max() + qq.max()
             slack = 1e-9 * size + 4 * step * (np.sqrt(size) + step)
-        least = np.partition(near, -k, axis=0)[-k] if lacking < 0 else np.full(len(p), -np.inf)
+        least = np.full(len(p), -np.inf) if floor is None else floor[queries]
+        if lacking <= 0:
+            # Only queries with k rows above their floor can raise it.
+            up = np.flatnonzero((near > least).sum(axis=0) >= k)
+            if len(up):
+                own_least = np.partition(np.ascontiguousarray(near[:, up].T), -k, axis=1)[:, -k]
+                if floor is not None:
+                    floor[queries[up]] = np.fmax(least[up], own_least - slack)
+                least[up] = np.fmax(least[up], own_least)
         near = near >= least - slack
         many = near.sum(axis=0) > 4 * k
         for j in np.flatnonzero(many):
@@ -160,13 +168,14 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, method: str
 
         def run(batches, shared=shared):
             ids, q, known = shared.value
+            floor = np.full(len(q), -np.inf)
             for batch in batches:
                 step = max(1, CELLS // max(1, batch.num_rows))
                 # Ties go to the smaller key.
                 batch = batch.take(pc.sort_indices(batch.column(0)))
                 x, good = _dense(batch.column(1), dim)
                 for at in range(0, len(q) if batch.num_rows else 0, step):
-                    c, r, score = _nearest(x, good, q[at : at + step], known[at : at + step], k, method, digits)
+                    c, r, score = _nearest(x, good, q[at : at + step], known[at : at + step], k, method, digits, floor[at : at + step])
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(c + at)), batch.column(0).take(pa.array(r)), pa.array(score, from_pandas=True)], names=["query_id", key, "score"])
 
         top = rows.mapInArrow(run, f"query_id {kinds[0]}, `{key}` {kinds[1]}, score double")

@@ -5,6 +5,9 @@ vector, and a bounded number of those that have it as theirs, are compared with
 each other's; pairs that were compared before are not compared again. Rounds go through checkpoints and end when few
 neighbours change. A round's work is rows x WIDTH^2, whatever the number of rows.
 
+How many neighbours are enough depends on the vectors: the more of them, and the fewer clusters they have, the more it takes. So the result is
+measured: some vectors are compared with all others, and where too few of their nearest ones were found, rounds go on with twice the width.
+
 Equal vectors are one point, so copies of a vector, however many, cost no more than one; they get each other as neighbours at the
 end, in the order of their ids. Vectors that are null, zero or not finite have no cosine and no neighbours.
 """
@@ -20,6 +23,8 @@ from ..durable import cut
 
 #: Neighbours kept, rows of a first group, dealings into such groups, most rounds, and the share of neighbours that may still change at the end.
 WIDTH, GROUP, DEALS, ROUNDS, STILL = 32, 32, 4, 14, 0.002
+#: Vectors for which a result is measured, the share of their nearest ones that has to be found, and rows of a block of products.
+ASKED, WANTED, BLOCK = 500, 0.98, 1024
 _PAIRS = pa.schema([("id", pa.int64()), ("nbr", pa.int64()), ("score", pa.float64())])
 
 
@@ -49,14 +54,16 @@ def _compared(batches):
     out: list[tuple] = []
     held = 0
     for member, new, least, v in _grouped(batches):
-        score = v @ v.T
-        wanted = (new[:, None] | new) & (member[:, None] != member) & (score > least[:, None])
-        a, b = np.nonzero(wanted)
-        out.append((member[a], member[b], score[a, b]))
-        held += len(a)
-        if held > 200_000:
-            yield _pairs(out)
-            out, held = [], 0
+        for lo in range(0, len(v), BLOCK):
+            some = slice(lo, lo + BLOCK)
+            score = v[some] @ v.T
+            wanted = (new[some, None] | new) & (member[some, None] != member) & (score > least[some, None])
+            a, b = np.nonzero(wanted)
+            out.append((member[some][a], member[b], score[a, b]))
+            held += len(a)
+            if held > 200_000:
+                yield _pairs(out)
+                out, held = [], 0
     yield _pairs(out)
 
 
@@ -72,16 +79,20 @@ def _best(pairs: DataFrame, width: int) -> DataFrame:
     return one.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= width)
 
 
-def descend(points: DataFrame, width: int = WIDTH, group: int = GROUP, rounds: int = ROUNDS, still: float = STILL) -> DataFrame:
-    """(id, nbr, score, n): neighbours of points (id, v: a unit vector, no two equal), from the best."""
+def descend(points: DataFrame, width: int = WIDTH, group: int = GROUP, rounds: int = ROUNDS, still: float = STILL, known: DataFrame | None = None) -> DataFrame:
+    """(id, nbr, score, n): neighbours of points (id, v: a unit vector, no two equal), from the best. `known`: the result of a smaller width."""
     points = cut(points.select("id", "v"))
     many = points.count()
     compare = lambda rows: rows.repartition("center").sortWithinPartitions("center").mapInArrow(_compared, "id long, nbr long, score double")
-    # Several dealings into groups, so that their neighbours lie in groups of others.
-    groups = -(-many // group) or 1
-    place = F.explode(F.array(*(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(groups)) * DEALS + i for i in range(DEALS))))
-    first = points.select(place.alias("center"), F.col("id").alias("member"), F.lit(True).alias("new"), F.lit(-2.0).alias("least"), "v")
-    edges = cut(_best(compare(first).withColumn("new", F.lit(True)), width))
+    if known is None:
+        # Several dealings into groups, so that their neighbours lie in groups of others.
+        groups = -(-many // group) or 1
+        place = F.explode(F.array(*(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(groups)) * DEALS + i for i in range(DEALS))))
+        first = points.select(place.alias("center"), F.col("id").alias("member"), F.lit(True).alias("new"), F.lit(-2.0).alias("least"), "v")
+        edges = cut(_best(compare(first).withColumn("new", F.lit(True)), width))
+    else:
+        # What a smaller width had no place for has to be compared again.
+        edges = known.select("id", "nbr", "score", F.lit(True).alias("new"), "n")
     for turn in range(rounds):
         # Who has whom: a bounded number of those that have an id, the nearest ones.
         back = Window.partitionBy("nbr").orderBy(F.desc("score"), "id")
@@ -98,8 +109,46 @@ def descend(points: DataFrame, width: int = WIDTH, group: int = GROUP, rounds: i
     return edges.select("id", "nbr", "score", "n")
 
 
-def nearest(vectors: DataFrame, k: int = 3, key: str = "vec_id", **options) -> DataFrame:
-    """(query_id, rank, key, score): the k nearest others found for each vector, by cosine, ties to the smaller key. Keys are whole numbers."""
+def recall(points: DataFrame, found: DataFrame, k: int, asked: int = ASKED) -> float:
+    """The share of the k nearest others of about `asked` points, taken by a hash of their ids, that is among the first k of `found`."""
+    many = points.count()
+    if many < 2:
+        return 1.0
+    picked = F.lit(True) if many <= asked else F.pmod(F.xxhash64("id", F.lit(-1)), F.lit(many)) < asked
+    some = points.filter(picked).toArrow()
+    ids = some["id"].to_numpy()
+    if not len(ids):
+        return 1.0
+    q = some["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    shared = points.sparkSession.sparkContext.broadcast((ids, q))
+
+    def best(batches):
+        ids, q = shared.value
+        top = np.full((len(ids), k), -np.inf)
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else None
+            for lo in range(0, batch.num_rows, BLOCK):
+                score = np.where(ids[:, None] == own[lo : lo + BLOCK], -np.inf, q @ v[lo : lo + BLOCK].T)
+                top = -np.partition(-np.concatenate([top, score], axis=1), k - 1, axis=1)[:, :k]
+        a, b = np.nonzero(top > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(top[a, b], pa.float64())], names=["id", "score"])
+
+    w = Window.partitionBy("id").orderBy(F.desc("score"))
+    true = points.select("id", "v").mapInArrow(best, "id long, score double").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
+    # By score, not by id: of equally near ones any will do.
+    goal = true.groupBy("id").agg(F.min("score").alias("goal"), F.count(F.lit(1)).alias("of"))
+    hits = F.count(F.when(F.col("score") >= F.col("goal") - 1e-9, 1))
+    each = goal.join(found.filter(F.col("n") <= k).select("id", "score"), "id", "left").groupBy("id").agg(hits.alias("hits"), F.first("of").alias("of"))
+    got = each.agg(F.sum("hits").alias("hits"), F.sum("of").alias("of")).first()
+    return got["hits"] / got["of"]
+
+
+def nearest(vectors: DataFrame, k: int = 3, key: str = "vec_id", wanted: float = WANTED, **options) -> DataFrame:
+    """(query_id, rank, key, score): the k nearest others found for each vector, by cosine, ties to the smaller key. Keys are whole numbers.
+
+    The width doubles until the measured recall of points is `wanted`; a width of all points leaves nothing out.
+    """
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     own = vectors.select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     own = own.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", fine) & F.exists("v", lambda x: x != 0))
@@ -109,7 +158,11 @@ def nearest(vectors: DataFrame, k: int = 3, key: str = "vec_id", **options) -> D
     groups = own.groupBy("v").agg(F.min("id").alias("rep"))
     members = cut(own.join(groups, "v").select("rep", "id", "v"))
     points = members.filter("rep = id").select("id", "v").dropDuplicates(["id"])
-    found = descend(points, max(options.pop("width", WIDTH), k), **options)
+    width, many = max(options.pop("width", WIDTH), k), points.count()
+    found = descend(points, width, **options)
+    while width < many - 1 and recall(points, found, k) < wanted:
+        width *= 2
+        found = descend(points, width, known=found, **options)
     few = Window.partitionBy("rep").orderBy("id")
     firsts = members.select("rep", "id").withColumn("n", F.row_number().over(few)).filter(F.col("n") <= k + 1).drop("n")
     others = found.filter(F.col("n") <= k).select(F.col("id").alias("rep"), F.col("nbr").alias("other"), "score")

@@ -84,6 +84,23 @@ def test_descent_of_copies(spark):
         assert got[i] == [j for _, j in sorted((-round(float(v @ w), 12), j) for j, w in usable if j != i)[:3]], i
 
 
+def test_descent_widens_until_enough_is_found(spark):
+    """Vectors without clusters, and a width that finds too few of their neighbours: the result is measured and the width doubled."""
+    r = np.random.default_rng(11)
+    x = r.normal(size=(700, 32))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    score = u @ u.T
+    np.fill_diagonal(score, -2)
+    true = {(i, int(j)) for i in range(700) for j in np.argsort(-score[i])[:3]}
+    v = table(spark, list(enumerate(x)))
+    points = spark.createDataFrame([(i, [float(y) for y in w]) for i, w in enumerate(u)], "id long, v array<double>")
+    narrow = neighbours.descend(points, 4, rounds=4)
+    share = len(true & {(a["id"], a["nbr"]) for a in narrow.filter("n <= 3").collect()}) / len(true)
+    assert share < 0.9 and abs(neighbours.recall(points, narrow, 3, 700) - share) < 1e-9 and abs(neighbours.recall(points, narrow, 3) - share) < 0.05
+    got = {(a["query_id"], a["vec_id"]) for a in neighbours.nearest(v, 3, width=4, rounds=4).collect()}
+    assert len(got) == 2100 and len(true & got) >= 0.96 * len(true)
+
+
 def brute(rows, asked, k, method):
     out = {}
     for q, x in asked:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..durable import setting
 from ..errors import RetrievalError
 from ..functions.vectors import finite
 
@@ -101,9 +102,19 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+#: Rows of a part file of chunks: a compressed file is read by one task.
+PART_ROWS = 200_000
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """One folder for each strategy."""
-    chunks.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("chunking_strategy").json(path)
+    """One folder for each strategy, of compressed part files: each record holds its passage twice and names all its fields.
+
+    A task writes the files of all strategies side by side, so that it needn't sort its records by strategy, which would
+    spill them to disk.
+    """
+    with setting(chunks.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(len(S.STRATEGIES))):
+        rows = chunks.write.mode("overwrite").option("ignoreNullFields", "false").option("compression", "gzip").option("maxRecordsPerFile", PART_ROWS)
+        rows.partitionBy("chunking_strategy").json(path)
 
 
 def write_vectors(vectors: DataFrame, path: str) -> DataFrame:

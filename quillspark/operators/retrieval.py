@@ -6,6 +6,8 @@ else of the id.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -64,6 +66,8 @@ def search(vectors: DataFrame, query: list[float], k: int = 5, method: str = "co
 
 #: Bytes of a block of query vectors that is sent to all tasks, and products that a task holds at a time.
 QUERY_BYTES, CELLS = 1 << 26, 4_000_000
+#: Where all rows are queries: bytes of vectors on either side of a task, and the fewest rows that are worth a block.
+SIDE_BYTES, SIDE_ROWS = 1 << 23, 1024
 
 
 def _dense(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +188,69 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, method: str
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
 
+def _cells(batches):
+    """(keys, vectors of the queries, batches of rows) of each run of rows (cell, asked, key, embedding) with one cell, queries first."""
+    cell, held, last = None, [], None
+    for batch in batches:
+        at, asked = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (asked[1:] != asked[:-1])) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            piece = batch.slice(lo, hi - lo).select([2, 3])
+            if at[lo] != cell:
+                cell, held, last = at[lo], [], None
+            if asked[lo]:
+                held.append(piece)
+            elif held:
+                if last is None:
+                    last = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                yield cell, last, piece
+
+
+def search_all(vectors: DataFrame, k: int = 5, method: str = "cosine", key: str = "vec_id", side_bytes: int = SIDE_BYTES) -> DataFrame:
+    """search_many() with every row as a query: query_id, rank, key, score. No vector passes through the driver.
+
+    Queries and rows are dealt into blocks, and a task compares a block of queries with a block of rows, each of at most about
+    `side_bytes`. All pairs are compared, so time is quadratic, and so is what is shuffled: both sides once for each block of the other.
+    """
+    check_top_k(k)
+    check_method(method)
+    larger = METHODS[method][2]
+    kind = vectors.schema[key].dataType.simpleString()
+    first = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    n, dim = first["n"], max(1, first["dim"] or 1)
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = min(max(-(-n * dim * 8 // side_bytes), math.isqrt(2 * cores) + 1), -(-n // SIDE_ROWS)) or 1
+    own = F.pmod(F.xxhash64(key), F.lit(blocks))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    # Tasks take single or double precision as it is.
+    vector = F.col("embedding") if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else F.col("embedding").cast("array<double>")
+    one = vectors.select(F.col(key).alias("key"), vector.alias("embedding"), own.alias("own"), other)
+    asked = one.select((F.col("own") * blocks + F.col("other")).alias("cell"), F.lit(True).alias("asked"), "key", "embedding")
+    rows = one.select((F.col("other") * blocks + F.col("own")).alias("cell"), F.lit(False).alias("asked"), "key", "embedding")
+
+    def run(batches):
+        cell, q, known, floor, ids = None, None, None, None, None
+        for at, queries, batch in _cells(batches):
+            if at != cell:
+                cell, ids = at, queries.column(0)
+                q, known = _dense(queries.column(1).cast(pa.list_(pa.float64())), dim)
+                floor = np.full(len(q), -np.inf)
+            # Ties go to the smaller key.
+            batch = batch.take(pc.sort_indices(batch.column(0)))
+            x, good = _dense(batch.column(1).cast(pa.list_(pa.float64())), dim)
+            step = max(1, CELLS // batch.num_rows)
+            for lo in range(0, len(q), step):
+                c, r, score = _nearest(x, good, q[lo : lo + step], known[lo : lo + step], k, method, None, floor[lo : lo + step])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(c + lo)), batch.column(0).take(pa.array(r)), pa.array(score, from_pandas=True)], names=["query_id", key, "score"])
+
+    met = asked.unionByName(rows).repartitionById(blocks * blocks, F.col("cell").cast("int")).sortWithinPartitions("cell", F.desc("asked"))
+    out = met.mapInArrow(run, f"query_id {kind}, `{key}` {kind}, score double")
+    w = Window.partitionBy("query_id").orderBy(*_order(F.col("score"), larger, key))
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
+
+
 def retrieve(vectors: DataFrame, question: str, embedder, k: int = 5, method: str = "cosine", key: str = "chunk_id") -> DataFrame:
     """Embed the question once and search."""
     check_query(question)
@@ -256,13 +323,12 @@ def knn_graph(vectors: DataFrame, k: int = 3, key: str = "vec_id", approximate:
     """Undirected edges (src < dst) between each vector and its k nearest others by cosine.
 
     Exact as a report on a stored collection, as every vector is compared with every other, in blocks of bounded size. For large
-    collections take `approximate`: neighbour descent, which compares neighbours of neighbours only.
+    collections take `approximate`: neighbour descent, which compares neighbours of neighbours only, as long as that is less work.
     """
     if approximate:
         near = neighbours.nearest(vectors, k, key)
     else:
-        q = vectors.select(F.col(key).alias("query_id"), F.col("embedding").alias("q"))
-        near = search_many(vectors, q, k + 1, "cosine", key).filter(F.col(key) != F.col("query_id"))
+        near = search_all(vectors, k + 1, "cosine", key).filter(F.col(key) != F.col("query_id"))
         w = Window.partitionBy("query_id").orderBy("rank")
         near = near.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
     return near.select(F.least("query_id", key).alias("src"), F.greatest("query_id", key).alias("dst")).distinct()
